@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import extraction, packing, pieces, quality
 
 QUERIES = {
+    "op4_sentencepiece_offsets": pieces.op4,
     "op5_quality_rules": quality.op5,
+    "op7_min_cut_extraction": extraction.op7,
+    "op10_config_lp_packing": packing.op10,
 }
 
 ORACLES = {
