@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import extraction, packing, pieces, quality
+from . import extraction, minhash, packing, pieces, quality, substrings
 
 QUERIES = {
+    "op2_bbit_minhash": minhash.op2,
     "op4_sentencepiece_offsets": pieces.op4,
     "op5_quality_rules": quality.op5,
     "op7_min_cut_extraction": extraction.op7,
+    "op8_de_bruijn_spans": substrings.op8,
     "op10_config_lp_packing": packing.op10,
 }
 
