@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import extraction, minhash, packing, pieces, quality, substrings
+from . import extraction, forest, minhash, packing, pieces, ppm, privacy, quality, substrings
 
 QUERIES = {
+    "op1_ppm_scoring": ppm.op1,
     "op2_bbit_minhash": minhash.op2,
+    "op3_prefix_forest": forest.op3,
     "op4_sentencepiece_offsets": pieces.op4,
     "op5_quality_rules": quality.op5,
+    "op6_surrogates": privacy.op6,
     "op7_min_cut_extraction": extraction.op7,
     "op8_de_bruijn_spans": substrings.op8,
     "op10_config_lp_packing": packing.op10,
