@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, forest, minhash, packing, pieces, ppm, privacy, quality, substrings
+from . import extraction, forest, kneser_ney, minhash, packing, pieces, ppm, privacy, quality, substrings
 
 QUERIES = {
     "op1_ppm_scoring": ppm.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_surrogates": privacy.op6,
     "op7_min_cut_extraction": extraction.op7,
     "op8_de_bruijn_spans": substrings.op8,
+    "op9_kneser_ney": kneser_ney.op9,
     "op10_config_lp_packing": packing.op10,
 }
 
