@@ -7,11 +7,11 @@ candidates meet.  For a candidate pair the bits of the two signatures that agree
 counted, corrected for chance agreement, and pairs that are surely too far apart go.
 The others are confirmed on the full sets.
 
-In a bucket not all pairs are looked at.  Everything meets the bucket's least member
-first, and what links to it joins its component.  Later rounds take, in every bucket
-that still holds several components, some members of small ones and compare them with
-the members of other components only.  A member that has met all others is done, so
-every pair that could still join two components is compared in the end.
+In a bucket not all pairs are confirmed.  Everything meets the bucket's pivot first: the
+member with most company over all its buckets, as the source of a family has.  What links
+to it joins its component.  Then members of different components are compared, in blocks
+of bounded size, by their signatures alone, and what is near enough is confirmed.  So
+every pair that could still join two components is looked at.
 
 With the default bands a pair at the least similarity shares no bucket with a
 probability of (1 - s**rows)**bands = 5e-9.
@@ -44,16 +44,16 @@ class Settings:
     bands: int = 48
     rows: int = 5
     bits: int = 4  # of each minimum
-    #: Pairs whose estimate is so far below the least similarity are not confirmed: eight standard deviations.
-    slack: float = 0.21
-    #: Buckets of at most so many members are compared whole in one round.
-    few: int = 32
-    #: Members of a larger bucket that are compared with all others in one round.
-    hubs: int = 16
+    more: int = 720  # minima for the estimate alone
+    #: Pairs whose estimate is so far below the least similarity aren't confirmed: over four standard deviations.
+    slack: float = 0.06
+    #: Members of a larger bucket that are compared at once; up to `few` are joined.
+    block: int = 512
+    few: int = 48
 
     @property
     def minima(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.more
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
     shift = np.uint64(settings.bits) * np.arange(per, dtype=np.uint64)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles long, h1 long, h2 long, signature array<long>, bands array<long>"
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    bands, bits = settings.bands, settings.bits
+    bands, bits, per_band = settings.bands, settings.bits, settings.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
                 kept = np.zeros(n_longs * per, np.uint64)
                 kept[: len(m)] = (m * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
                 low.append((kept.reshape(-1, per) << shift).sum(axis=1, dtype=np.uint64))
-                keys.append(mixed((m.reshape(bands, -1).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ band))
+                keys.append(mixed((m[: bands * per_band].reshape(bands, -1).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ band))
             if not n:
                 continue
             pairs = np.array(hashes, np.uint64).reshape(-1, 2).view(np.int64)
@@ -126,14 +126,14 @@ def estimate(a: Column, b: Column, settings: Settings) -> Column:
     ones = sum(1 << settings.bits * k for k in range(per))
     mask = F.lit(ones - (1 << 64) if ones >> 63 else ones).cast("long")
 
-    def differing(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
+    def differing(k: int) -> Column:
+        z = a[k].bitwiseXOR(b[k])
         folded = z
-        for k in range(1, settings.bits):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(z, k))
+        for i in range(1, settings.bits):
+            folded = folded.bitwiseOR(F.shiftrightunsigned(z, i))
         return F.bit_count(folded.bitwiseAND(mask))
 
-    different = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
+    different = sum((differing(k) for k in range(1, -(-settings.minima // per))), differing(0))
     chance = 2.0**-settings.bits
     return (1.0 - different / settings.minima - chance) / (1.0 - chance)
 
@@ -168,9 +168,43 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, text: str = "
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def _compared(settings: Settings):
+    """Pairs of a block (members of chunk i against chunk j) in different components whose signatures are near enough."""
+    bits, minima, percent = settings.bits, settings.minima, settings.percent
+    chance = 2.0**-bits
+    most = minima * (1 - chance - (percent / 100 - settings.slack) * (1 - chance))  # minima that may differ
+    mask = np.uint64(sum(1 << bits * k for k in range(64 // bits)))
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        bucket, i, j = (x.as_py() for x in group)
+        table = table.sort_by("id").combine_chunks()
+        ids, component, n, mine = (table[c].to_numpy() for c in ("id", "component", "n", "mine"))
+        sig, bands = (table[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sig", "bands"))
+        sig = sig.view(np.uint64)
+        out: list[np.ndarray] = []
+        columns = np.flatnonzero(mine == j)
+        for r in np.flatnonzero(mine == i):
+            c = columns[columns > r] if i == j else columns
+            c = c[(component[c] != component[r]) & (100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r]))]
+            z = sig[c] ^ sig[r]
+            folded = z.copy()
+            for k in range(1, bits):
+                folded |= z >> np.uint64(k)
+            c = c[np.bitwise_count(folded & mask).sum(axis=1) <= most]
+            if len(c):  # of the buckets that a pair shares, the first answers
+                shared = bands[c] == bands[r]
+                c = c[bands[r][shared.argmax(axis=1)] == bucket]
+                out.append(np.stack((np.minimum(ids[c], ids[r]), np.maximum(ids[c], ids[r])), axis=1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), ids.dtype)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every document: key, n_shingles, component_id (the least key reachable over links) and kept (it is that one)."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    kind = texts.schema["id"].dataType.simpleString()
     rows = stored(signatures(texts, settings, "id"))
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
     first = F.col("id") == F.col("rep")  # only a class's least member takes its signature along
@@ -181,41 +215,42 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     reps = tagged.filter("id = rep")
     look = reps.select("id", "n", "sig")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("bucket", "least")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowd = stored(banded.join(shared, "bucket"))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), which are cut by length and estimate first."""
-        near = (
-            pairs.distinct()
-            .join(look.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            .join(look.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-            .filter(100 * F.least("na", "nb") >= settings.percent * F.greatest("na", "nb"))
-            .filter(estimate(F.col("sa"), F.col("sb"), settings) >= settings.percent / 100 - settings.slack)
-            .select("a", "b")
-        )
-        return stored(confirm(stored(near), texts, settings))
-
-    links = links_of(crowd.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
+    company = crowd.groupBy("id").agg(F.sum("size").alias("company"))
+    pivots = crowd.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("company"), -F.hash("id"), "id")).alias("pivot"))
+    crowd = stored(crowd.join(pivots, "bucket").filter("id <> pivot"))
+    whole_percent, least = settings.percent, settings.percent / 100 - settings.slack
+
+    def near(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+        return (100 * F.least(na, nb) >= whole_percent * F.greatest(na, nb)) & (estimate(sa, sb, settings) >= least)
+
+    star = (
+        crowd.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        .join(look.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        .join(look.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+        .filter(near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
+        .select("a", "b")
+    )
+    links = stored(confirm(stored(star), texts, settings))
     whole = stored(components(links))
-    left = crowd.filter("id <> least").select("bucket", "id")
-    while True:
-        inside = left.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = inside.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("id").alias("hub"))
-        split = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all")).filter("parts > 1").select("bucket", "all")
-        # In a small bucket every member is a hub at once; in others, some members of small components.
-        some = parts.join(split.filter(F.col("all") > settings.few), "bucket")
-        some = some.groupBy("bucket", F.pmod(F.hash("component"), F.lit(settings.hubs))).agg(F.min_by(F.struct("hub", "component"), F.struct("n", "component")).alias("h"))
-        every = inside.join(split.filter(F.col("all") <= settings.few), "bucket")
-        hubs = stored(some.select("bucket", "h.hub", "h.component").union(every.select("bucket", F.col("id").alias("hub"), "component")))
-        if hubs.isEmpty():
-            break
-        met = inside.join(hubs.select("bucket", "hub", F.col("component").alias("c")), "bucket").filter("component <> c")
-        found = links_of(met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")))
-        left = stored(left.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").join(split, "bucket", "left_semi"))
-        if not found.isEmpty():
-            links = links.union(found)
-            whole = stored(components(links))
+
+    # What the pivots left apart: members of one bucket in different components.
+    inside = stored(crowd.join(whole, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    apart = inside.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
+    cells = inside.join(apart.select("bucket", "size"), "bucket").join(reps.select("id", "n", "sig", "bands"), "id")
+    small = cells.filter(F.col("size") <= settings.few)
+    left, right = (small.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "sig")]) for x in "ab")
+    unlike = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    close = near(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"))
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & unlike & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    large = cells.filter(F.col("size") > settings.few).withColumn("blocks", F.ceil(F.col("size") / settings.block).cast("int"))
+    large = large.withColumn("mine", F.pmod(F.hash("id"), "blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("bucket", F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "id", "component", "n", "sig", "bands")
+    pairs = pairs.union(large.groupBy("bucket", "i", "j").applyInArrow(_compared(settings), f"a {kind}, b {kind}"))
+    found = stored(confirm(stored(pairs.distinct()), texts, settings))
+    if not found.isEmpty():
+        whole = components(links.union(found))
     linked = tagged.select("id", "rep").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
     linked = linked.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("id", "n_shingles").join(linked, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
