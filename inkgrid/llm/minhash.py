@@ -48,7 +48,7 @@ class Settings:
     #: Pairs whose estimate is so far below the least similarity aren't confirmed: over four standard deviations.
     slack: float = 0.06
     #: Members of a larger bucket that are compared at once; up to `few` are joined.
-    block: int = 512
+    block: int = 2048
     few: int = 48
 
     @property
