@@ -18,7 +18,7 @@ probability of (1 - s**rows)**bands = 5e-9.
 
 Defined cases: a text without words (or null) has an empty set and is linked with
 nothing; with fewer words than a shingle has, all of them are one shingle; documents
-with a null id are dropped, as no link could name them; ids name texts, so repeated
+with a null id are left out, as no link could name them; ids name texts, so repeated
 rows are fine and come back repeated; extra columns are ignored.
 """
 
@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that stand for their group, with the columns of docs."""
-    kept = near_duplicates(docs, settings).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
+    """The documents that stand for their group, with the columns of docs; those with a null id stay."""
+    gone = near_duplicates(docs, settings).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
