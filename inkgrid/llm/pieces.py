@@ -284,10 +284,9 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "begi
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """encoded with the text that its ids decode to; null ids decode to null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
+    def text(column):
         p = codec(model).processor
         return column.map(lambda x: None if x is None else p.decode([int(i) for i in x]))
 

@@ -174,8 +174,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, key: str =
     texts = slim.repartition("id")
     spans = repeated_spans(slim, texts, window, k)
     asked = spans.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("asked"))
-    source = texts if not names or not with_text else docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *names).repartition("id")
-    rows = source.join(asked, "id", "left").select("id", "text", "asked", *(names if with_text else []))
+    extra = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)] if with_text else []  # their own names may clash
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *extra).repartition("id") if extra else texts
+    rows = source.join(asked, "id", "left").select("id", "text", "asked", *[f"__{i}" for i in range(len(extra))])
     fields = [T.StructField(key, docs.schema[key].dataType)]
     if with_text:
         fields += [T.StructField(text, T.StringType()), *(docs.schema[c] for c in names)]
