@@ -308,6 +308,63 @@ def test_kneser_ney_probabilities_and_order(spark):
     assert sum(model.unigrams) == pytest.approx(1, abs=0.02)
 
 
+def kneser_ney_by_hand(trusted, texts):
+    """log10 probabilities in dictionaries; every trusted word is in the vocabulary."""
+    split = lambda t: [*WORD.findall(lowered(t)), "end"]
+    trigrams = lambda w: zip(["start", "start", *w], ["start", *w], w)
+    c3 = collections.Counter(g for t in trusted for g in trigrams(split(t)))
+    c2 = collections.Counter()
+    for (_, v, w), n in c3.items():
+        c2[v, w] += n if v == "start" else 1
+    c1 = collections.Counter(w for _, w in c2)
+    known = {w for t in trusted for w in split(t)} - {"end"}
+    size = len(known) + 3
+
+    def discounts(c):
+        n1, n2, n3, n4 = (sum(x == k for x in c.values()) for k in range(1, 5))
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        d = [min(max(x, 0.05), cap) for x, cap in zip(d, (0.95, 1.95, 2.95))]
+        return lambda n: d[min(n, 3) - 1]
+
+    d1, d2, d3 = discounts(c1), discounts(c2), discounts(c3)
+
+    def contexts(c, d):
+        all_, cut = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            all_[g[:-1]] += n
+            cut[g[:-1]] += d(n)
+        return all_, cut
+
+    (a2, k2), (a3, k3) = contexts(c2, d2), contexts(c3, d3)
+    total, cut = sum(c1.values()), sum(d1(n) for n in c1.values())
+
+    def p(u, v, w):
+        one = (max(c1[w] - d1(c1[w]), 0) if c1[w] else 0) / total + cut / total / size
+        two = one if not a2[(v,)] else (max(c2[v, w] - d2(c2[v, w]), 0) if c2[v, w] else 0) / a2[(v,)] + k2[(v,)] / a2[(v,)] * one
+        if not a3[u, v]:
+            return two
+        return (max(c3[u, v, w] - d3(c3[u, v, w]), 0) if c3[u, v, w] else 0) / a3[u, v] + k3[u, v] / a3[u, v] * two
+
+    out = {}
+    for i, t in texts:
+        w = [x if x in known or x == "end" else None for x in split(t)]
+        out[i] = (len(w), sum(math.log10(p(*g)) for g in trigrams(w)) - w.count(None) * math.log10(kneser_ney.OTHER_WORDS))
+    return out
+
+
+def test_kneser_ney_matches_dictionaries(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 40)))) for i in range(90)] + EDGE[:5]
+    docs = frame(spark, texts)
+    want = kneser_ney_by_hand([t for i, t in texts if i < 40], texts)
+    got = kneser_ney.perplexities(docs, kneser_ney.Model(docs.filter("doc_id < 40"))).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, log = want[r["doc_id"]]
+        assert r["n_tokens"] == n and r["log10_probability"] == pytest.approx(log, rel=1e-5) and r["perplexity"] == pytest.approx(10 ** (-log / n), rel=1e-4)
+
+
 # ------------------------------------------------------------ 10
 
 
