@@ -15,8 +15,7 @@ which nothing branches; a dozen windows are one row.
 
 Every step is an equi-join or an aggregation on hashes, with rows in proportion to
 the words; a passage that a third of the documents share is aggregated before it is
-joined.  The texts are dealt out by document once; steps 3, 5 and the removal use
-the same exchange.
+joined.  Steps 3 and 5 and the removal each deal the texts out by document.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing;
 a repeat inside one document, or in documents with one id, is no repeat; documents with
