@@ -123,10 +123,15 @@ def mean_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:
     return batches.agg(F.avg(loss).alias("mean_loss"))
 
 
-def collisions(boxes: DataFrame) -> DataFrame:
-    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid."""
-    l, r = boxes.alias("l"), boxes.alias("r")
-    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.box_id") < F.col("r.box_id")) & overlaps(_box("l"), _box("r"))
-    both = l.join(r, on).select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
+def collisions(boxes: DataFrame, band: int = 256) -> DataFrame:
+    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid.
+
+    Boxes meet in bands of the page, each pair in the band where the lower of the two begins.
+    """
+    first = lambda y: F.floor(F.col(y) / band)
+    banded = boxes.withColumn("__band", F.explode(F.sequence(first("y1"), F.greatest(first("y1"), first("y2")))))
+    l, r = banded.alias("l"), banded.alias("r")
+    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.__band") == F.col("r.__band")) & (F.col("l.box_id") < F.col("r.box_id")) & overlaps(_box("l"), _box("r"))
+    both = l.join(r, on & (F.col("l.__band") == F.greatest(first("l.y1"), first("r.y1")))).select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
     out = boxes.filter("y1 < 0 or x1 < 0 or y2 > n_rows or x2 > n_cols").select("page_id", F.col("box_id").alias("a"), F.lit(None).cast(boxes.schema["box_id"].dataType).alias("b"))
     return both.unionByName(out)

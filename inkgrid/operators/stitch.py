@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BOX = ["y1", "x1", "y2", "x2"]
 
@@ -44,20 +45,47 @@ def grow_groups(box: np.ndarray, near: Callable[[int, np.ndarray, np.ndarray], n
     return group, place
 
 
-def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarray], Callable]) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.IntegerType()), T.StructField("add_order", T.IntegerType())])
+def _parts(df: DataFrame, low: Column, high: Column, reach: float, rows: int) -> DataFrame:
+    """df with __part: within a page, parts of about so many rows between which no box can reach another.
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+    A part ends only where the next low is further from all highs before it than reach times the
+    page's largest height.  Equal places are counted before they are put in order.
+    """
+    placed = df.withColumns({"__low": low, "__high": high})
+    spots = placed.groupBy("page_id", "__low").agg(F.max("__high").alias("__end"), F.count("*").alias("__n"), F.max(F.col("y2") - F.col("y1")).alias("__tall"))
+    page = Window.partitionBy("page_id")
+    before = page.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)
+    upto = page.orderBy("__low").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.col("__low") - F.max("__end").over(before) > reach * F.max("__tall").over(page)
+    spots = spots.withColumns({"__cut": cut, "__before": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    start = F.max(F.when(F.col("__cut"), F.col("__before"))).over(upto)
+    spots = spots.select(F.col("page_id").alias("__page"), F.col("__low").alias("__at"), F.floor(F.coalesce(start, F.lit(0)) / rows).alias("__part"))
+    return placed.join(spots, F.col("page_id").eqNullSafe(F.col("__page")) & F.col("__low").eqNullSafe(F.col("__at"))).drop("__low", "__high", "__page", "__at")
+
+
+def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarray], Callable], low: Column, high: Column, reach: float, rows: int) -> DataFrame:
+    fields = df.schema.fields
+    schema = T.StructType([*fields, T.StructField("__base", df.schema[order].dataType), T.StructField("add_order", T.IntegerType())])
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         box = pdf[BOX].to_numpy(float)
-        pdf[output], pdf["add_order"] = (x.astype(np.int32) for x in grow_groups(box, near_of(box)))
-        return pdf
+        group, place = grow_groups(box, near_of(box))
+        base = np.zeros(group.max() + 1, np.int64)
+        base[group[place == 0]] = np.flatnonzero(place == 0)
+        pdf["__base"], pdf["add_order"] = pdf[order].to_numpy()[base[group]], place.astype(np.int32)
+        return pdf[[*(f.name for f in fields), "__base", "add_order"]]
+
+    out = _parts(df, low, high, reach, rows).groupBy("page_id", "__part").applyInPandas(part, schema)
+    number = (F.dense_rank().over(Window.partitionBy("page_id").orderBy(F.desc("__base"))) - 1).cast("int")
+    return out.withColumn(output, number).select(*[f.name for f in fields], output, "add_order")
 
-    return df.groupBy("page_id").applyInPandas(page, schema)
 
+def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: float = 0.25, part_rows: int = 2000) -> DataFrame:
+    """matches (page_id, seq, y1, x1, y2, x2, ...) with line_seq (order of making) and add_order; seq tells a page's matches apart.
 
-def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: float = 0.25) -> DataFrame:
-    """matches (page_id, seq, y1, x1, y2, x2, ...) with line_seq (order of making) and add_order."""
+    A page is dealt out in parts of about part_rows rows that no line can span.
+    """
 
     def near_of(box: np.ndarray) -> Callable:
         def near(base: int, around: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -68,11 +96,12 @@ def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: fl
 
         return near
 
-    return _stitch(matches, "seq", "line_seq", near_of)
+    middle = F.col("y1") + (F.col("y2") - F.col("y1")) / 2
+    return _stitch(matches, "seq", "line_seq", near_of, middle, middle, max_center_dy, part_rows)
 
 
-def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float = 0.5) -> DataFrame:
-    """lines (page_id, line_seq, y1, x1, y2, x2, ...) with block_seq and add_order."""
+def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float = 0.5, part_rows: int = 2000) -> DataFrame:
+    """lines (page_id, line_seq, y1, x1, y2, x2, ...) with block_seq and add_order; dealt out as in stitch_lines."""
 
     def near_of(box: np.ndarray) -> Callable:
         def near(base: int, around: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -81,7 +110,7 @@ def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float
 
         return near
 
-    return _stitch(lines, "line_seq", "block_seq", near_of)
+    return _stitch(lines, "line_seq", "block_seq", near_of, F.col("y1"), F.col("y2"), max_edge_dy, part_rows)
 
 
 def summarize_groups(members: DataFrame, group: str, edge: str, separator: str) -> DataFrame:

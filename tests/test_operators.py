@@ -126,6 +126,16 @@ def test_line_growth_matches_the_plain_rule(spark):
     assert [sorted(got[k]) for k in sorted(got)] == slow_groups(boxes, near)
 
 
+def test_a_large_page_is_stitched_in_parts(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, i, int(y), int(x), int(y + 4 + i % 9), int(x + 20), 1.0, f"w{i}") for i, (y, x) in enumerate(zip(rng.integers(0, 4000, 300), rng.integers(0, 300, 300)))]
+    df = spark.createDataFrame(rows, "page_id long, seq int, y1 int, x1 int, y2 int, x2 int, confidence double, value string")
+    for stitched, boxes in ((stitch.stitch_lines, df), (stitch.stitch_blocks, df.withColumnRenamed("seq", "line_seq"))):
+        assert sorted(map(tuple, stitched(boxes, part_rows=10).collect())) == sorted(map(tuple, stitched(boxes, part_rows=10**6).collect()))
+    parts = stitch._parts(df, F.col("y1"), F.col("y2"), 0.5, 10).groupBy("__part").count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 60
+
+
 def test_pairing_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(60):
