@@ -159,12 +159,23 @@ def pack_rects(sizes: DataFrame) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("try_id")
         rows, cols = int(pdf["n_rows"].iloc[0]), int(pdf["n_cols"].iloc[0])
-        used = np.zeros((cols, rows), bool)
+        used = [0] * cols  # for each x, the bits of its y
         at: list[tuple[int, int] | None] = []
-        for w, h in zip(pdf["w"], pdf["h"]):
-            spot = next(((x, y) for x in range(rows) for y in range(cols) if x + w <= cols and y + h <= rows and not used[x : x + w, y : y + h].any()), None)
-            if spot:
-                used[spot[0] : spot[0] + w, spot[1] : spot[1] + h] = True
+
+        def place(w: int, h: int) -> tuple[int, int] | None:
+            for x in range(min(rows, cols - w + 1)):
+                taken = 0
+                for column in used[x : x + w]:
+                    taken |= column
+                for y in range(min(cols, rows - h + 1)):
+                    if not (taken >> y) & ((1 << h) - 1):
+                        for k in range(x, x + w):
+                            used[k] |= ((1 << h) - 1) << y
+                        return x, y
+            return None
+
+        for w, h in zip(pdf["w"].tolist(), pdf["h"].tolist()):
+            spot = place(w, h)
             at.append(spot)
         pdf = pdf.assign(x=[a[0] if a else -1 for a in at], y=[a[1] if a else -1 for a in at])
         return pdf[pdf["x"] >= 0].astype({"x": "int32", "y": "int32"})

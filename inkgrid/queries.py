@@ -407,15 +407,15 @@ def _pages(s, d):
 
 
 def _panels(s, d):
-    return pg.plan_panels(_pages(s, d), SEED, 20)
+    return pg.plan_panels(_pages(s, d), SEED)
 
 
 def _bubbles(s, d):
-    return pg.plan_bubbles(_panels(s, d), FONTS, SEED, 4)
+    return pg.plan_bubbles(_panels(s, d), FONTS, SEED)
 
 
 def _texts(s, d):
-    return pg.plan_texts(storage.materialise(_bubbles(s, d)), vocab.cap_frequency(fx.vocab(s, d)), SEED, 8)
+    return pg.plan_texts(storage.materialise(_bubbles(s, d)), vocab.cap_frequency(fx.vocab(s, d)), SEED)
 
 
 _P = ", ".join(f"floor({fx.us(f'{SEED}:{m}', 'page_id')} * 181)::int as \"{m}\"" for m in ("left", "right", "top", "bottom"))

@@ -191,6 +191,32 @@ def test_plans_are_disjoint_inside_and_repeatable(spark):
                 assert a["x2"] <= b["x1"] or b["x2"] <= a["x1"] or a["y2"] <= b["y1"] or b["y2"] <= a["y1"]
 
 
+def test_page_plans_have_the_tries_of_the_reference(spark, sf_dir):
+    import inspect
+
+    from inkgrid import queries as own
+
+    assert [inspect.signature(f).parameters["tries"].default for f in (pg.plan_panels, pg.plan_bubbles, pg.plan_texts)] == [50, 10, 500]
+    plan = own.QUERIES["p5_plan_texts"](spark, sf_dir).agg(*[F.max(f"{c}_id") for c in ("panel", "bubble", "text")]).first()
+    assert plan[0] >= 20 and plan[1] >= 4 and plan[2] >= 400
+
+
+def test_packing_of_cells_matches_the_plain_rule(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(p, t, r, c, int(rng.integers(1, c + 1)), int(rng.integers(1, r + 1))) for p, (r, c) in enumerate([(3, 12), (12, 3), (7, 8), (1, 1)]) for t in range(30)]
+    expected = set()
+    for p in range(4):
+        used: set = set()
+        for _, t, r, c, w, h in [s for s in sizes if s[0] == p]:
+            spots = ({(i, j) for i in range(x, x + w) for j in range(y, y + h)} for x in range(r) for y in range(c) if x + w <= c and y + h <= r)
+            spot = next((s for s in spots if not s & used), None)
+            if spot:
+                used |= spot
+                expected.add((p, t, *min(spot)))
+    df = spark.createDataFrame(sizes, "page_id long, try_id int, n_rows int, n_cols int, w int, h int")
+    assert {(r["page_id"], r["try_id"], r["x"], r["y"]) for r in stitch.pack_rects(df).collect()} == expected
+
+
 def test_image_list_and_catalogue(spark, tmp_path):
     for name in ("b.png", "a.jpg", "c.PNG", "d.jpeg", "e.txt"):
         (tmp_path / name).write_bytes(b"x")
