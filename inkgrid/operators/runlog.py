@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from ..sources.storage import materialise
 
 
 def _run(first: int | None = None, last: int = 0) -> WindowSpec:
@@ -47,23 +52,59 @@ def rolling_loss(log: DataFrame, n_batches: int) -> DataFrame:
     return log.withColumn("rolling", F.avg("val_loss").over(_run(-(width - 1), 0)))
 
 
-def smoothed_loss(log: DataFrame, beta: float = 0.95) -> DataFrame:
-    """log (run_id, epoch, val_loss) with smoothed: the exponential mean with bias correction.  A run's losses are one array."""
-    runs = log.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("epoch", "val_loss"))).alias("r"))
-    start = F.struct(F.lit(0.0).alias("mean"), F.array().cast("array<double>").alias("all"))
+def _smoothed(log: DataFrame, beta: float) -> DataFrame:
+    """run_id, epoch, val_loss, i (place in the run, from 0) and smoothed.
 
-    def step(s: Column, x: Column) -> Column:
-        mean = F.lit(beta) * s["mean"] + F.lit(1 - beta) * x["val_loss"]
-        return F.struct(mean.alias("mean"), F.concat(s["all"], F.array(mean)).alias("all"))
+    Rows are dealt out in blocks by range, so a run may span blocks.  A block turns the mean that
+    comes in into beta^n * mean + own; one such pair for each block gives the others their start.
+    """
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = log.select("run_id", "epoch", F.col("val_loss").cast("double").alias("val_loss"))
+    ranged = rows.repartitionByRange(n, "run_id", "epoch").sortWithinPartitions("run_id", "epoch").withColumn("__part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("__k", T.LongType()), T.StructField("__own", T.DoubleType())])
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, k, mean = None, 0, 0.0
+        for pdf in batches:
+            ks, means = [], []
+            for r, x in zip(pdf["run_id"].tolist(), pdf["val_loss"].tolist()):
+                if r != run:
+                    run, k, mean = r, 0, 0.0
+                k, mean = k + 1, beta * mean + (1 - beta) * x
+                ks.append(k)
+                means.append(mean)
+            yield pdf.assign(__k=ks, __own=means)
+
+    own = materialise(ranged.mapInPandas(block, schema))
+    ends = own.groupBy("run_id", "__part").agg(F.max(F.struct("__k", "__own")).alias("e")).select("run_id", "__part", "e.*")
+    spans = ends.groupBy("run_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("run_id")  # fewer than there are blocks
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__part")
+        before, means = [0], [0.0]
+        for k, x in zip(pdf["__k"].tolist(), pdf["__own"].tolist()):
+            before.append(before[-1] + k)
+            means.append(beta**k * means[-1] + x)
+        return pdf[["run_id", "__part"]].assign(__before=before[:-1], __mean=means[:-1])
+
+    fields = [own.schema["run_id"], own.schema["__part"], T.StructField("__before", T.LongType()), T.StructField("__mean", T.DoubleType())]
+    starts = ends.join(spans, "run_id").groupBy("run_id").applyInPandas(start, T.StructType(fields))
+    # At most two rows for each block are broadcast.
+    out = own.join(F.broadcast(starts.withColumn("__in", F.lit(True))), ["run_id", "__part"], "left")
+    mean = F.when(F.col("__in"), F.col("__own") + F.pow(F.lit(beta), F.col("__k")) * F.col("__mean")).otherwise(F.col("__own"))
+    i = F.coalesce("__before", F.lit(0)) + F.col("__k") - 1
+    return out.select("run_id", "epoch", "val_loss", i.alias("i"), (mean / (1 - F.pow(F.lit(beta), i + 1))).alias("smoothed"))
 
-    means = F.aggregate("r", start, step, lambda s: s["all"])
-    rows = runs.select("run_id", F.posexplode(F.arrays_zip(F.col("r").alias("r"), means.alias("m"))).alias("i", "z"))
-    return rows.select("run_id", F.col("z.r.epoch").alias("epoch"), F.col("z.r.val_loss").alias("val_loss"), (F.col("z.m") / (1 - F.pow(F.lit(beta), F.col("i") + 1))).alias("smoothed"))
+
+def smoothed_loss(log: DataFrame, beta: float = 0.95) -> DataFrame:
+    """log (run_id, epoch, val_loss) with smoothed: the exponential mean with bias correction."""
+    return _smoothed(log, beta).drop("i")
 
 
 def lr_curve_summary(log: DataFrame, beta: float = 0.95) -> DataFrame:
     """run_id, best_epoch, lowest and peak of the smoothed curve without its ends; the peak is at or before the lowest point."""
-    s = smoothed_loss(log, beta).withColumn("i", F.row_number().over(_run()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("run_id")))
+    s = materialise(_smoothed(log, beta))
+    s = s.join(s.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
     head, tail = F.least(F.floor(F.col("n") / 10), F.lit(10)), F.when(F.col("n") >= 20, F.least(F.floor(F.col("n") / 20), F.lit(5))).otherwise(0)
     cut = s.filter((F.col("i") >= head) & (F.col("i") < F.col("n") - tail))
     low = cut.groupBy("run_id").agg(F.min(F.struct("smoothed", "epoch")).alias("low"))

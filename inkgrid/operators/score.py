@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.boxes import intersection_over_union, overlaps
+from ..sources.storage import materialise
 
 # Accented letters of Latin scripts and their plain forms.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -18,10 +20,25 @@ def _box(prefix: str) -> Column:
     return F.struct(*[F.col(f"{prefix}.{c}").alias(c) for c in ("y1", "x1", "y2", "x2")])
 
 
-def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
+def _first(y: str, band: int) -> Column:
+    return F.floor(F.col(y) / band)
+
+
+def _banded(boxes: DataFrame, band: int) -> DataFrame:
+    """A row for each __band of the page that a box reaches."""
+    return boxes.withColumn("__band", F.explode(F.sequence(_first("y1", band), F.greatest(_first("y1", band), _first("y2", band)))))
+
+
+def _meet(l: str, r: str, band: int) -> Column:
+    """Boxes that overlap, in the band where the lower of the two begins."""
+    same = (F.col(f"{l}.__band") == F.col(f"{r}.__band")) & (F.col(f"{l}.__band") == F.greatest(_first(f"{l}.y1", band), _first(f"{r}.y1", band)))
+    return same & overlaps(_box(l), _box(r))
+
+
+def iou_pairs(gt: DataFrame, pred: DataFrame, band: int = 256) -> DataFrame:
     """image_id, class, gt_id, pred_id and iou of boxes that overlap; both tables: image_id, class, box_id, y1, x1, y2, x2."""
-    g, p = gt.alias("g"), pred.alias("p")
-    on = (F.col("g.image_id") == F.col("p.image_id")) & (F.col("g.class") == F.col("p.class")) & overlaps(_box("g"), _box("p"))
+    g, p = _banded(gt, band).alias("g"), _banded(pred, band).alias("p")
+    on = (F.col("g.image_id") == F.col("p.image_id")) & (F.col("g.class") == F.col("p.class")) & _meet("g", "p", band)
     return g.join(p, on).select("g.image_id", "g.class", F.col("g.box_id").alias("gt_id"), F.col("p.box_id").alias("pred_id"), intersection_over_union(_box("g"), _box("p")).alias("iou"))
 
 
@@ -60,43 +77,35 @@ def assign(cost: np.ndarray) -> np.ndarray:
 def pair_boxes(pairs: DataFrame) -> DataFrame:
     """The pairs (image_id, class, gt_id, pred_id, iou) of a one-to-one pairing with the largest total, image by image and class by class.
 
-    Images are split into connected components first, so the cubic work is on small ones.
+    Pairs whose boxes meet no others stay; the rest goes by connected component, so the cubic work is on small ones.
     """
-
-    def image(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(pdf["gt_id"], return_inverse=True)
-        p, pi = np.unique(pdf["pred_id"], return_inverse=True)
-        root = list(range(len(g) + len(p)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(gi, pi):
-            root[find(int(a))] = find(len(g) + int(b))
-        part = np.array([find(int(a)) for a in gi])
-        kept = []
-        iou = pdf["iou"].to_numpy()
-        for c in np.unique(part):
-            rows = np.flatnonzero(part == c)
-            ga, gx = np.unique(gi[rows], return_inverse=True)
-            pa, px = np.unique(pi[rows], return_inverse=True)
-            score = np.zeros((len(ga), len(pa)))
-            score[gx, px] = iou[rows]
-            flip = len(ga) > len(pa)
-            found = assign(-(score.T if flip else score))
-            chosen = {(int(j), i) if flip else (i, int(j)) for i, j in enumerate(found)}
-            kept += [r for r, a, b in zip(rows, gx, px) if (int(a), int(b)) in chosen]
-        return pdf.iloc[sorted(kept)]
-
-    return pairs.groupBy("image_id", "class").applyInPandas(image, pairs.schema)
+    from ..llm.graph import components  # the subpackage may be left out
+
+    node = lambda kind: F.to_json(F.struct(F.lit(kind[0]).alias("kind"), "image_id", "class", F.col(kind).alias("id")))
+    of = lambda kind: F.count("*").over(Window.partitionBy("image_id", "class", kind))
+    counted = materialise(pairs.withColumns({"__a": node("gt_id"), "__b": node("pred_id"), "__alone": (of("gt_id") == 1) & (of("pred_id") == 1)}))
+    alone = counted.filter("__alone").select(*pairs.columns)
+    rest = counted.filter("not __alone")
+    found = components(rest.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).withColumnRenamed("id", "__a")
+
+    def component(pdf: pd.DataFrame) -> pd.DataFrame:
+        ga, gx = np.unique(pdf["gt_id"], return_inverse=True)
+        pa, px = np.unique(pdf["pred_id"], return_inverse=True)
+        score = np.zeros((len(ga), len(pa)))
+        score[gx, px] = pdf["iou"].to_numpy()
+        flip = len(ga) > len(pa)
+        paired = assign(-(score.T if flip else score))
+        chosen = {(int(j), i) if flip else (i, int(j)) for i, j in enumerate(paired)}
+        return pdf.loc[[(int(a), int(b)) in chosen for a, b in zip(gx, px)], pairs_columns]
+
+    pairs_columns = pairs.columns
+    kept = rest.join(found, "__a").select(*pairs_columns, "component").groupBy("component").applyInPandas(component, pairs.schema)
+    return alone.unionByName(kept)
 
 
 def localization_metrics(gt: DataFrame, pred: DataFrame, iou: float = 0.5) -> DataFrame:
     """One row: n_gt, n_pred, matches, recall, precision and mean_iou (of each prediction's best); null where undefined."""
-    pairs = iou_pairs(gt, pred)
+    pairs = materialise(iou_pairs(gt, pred))
     matched = pair_boxes(pairs).agg(F.coalesce(F.sum((F.col("iou") >= iou).cast("long")), F.lit(0)).alias("matches"))
     best = pairs.groupBy("image_id", "class", "pred_id").agg(F.max("iou").alias("best")).agg(F.coalesce(F.sum("best"), F.lit(0.0)).alias("best"))
     out = gt.agg(F.count("*").alias("n_gt")).crossJoin(pred.agg(F.count("*").alias("n_pred"))).crossJoin(matched).crossJoin(best)  # one row each
@@ -128,10 +137,9 @@ def collisions(boxes: DataFrame, band: int = 256) -> DataFrame:
 
     Boxes meet in bands of the page, each pair in the band where the lower of the two begins.
     """
-    first = lambda y: F.floor(F.col(y) / band)
-    banded = boxes.withColumn("__band", F.explode(F.sequence(first("y1"), F.greatest(first("y1"), first("y2")))))
+    banded = _banded(boxes, band)
     l, r = banded.alias("l"), banded.alias("r")
-    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.__band") == F.col("r.__band")) & (F.col("l.box_id") < F.col("r.box_id")) & overlaps(_box("l"), _box("r"))
-    both = l.join(r, on & (F.col("l.__band") == F.greatest(first("l.y1"), first("r.y1")))).select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
+    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.box_id") < F.col("r.box_id")) & _meet("l", "r", band)
+    both = l.join(r, on).select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
     out = boxes.filter("y1 < 0 or x1 < 0 or y2 > n_rows or x2 > n_cols").select("page_id", F.col("box_id").alias("a"), F.lit(None).cast(boxes.schema["box_id"].dataType).alias("b"))
     return both.unionByName(out)

@@ -146,6 +146,38 @@ def test_pairing_is_optimal():
         assert abs(sum(cost[i, j] for i, j in enumerate(found)) - best) < 1e-9 and len(set(found)) == n
 
 
+def test_pairing_goes_by_component(spark):
+    rng = np.random.default_rng(8)
+    rows = [("i", "c", 10 * k + int(g), 10 * k + int(p), float(rng.random())) for k in range(40) for g, p in {tuple(x) for x in rng.integers(0, 3, (1 + k % 5, 2)).tolist()}]
+    pairs = spark.createDataFrame(rows, "image_id string, class string, gt_id long, pred_id long, iou double")
+    out = score.pair_boxes(pairs)
+    got = out.collect()
+    assert len({r["gt_id"] for r in got}) == len({r["pred_id"] for r in got}) == len(got)
+    best = 0.0
+    for k in range(40):
+        w = {(r[2] % 10, r[3] % 10): r[4] for r in rows if r[2] // 10 == k}
+        best += max(sum(w.get((i, j), 0) for i, j in enumerate(p)) for p in itertools.permutations(range(3)))
+    assert abs(sum(r["iou"] for r in got) - best) < 1e-9
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [component" in plan
+
+
+def test_a_long_run_is_smoothed_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    runs = {1: rng.random(3), 2: rng.random(4000), 3: rng.random(1)}
+    expected, log = {}, []
+    for run, losses in runs.items():
+        mean = 0.0
+        for e, x in enumerate(losses.tolist()):
+            mean = 0.95 * mean + 0.05 * x
+            expected[run, e] = mean / (1 - 0.95 ** (e + 1))
+            log.append((run, e, x))
+    out = runlog.smoothed_loss(spark.createDataFrame(log, "run_id long, epoch int, val_loss double").repartition(3))
+    got = {(r["run_id"], r["epoch"]): r["smoothed"] for r in out.collect()}
+    assert set(got) == set(expected) and max(abs(got[k] - expected[k]) for k in got) < 1e-9
+    assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_metrics_without_boxes(spark):
     none = spark.createDataFrame([], "image_id long, class string, box_id long, y1 int, x1 int, y2 int, x2 int")
     r = score.localization_metrics(none, none).first()
