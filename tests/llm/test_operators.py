@@ -262,6 +262,19 @@ def test_extraction(spark, sf_dir):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and out.filter("n_chars = 0").count() == 0
 
 
+@pytest.mark.parametrize("around", ['<body class="has-sidebar">{}', '<body class="search"><div>{}</div>', '<div id="main" class="no-sidebar">{}</div>', '<article class="ad-free">{}</article>', '<article class="post tag-legal">{}</article>', '<div class="widget"><main>{}</main></div>', '<div class="widget"><div class="content">{}</div></div>', '<form><article>{}</article></form>'])
+def test_a_hint_around_does_not_lose_the_article(around):
+    text = "A paragraph of the article, with enough words in it to be told from a menu. " * 3
+    assert extraction.main_text(around.format(f'<p>{text}</p><div class="ad">Buy this now.</div>')) == text.strip()
+
+
+def test_long_text_outweighs_a_hint_but_short_does_not():
+    long = "Words of a long passage that no link is in, one after another. " * 12
+    assert extraction.main_text(f'<div class="related"><p>{long}</p></div>') == long.strip()
+    for page in ('<div class="related"><p>Read this as well, please.</p></div>', f'<div class="related"><a href="/">{long}</a></div>', f'<nav class="content"><p>{long}</p></nav>', f'<div hidden><article><p>{long}</p></article></div>', '<div class="sidebar-content"><p>Short words.</p></div>'):
+        assert extraction.main_text(page) == ""
+
+
 # ------------------------------------------------------------ 8
 
 
