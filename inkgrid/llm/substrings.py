@@ -1,14 +1,14 @@
-"""Long repeated spans across documents, by compaction of a de Bruijn graph.
+"""Long repeated spans across documents, by winnowed anchors.
 
-Windows of `window` words that occur in an earlier document are to go.  The edges of
-the graph are token k-mers.  For every window the least hash among its k-mers is its
+Windows of `window` words that occur in an earlier document are to go.  No graph
+of k-mers is built.  For every window the least hash among its k-mers is its
 anchor: equal windows have equal anchors, so a window can repeat only where its anchor
-does.  Neighbouring windows with one anchor form a segment, a stretch of the path on
-which nothing branches; a dozen windows are one row.
+does.  Neighbouring windows with one anchor form a segment, a stretch in which
+the anchor stays the same; a dozen windows are one row.
 
 1. An anchor that all its documents see once is dropped (aggregation, then join).
 2. Segments that are equal as a whole are joined to their first source.
-3. Where one anchor has unlike segments the path branches, and only there, and only for
+3. Where one anchor has unlike segments the texts differ, and only there, and only for
    segments that have no earlier equal, single windows are compared.
 4. Neighbouring repeats with one source and one shift are compacted into spans.
 5. Each span is read at both coordinates and kept only if the words are the same.
