@@ -6,17 +6,20 @@ escape is coded (method D: each distinct symbol seen takes half a count for it)
 shorter context tries, without the symbols that the longer one has ruled out.  The code
 lengths add up to the log-probability of the text and its end.
 
-No machine holds the whole trie.  Texts are dealt out in blocks; a block sends its
+No machine holds the whole trie.  Texts are packed in blocks; a block sends its
 distinct (context, symbol) pairs with counts to shards, by the two latest bytes of the
-context.  A shard has every longer context that ends in these bytes, so it can turn
-counts into probabilities on its own; only the table of contexts of at most one byte
-(at most 257 * 257 counts) is sent to all.  Each block gets back the probabilities of its
-own pairs and adds them up by document.  Words, for the base score, go the same way.
+context, or by three where the two are common (the counts of what follows a common pair are
+sent to all; at most HOT pairs are).  A shard has every longer context that ends in these
+bytes, so it can turn counts into probabilities on its own; the table of contexts of at most
+one byte (at most 257 * 257 counts) is sent to all.  Each block gets back the probabilities
+of its own pairs and adds them up by document.  Words, for the base score, go the same way.
 So what is shuffled is, for each block, its distinct pairs, not its bytes.
 
-Defined cases: a null text counts as empty and is scored for its end alone; the trained
-share may be empty (then all is uniform); repeated rows are scored, and learnt from, each
-on its own; documents with a null id are learnt from; extra columns are ignored.
+Defined cases: a null text counts as empty and is scored for its end alone; a very long text
+is coded in parts, with its context, so it needs no more memory than its bytes three times
+over (and a single word of megabytes eight times its own); the trained share may be empty
+(then all is uniform); repeated rows are scored, and learnt from, each on its own; documents
+with a null id are learnt from and scored; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import _LOWER, chunks, mixed, stored, utf8, words_of
+from .blocks import BLOCK, Sums, opened, packed, squeezed, unsqueezed
+from .tables import _LOWER, _SPACE, chunks, mixed, stored, utf8, words_of
 
 ORDER = 5
 END = 256  # the symbol after the last byte, and before the first
 SYMBOLS = 257
 BITS = 9
-#: Bytes of text in a block, and the least number of blocks for small inputs.
-BLOCK = 32 << 20
-SMALL = 2 << 20
+#: Symbols that are coded at once inside a task.
+STEP = 2 << 20
+#: Pairs of bytes that are more than one in so many are split by a third byte.
+HOT = 256
 END_TOKEN = np.int64(0)  # the key of the token after the last word
 GRAM, TOKEN, STATS = 0, 1, 2
 
@@ -103,105 +107,129 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER, key: str = "doc_id", te
 # ------------------------------------------------------------ counts of many texts
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (context, symbol) for every byte and end of consecutive rows, and where each row's codes begin."""
-    size = np.diff(offsets)
-    n, pad = len(size), order + 1
-    first = np.concatenate(([0], np.cumsum(size + pad)))
-    s = np.full(first[-1], END, np.int64)
-    body = np.arange(int(offsets[-1] - offsets[0])) + np.repeat(np.arange(n) * pad + order, size)
-    s[body] = _LOWER[data[offsets[0] : offsets[-1]]]
-    code = s.copy()
-    for k in range(1, order + 1):
-        code[k:] |= s[:-k] << BITS * k
-    real = np.ones(len(s), bool)
-    for k in range(order):
-        real[first[:-1] + k] = False
-    return code[real], np.concatenate(([0], np.cumsum(size + 1)))
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[new], (np.add.reduceat(c, new) if len(k) else c)
-
-
-def _token_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words and the end of each row, and where each row's begin."""
-    words, _, _, before = words_of(data, offsets, lower=True)
+def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes of consecutive rows, each row with its end, and where each row begins."""
     n = len(offsets) - 1
-    at = before + np.arange(n + 1)
-    keys = np.full(len(words) + n, END_TOKEN, np.int64)
-    place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(before))
-    keys[place] = np.maximum((words >> np.uint64(1)).astype(np.int64), 1)
-    return keys, at
+    first = offsets - offsets[0] + np.arange(n + 1)
+    s = np.full(int(first[-1]), END, np.uint16)
+    body = np.ones(len(s), bool)
+    body[first[1:] - 1] = False
+    s[body] = _LOWER[data[int(offsets[0]) : int(offsets[-1])]]
+    return s, first
+
+
+def _codes(s: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Codes of (context, symbol), STEP symbols at once: codes, the row of the first of them, and how many each row has."""
+    for a in range(0, len(s), STEP):
+        b = min(a + STEP, len(s))
+        r = int(np.searchsorted(first, a, "right")) - 1
+        starts = first[r : int(np.searchsorted(first, b))]
+        size = np.minimum(first[r + 1 : r + 1 + len(starts)], b) - np.maximum(starts, a)
+        back = np.arange(a, b) - np.repeat(starts, size)
+        code = s[a:b].astype(np.int64)
+        for k in range(1, order + 1):
+            lead = min(max(k - a, 0), b - a)
+            before = np.concatenate((np.full(lead, END, np.uint16), s[a - k + lead : b - k])) if lead else s[a - k : b - k]
+            code |= np.where(back >= k, before, np.uint16(END)).astype(np.int64) << BITS * k
+        yield code, r, size
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Keys of the words and the end of each row, some rows or a part of a long one at once: keys, first row, and how many each row has."""
+    for r, last in chunks(offsets):
+        at, stop = int(offsets[r]), int(offsets[last])
+        if last - r == 1 and stop - at > STEP:  # a long text goes in parts that end at white space
+            while at < stop:
+                cut = min(at + STEP, stop)
+                if cut < stop:
+                    space = np.flatnonzero(_SPACE[data[at:cut]])
+                    if len(space):
+                        cut = at + int(space[-1]) + 1
+                    else:  # inside a word of that length, which is taken whole
+                        while cut < stop and not _SPACE[data[cut]]:
+                            cut += 1
+                words = words_of(data, np.array([at, cut]), lower=True)[0]
+                keys = np.maximum((words >> np.uint64(1)).astype(np.int64), 1)
+                if cut == stop:
+                    keys = np.append(keys, END_TOKEN)
+                yield keys, r, np.array([len(keys)])
+                at = cut
+            continue
+        words, _, _, before = words_of(data, offsets[r : last + 1], lower=True)
+        n = last - r
+        keys = np.full(len(words) + n, END_TOKEN, np.int64)
+        keys[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(before))] = np.maximum((words >> np.uint64(1)).astype(np.int64), 1)
+        yield keys, r, np.diff(before) + 1
+
+
+def _row_sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values."""
+    out, some = np.zeros(len(size), values.dtype), size > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(size) - size)[some])
+    return out
 
 
-def blocked(docs: DataFrame, blocks: int, key: str, text: str, held_out: Column) -> DataFrame:
-    """Compressed batches of documents by block: block, body (keys as Arrow, flags, texts)."""
-    source = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.col(key), F.coalesce(held_out, F.lit(False)), F.coalesce(F.col(text), F.lit("")))
+def blocks_of(docs: DataFrame, key: str, text: str, held_out: Column) -> tuple[DataFrame, int]:
+    """Stored blocks of documents (key, held, text), and how many there are, roughly."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return packed(rows, lambda batch: batch, size), max(1, -(-size // BLOCK))
+
+
+def _training(bodies: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in opened(bodies):
+        yield utf8(batch.filter(pa.compute.invert(batch["held"]))["text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            order = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=blocks))
-            bodies, to = [], []
-            for a, b in zip(edges[:-1], edges[1:]):
-                rows = batch.take(pa.array(order[a:b]))
-                part = pa.RecordBatch.from_arrays(rows.columns[1:], names=["key", "held", "text"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as w:
-                    w.write_batch(part)
-                bodies.append(pack.compress(sink.getvalue()))
-                to.append(int(block[order[a]]))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(bodies, pa.binary())], names=["block", "body"])
-
-    return source.mapInArrow(run, "block int, body binary")
-
-
-def _opened(bodies: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for body in bodies:
-        with pa.ipc.open_stream(unpack.decompress(body.as_buffer())) as r:
-            yield from r
-
-
-def short_contexts(docs: DataFrame, text: str, held_out: Column) -> tuple[np.ndarray, int]:
-    """Counts of (byte before, symbol) in the training texts, at most 257 * 257 of them, and the bytes of all texts."""
-    source = docs.select(F.coalesce(held_out, F.lit(False)), F.coalesce(F.col(text), F.lit("")))
+
+def _collected(blocks: DataFrame, count, size: int) -> np.ndarray:
+    """Sums of the arrays of `size` numbers that count makes of training symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = np.zeros(1 << 2 * BITS, np.int64), 0
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            size += int(utf8(batch.column(1))[1][[0, -1]] @ [-1, 1]) if batch.num_rows else 0
-            data, offsets = utf8(batch.filter(pa.compute.invert(batch.column(0))).column(1))
-            for a, b in chunks(offsets):
-                total += np.bincount(_grams(data, offsets[a : b + 1], 1)[0], minlength=len(total))
+            for texts in _training(batch.column(0)):
+                total += count(*_symbols(*texts))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[at].tolist(), size], pa.int64())], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
 
-    rows = source.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # bounded by the alphabet
-    table, size = np.zeros(1 << 2 * BITS, np.int64), 0
-    for pair, n in rows:
-        if pair < 0:
-            size = n
-        else:
-            table[pair] = n
-    return table, size
+    out = np.zeros(size, np.int64)
+    for at, n in blocks.select("body").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # at most `size` rows
+        out[at] = n
+    return out
 
 
-def log_probabilities(code: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+def short_contexts(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of (byte before, symbol), at most 257 * 257, and the common pairs of bytes (at most HOT) with the counts of what follows each."""
+
+    def pairs_in(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << 2 * BITS, np.int64)
+        for code, _, _ in _codes(s, first, 1):
+            out += np.bincount(code, minlength=len(out))
+        return out
+
+    pairs = _collected(blocks, pairs_in, 1 << 2 * BITS)
+    hot = np.flatnonzero(pairs * HOT > max(1, pairs.sum()))
+    place = np.full(1 << 2 * BITS, -1, np.int64)
+    place[hot] = np.arange(len(hot))
+
+    def follow(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.zeros(max(1, len(hot)) << BITS, np.int64)
+        for code, _, _ in _codes(s, first, 2):
+            at = place[code >> BITS]
+            some = at >= 0
+            out += np.bincount(at[some] << BITS | code[some] & _mask(1), minlength=len(out))
+        return out
+
+    return pairs, hot, (_collected(blocks, follow, len(hot) << BITS) if len(hot) else np.zeros(0, np.int64)).reshape(-1, 1 << BITS)
+
+
+def log_probabilities(code: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int, hot: np.ndarray | None = None, follow: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each distinct (context, symbol) code.
 
     n: its count in training.  The codes must hold every trained code whose context ends in the
-    same two bytes.  pairs: counts of (byte before, symbol).
+    same two bytes, or three where the two are a hot pair, whose own counts are in follow.
+    pairs: counts of (byte before, symbol).
     """
     out = np.zeros(len(code))
     open_ = np.ones(len(code), bool)
@@ -222,6 +250,8 @@ def log_probabilities(code: np.ndarray, n: np.ndarray, pairs: np.ndarray, order:
         if j >= 2:
             u, at = np.unique(gram, return_inverse=True)
             c = np.bincount(at, n, len(u))
+            if j == 2 and hot is not None and len(hot):
+                u, at, c = _with_hot(u, at, c, hot, follow)
             ctx, of = np.unique(u >> BITS, return_inverse=True)
             total, kinds = np.bincount(of, c, len(ctx)), np.bincount(of, c > 0, len(ctx))
             mine, total, kinds = c[at], total[of][at], kinds[of][at]
@@ -250,69 +280,88 @@ def log_probabilities(code: np.ndarray, n: np.ndarray, pairs: np.ndarray, order:
     return out
 
 
+def _with_hot(u: np.ndarray, at: np.ndarray, c: np.ndarray, hot: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of order 2 with the counts of hot pairs from their table, and all that is known to follow these."""
+    place = np.minimum(np.searchsorted(hot, u >> BITS), len(hot) - 1)
+    mine = np.unique(place[hot[place] == u >> BITS])
+    of, symbol = np.nonzero(follow[mine])
+    whole = np.union1d(u, hot[mine][of] << BITS | symbol)
+    counts = np.zeros(len(whole))
+    counts[np.searchsorted(whole, u)] = c
+    place = np.minimum(np.searchsorted(hot, whole >> BITS), len(hot) - 1)
+    is_hot = hot[place] == whole >> BITS
+    counts[is_hot] = follow[place[is_hot], whole[is_hot] & _mask(1)]
+    return whole, np.searchsorted(whole, u)[at], counts
+
+
 def scores(docs: DataFrame, held_out: Column, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows where held_out is true aren't learnt from.
 
-    order: from 2 to 6 bytes of context.
+    order: from 3 to 6 bytes of context.
     """
     spark = docs.sparkSession
-    pairs, size = short_contexts(docs, text, held_out)
-    blocks = max(1, -(-size // BLOCK), min(16, -(-size // SMALL)))
-    shards = max(8, 2 * blocks)
-    packed = blocked(docs, blocks, key, text, held_out)
+    blocks, number = blocks_of(docs, key, text, held_out)
+    shards = max(16, 4 * number)
+    sent_tables = spark.sparkContext.broadcast(short_contexts(blocks))  # at most (257 + HOT) * 512 numbers
     kind = docs.schema[key].dataType.simpleString()
 
     def shard_of(what: int, keys: np.ndarray) -> np.ndarray:
-        by = (keys >> BITS) & _mask(2) if what == GRAM else keys
-        return (mixed(by.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-    def emit(group: tuple, table: pa.Table) -> pa.Table:
-        keys: dict[int, list] = {GRAM: [], TOKEN: []}
-        counts: dict[int, list] = {GRAM: [], TOKEN: []}
-        for batch in _opened(table["body"]):
-            for held in (False, True):
-                data, offsets = utf8(batch.filter(batch["held"] if held else pa.compute.invert(batch["held"]))["text"])
-                for a, b in chunks(offsets):
-                    for what, found in ((GRAM, _grams(data, offsets[a : b + 1], order)[0]), (TOKEN, _token_keys(data, offsets[a : b + 1])[0])):
-                        k, c = np.unique(found, return_counts=True)
-                        keys[what].append(k)
-                        counts[what].append(np.zeros(len(k), np.int64) if held else c)
-        out: dict[str, list] = {"shard": [], "what": [], "keys": [], "counts": []}
-        for what in (GRAM, TOKEN):
-            k, c = _summed(keys[what], counts[what])
-            to = shard_of(what, k)
-            order_ = np.argsort(to, kind="stable")
-            k, c, to = k[order_], c[order_], to[order_]
-            edges = np.searchsorted(to, np.arange(shards + 1))
-            for i in np.flatnonzero(np.diff(edges)):
-                a, b = edges[i], edges[i + 1]
-                for x, v in (("shard", int(i)), ("what", what), ("keys", k[a:b].tobytes()), ("counts", c[a:b].astype(np.uint32).tobytes())):
-                    out[x].append(v)
-        n = len(out["shard"])
-        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "what": pa.array(out["what"], pa.int32()), "block": pa.array([group[0].as_py()] * n, pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
-
-    sent = packed.groupBy("block").applyInArrow(emit, "shard int, what int, block int, keys binary, counts binary")
-    tables = spark.sparkContext.broadcast(pairs)
+        if what == GRAM:
+            two = (keys >> BITS) & _mask(2)
+            hot = np.zeros(1 << 2 * BITS, bool)
+            hot[sent_tables.value[1]] = True
+            keys = np.where(hot[two], (keys >> BITS) & _mask(3), two | 1 << 3 * BITS)
+        return (mixed(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number_, body in zip(batch.column(0), batch.column(1)):
+                sums = {GRAM: Sums(), TOKEN: Sums()}
+                for rows in opened([body]):
+                    for held in (False, True):
+                        data, offsets = utf8(rows.filter(rows["held"] if held else pa.compute.invert(rows["held"]))["text"])
+                        for what, found in ((GRAM, _codes(*_symbols(data, offsets), order)), (TOKEN, _words(data, offsets))):
+                            for keys, _, _ in found:
+                                k, c = np.unique(keys, return_counts=True)
+                                sums[what].add(k, np.zeros(len(k), np.int64) if held else c)
+                for what in (GRAM, TOKEN):
+                    k, c = sums.pop(what).done()
+                    to = shard_of(what, k)
+                    order_ = np.argsort(to, kind="stable")
+                    k, c, to = k[order_], c[order_].astype(np.uint32), to[order_]
+                    edges = np.searchsorted(to, np.arange(shards + 1))
+                    some = np.flatnonzero(np.diff(edges))
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some, pa.int32()), pa.array([what] * n, pa.int32()), pa.array([number_.as_py()] * n, pa.int64())]
+                        + [pa.array([squeezed(k[edges[i] : edges[i + 1]], True) for i in some], pa.binary()), pa.array([squeezed(c[edges[i] : edges[i + 1]]) for i in some], pa.binary())],
+                        names=["shard", "what", "block", "keys", "counts"],
+                    )
+
+    sent = blocks.mapInArrow(emit, "shard int, what int, block long, keys binary, counts binary")
 
     def model(group: tuple, table: pa.Table) -> pa.Table:
         what = group[1].as_py()
-        keys = [np.frombuffer(x.as_buffer(), np.int64) for x in table["keys"]]
-        k, c = _summed(keys, [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"]])
-        value = log_probabilities(k, c, tables.value, order) if what == GRAM else c.astype(np.float64)
-        n = len(keys)
+        sums = Sums()
+        for keys, counts in zip(table["keys"], table["counts"]):
+            sums.add(unsqueezed(keys.as_buffer(), np.int64, True), unsqueezed(counts.as_buffer(), np.uint32).astype(np.int64))
+        k, c = sums.done()
+        pairs, hot, follow = sent_tables.value
+        value = log_probabilities(k, c, pairs, order, hot, follow) if what == GRAM else c.astype(np.float64)
+        n = table.num_rows
         total = [0, 0] if what == GRAM else [int(c.sum()), int((c > 0).sum())]
         return pa.table(
             {
-                "block": pa.array([*table["block"].to_pylist(), None], pa.int32()),
+                "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
                 "what": pa.array([what] * n + [STATS], pa.int32()),
-                "keys": pa.array([x.tobytes() for x in keys] + [None], pa.binary()),
-                "found": pa.array([value[np.searchsorted(k, x)].tobytes() for x in keys] + [None], pa.binary()),
+                "keys": pa.array([*[x.as_py() for x in table["keys"]], None], pa.binary()),
+                "found": pa.array([*[squeezed(value[np.searchsorted(k, unsqueezed(x.as_buffer(), np.int64, True))]) for x in table["keys"]], None], pa.binary()),
                 "n": pa.array([None] * n + [total[0]], pa.int64()),
                 "v": pa.array([None] * n + [total[1]], pa.int64()),
             }
         )
 
-    answers = stored(sent.groupBy("shard", "what").applyInArrow(model, "block int, what int, keys binary, found binary, n long, v long"))
+    answers = stored(sent.groupBy("shard", "what").applyInArrow(model, "block long, what int, keys binary, found binary, n long, v long"))
     stats = answers.filter(F.col("what") == STATS).agg(F.sum("n"), F.sum("v")).first()
     n_train, n_words = int(stats[0] or 0), int(stats[1] or 0)
     scale = math.log10(n_train + 0.5 * (n_words + 1))
@@ -323,34 +372,27 @@ def scores(docs: DataFrame, held_out: Column, order: int = ORDER, key: str = "do
         index, found = {}, {}
         for what in (GRAM, TOKEN):
             mine = values.filter(pa.compute.equal(values["what"], what))
-            join = lambda c, t, mine=mine: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in mine[c]])
-            index[what], found[what] = pd.Index(join("keys", np.int64)), join("found", np.float64)
+            index[what] = pd.Index(np.concatenate([np.zeros(0, np.int64), *[unsqueezed(x.as_buffer(), np.int64, True) for x in mine["keys"]]]))
+            found[what] = np.concatenate([np.zeros(0), *[unsqueezed(x.as_buffer(), np.float64) for x in mine["found"]]])
         out: list[list] = [[], [], [], [], [], []]
-        for batch in _opened(texts["body"]):
+        for batch in opened(texts["body"]):
             data, offsets = utf8(batch["text"])
-            for a, b in chunks(offsets):
-                code, at = _grams(data, offsets[a : b + 1], order)
-                word, start = _token_keys(data, offsets[a : b + 1])
-                logs = found[GRAM][index[GRAM].get_indexer(code)]
+            rows = batch.num_rows
+            n, known, base, logs = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+            for code, r, size in _codes(*_symbols(data, offsets), order):
+                logs[r : r + len(size)] += _row_sums(found[GRAM][index[GRAM].get_indexer(code)], size)
+            for word, r, size in _words(data, offsets):
                 c = found[TOKEN][index[TOKEN].get_indexer(word)]
-                n = np.diff(start)
-                for x, v in zip(
-                    out,
-                    (
-                        batch["key"].slice(a, b - a),
-                        batch["held"].slice(a, b - a),
-                        pa.array(n, pa.int64()),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), start[:-1]), pa.int64()),
-                        pa.array(np.add.reduceat(np.log10(c + 0.5), start[:-1]) - n * scale),
-                        pa.array(np.add.reduceat(logs, at[:-1])),
-                    ),
-                ):
-                    x.append(v)
+                n[r : r + len(size)] += size
+                known[r : r + len(size)] += _row_sums((c > 0).astype(np.int64), size)
+                base[r : r + len(size)] += _row_sums(np.log10(c + 0.5), size)
+            for x, v in zip(out, (batch["key"], batch["held"], pa.array(n), pa.array(known), pa.array(base - n * scale), pa.array(logs))):
+                x.append(v)
         names = [key, "held_out", "n_tokens", "n_known", "base_score", "score"]
         return pa.table({name: pa.chunked_array(x) for name, x in zip(names, out)})
 
     values = answers.filter(F.col("what") != STATS).select("block", "what", "keys", "found")
-    out = packed.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n_train).cast("long")).select(key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
