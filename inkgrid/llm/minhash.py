@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
-A document is the set of its word shingles.  Sets that are equal form one class,
-whose member with the least id stands for it.  Of each class's minima, the low bits
+A document is the set of its word shingles.  Sets that are equal form one class, named by
+the set's hash; one row stands for it.  Of each class's minima, the low bits
 are kept, packed into a signature; bands of whole minima give the buckets in which
 candidates meet.  For a candidate pair the bits of the two signatures that agree are
 counted, corrected for chance agreement, and pairs that are surely too far apart go.
@@ -16,10 +16,14 @@ every pair that could still join two components is looked at.
 With the default bands a pair at the least similarity shares no bucket with a
 probability of (1 - s**rows)**bands = 5e-9.
 
+What many rows share (a hub that much is linked to, a set that many documents have) is
+joined in parts (`hub_join`), so no task gets all of it.
+
 Defined cases: a text without words (or null) has an empty set and is linked with
-nothing; with fewer words than a shingle has, all of them are one shingle; documents
-with a null id are left out, as no link could name them; ids name texts, so repeated
-rows are fine and come back repeated; extra columns are ignored.
+nothing, whatever else has its id; with fewer words than a shingle has, all of them are one shingle; documents
+with a null id come back with a null component, kept, and link nothing, as no link could
+name them; repeated rows come back repeated; texts with one id are one document, linked to
+all that any of them is linked to; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .tables import chunks, mixed, rolling, stored, utf8, words_of
+from .tables import chunks, hub_join, mixed, rolling, stored, utf8, words_of
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
                 yield np.zeros(0, np.uint64)
 
 
+def _class_of(s: np.ndarray) -> int:
+    """A hash of the set."""
+    return int(np.bitwise_xor.reduce(mixed(s + np.uint64(len(s)))).astype(np.int64)) if len(s) else 0
+
+
 def _minima(s: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> np.ndarray:
     x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(salts), 0xFFFFFFFF, np.uint32)
@@ -80,7 +89,7 @@ def _minima(s: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, the two halves of the set's hash, signature (packed low bits) and keys of the bands, for every row."""
+    """key, n_shingles, c (hash of the set), signature (packed low bits) and keys of the bands, for every row."""
     random = np.random.default_rng(20)
     salts = random.integers(0, 1 << 32, settings.minima, dtype=np.uint32)
     factors = random.integers(0, 1 << 31, settings.minima, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -89,7 +98,7 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
     per, shingle = 64 // settings.bits, settings.shingle
     n_longs = -(-settings.minima // per)
     shift = np.uint64(settings.bits) * np.arange(per, dtype=np.uint64)
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles long, h1 long, h2 long, signature array<long>, bands array<long>"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles long, c long, signature array<long>, bands array<long>"
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     bands, bits, per_band = settings.bands, settings.bits, settings.rows
 
@@ -98,7 +107,7 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
             n, hashes, low, keys = [], [], [], []
             for s in shingle_sets(*utf8(batch.column(1)), shingle):
                 n.append(len(s))
-                hashes.append((np.bitwise_xor.reduce(mixed(s + np.uint64(len(s)))), np.sum(mixed(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0)))
+                hashes.append(_class_of(s))
                 m = _minima(s, salts, factors)
                 kept = np.zeros(n_longs * per, np.uint64)
                 kept[: len(m)] = (m * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
@@ -106,15 +115,13 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
                 keys.append(mixed((m[: bands * per_band].reshape(bands, -1).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ band))
             if not n:
                 continue
-            pairs = np.array(hashes, np.uint64).reshape(-1, 2).view(np.int64)
-
             def lists(values: list[np.ndarray]) -> pa.Array:
                 flat = np.concatenate(values).view(np.int64)
                 return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(values[0]), dtype=np.int32)), pa.array(flat))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), lists(low), lists(keys)],
-                names=[key, "n_shingles", "h1", "h2", "signature", "bands"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.int64()), lists(low), lists(keys)],
+                names=[key, "n_shingles", "c", "signature", "bands"],
             )
 
     return source.mapInArrow(run, schema)
@@ -138,22 +145,24 @@ def estimate(a: Column, b: Column, settings: Settings) -> Column:
     return (1.0 - different / settings.minima - chance) / (1.0 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full sets have the least similarity.  docs: id and text."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(wanted, "id", "left_semi").select("id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
+    """The pairs of classes (a, b) whose full sets have the least similarity.  docs: id and text; reps: c and id; pairs: stored."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    ids = reps.select("c", "id").join(wanted, "c", "left_semi").select("id").distinct()
+    texts = docs.join(ids, "id", "left_semi").select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     shingle, percent = settings.shingle, settings.percent
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                sets = [s.tobytes() for s in shingle_sets(*utf8(part.column(1)), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+                sets = {_class_of(s): s.tobytes() for s in shingle_sets(*utf8(part.column(0)), shingle)}
+                yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["c", "s"])
 
-    sets = texts.mapInArrow(to_sets, f"id {docs.schema['id'].dataType.simpleString()}, s binary")
+    sets = texts.mapInArrow(to_sets, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))  # repeated rows are one
     # The hub's set (a) comes last and is never shuffled along with the pairs.
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    joined = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    joined = hub_join(joined, sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a", pairs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +173,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, text: str = "
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def _compared(settings: Settings):
@@ -177,8 +185,8 @@ def _compared(settings: Settings):
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         bucket, i, j = (x.as_py() for x in group)
-        table = table.sort_by("id").combine_chunks()
-        ids, component, n, mine = (table[c].to_numpy() for c in ("id", "component", "n", "mine"))
+        table = table.sort_by("c").combine_chunks()
+        ids, component, n, mine = (table[c].to_numpy() for c in ("c", "component", "n", "mine"))
         sig, bands = (table[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sig", "bands"))
         sig = sig.view(np.uint64)
         out: list[np.ndarray] = []
@@ -203,58 +211,62 @@ def _compared(settings: Settings):
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every document: key, n_shingles, component_id (the least key reachable over links) and kept (it is that one)."""
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = stored(signatures(texts, settings, "id"))
-    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    first = F.col("id") == F.col("rep")  # only a class's least member takes its signature along
-    tagged = rows.join(classes, ["h1", "h2", "n_shingles"]).select(
-        "id", "rep", F.col("n_shingles").alias("n"), F.when(first, F.col("signature")).alias("sig"), F.when(first, F.col("bands")).alias("bands")
-    )
-    tagged = stored(tagged)
-    reps = tagged.filter("id = rep")
-    look = reps.select("id", "n", "sig")
-    banded = reps.select("id", F.explode("bands").alias("bucket"))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    every = stored(signatures(texts, settings, "id"))
+    rows = every.filter("id is not null and n_shingles > 0")
+    classes = stored(rows.groupBy("c").agg(F.min("id").alias("id")))
+    reps = rows.join(classes, ["c", "id"]).dropDuplicates(["c", "id"])  # one row of a class takes its signature along
+    reps = stored(reps.select("c", "id", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"), "bands"))
+    look = reps.select("c", "n", "sig")
+    banded = reps.select("c", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowd = stored(banded.join(shared, "bucket"))
-    company = crowd.groupBy("id").agg(F.sum("size").alias("company"))
-    pivots = crowd.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("company"), -F.hash("id"), "id")).alias("pivot"))
-    crowd = stored(crowd.join(pivots, "bucket").filter("id <> pivot"))
+    company = crowd.groupBy("c").agg(F.sum("size").alias("company"))
+    pivots = crowd.join(company, "c").groupBy("bucket").agg(F.max_by("c", F.struct(F.col("company"), -F.hash("c"), "c")).alias("pivot"))
+    crowd = stored(hub_join(crowd, pivots, "bucket", crowd).filter("c <> pivot"))
     whole_percent, least = settings.percent, settings.percent / 100 - settings.slack
 
     def near(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
         return (100 * F.least(na, nb) >= whole_percent * F.greatest(na, nb)) & (estimate(sa, sb, settings) >= least)
 
-    star = (
-        crowd.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        .join(look.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        .join(look.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .filter(near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
-        .select("a", "b")
+    star = stored(crowd.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
+    star = hub_join(
+        star.join(look.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b"),
+        look.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")),
+        "a",
+        star,
     )
-    links = stored(confirm(stored(star), texts, settings))
-    whole = stored(components(links))
+    star = star.filter(near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b")
+    links = stored(confirm(stored(star), texts, reps, settings))
+    # Texts with one id are one document.
+    own = rows.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("id", "a")
+    links = stored(links.union(rows.select("id", "c").distinct().join(own, "id").select("a", F.col("c").alias("b"))))
+    whole = stored(components(links).withColumnRenamed("id", "c"))
 
     # What the pivots left apart: members of one bucket in different components.
-    inside = stored(crowd.join(whole, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    inside = stored(crowd.join(whole, "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("component")))
     apart = inside.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
-    cells = inside.join(apart.select("bucket", "size"), "bucket").join(reps.select("id", "n", "sig", "bands"), "id")
+    cells = inside.join(apart.select("bucket", "size"), "bucket").join(reps.select("c", "n", "sig", "bands"), "c")
     small = cells.filter(F.col("size") <= settings.few)
-    left, right = (small.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "sig")]) for x in "ab")
-    unlike = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    left, right = (small.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("c", "component", "n", "sig")]) for x in "ab")
+    unlike = (F.col("c_a") < F.col("c_b")) & (F.col("component_a") != F.col("component_b"))
     close = near(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"))
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & unlike & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & unlike & close).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     large = cells.filter(F.col("size") > settings.few).withColumn("blocks", F.ceil(F.col("size") / settings.block).cast("int"))
-    large = large.withColumn("mine", F.pmod(F.hash("id"), "blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("bucket", F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "id", "component", "n", "sig", "bands")
-    pairs = pairs.union(large.groupBy("bucket", "i", "j").applyInArrow(_compared(settings), f"a {kind}, b {kind}"))
-    found = stored(confirm(stored(pairs.distinct()), texts, settings))
+    large = large.withColumn("mine", F.pmod(F.hash("c"), "blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("bucket", F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "c", "component", "n", "sig", "bands")
+    pairs = pairs.union(large.groupBy("bucket", "i", "j").applyInArrow(_compared(settings), "a long, b long"))
+    found = stored(confirm(stored(pairs.distinct()), texts, reps, settings))
     if not found.isEmpty():
-        whole = components(links.union(found))
-    linked = tagged.select("id", "rep").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    linked = linked.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.select("id", "n_shingles").join(linked, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        whole = stored(components(links.union(found)).withColumnRenamed("id", "c"))
+    least_id = whole.join(classes, "c").groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = hub_join(whole, least_id, "component", whole).select("c", "component_id")
+    named = classes.join(linked, "c", "left").select("c", F.coalesce("component_id", "id").alias("component_id"))
+    slim = rows.select("id", "n_shingles", "c")
+    out = hub_join(slim, named, "c", slim).select("id", "n_shingles", "component_id")
+    rest = every.filter("id is null or n_shingles = 0").select("id", "n_shingles", "id")
+    out = out.union(rest)
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once inside a task (one document at least).
 CHUNK = 1 << 21
@@ -36,6 +37,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A value is a hub if more than one in so many rows have it; a hub's rows go to so many tasks.
+HUBS, PARTS = 256, 32
+
+
+def hub_join(left: DataFrame, right: DataFrame, on: str, counted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """left joined to right on `on` and also; right has one row for each value of these, few values of `on` may have most of left's rows.
+
+    counted is a stored table with left's values of `on`, or more.  A hub's rows (HUBS values at
+    most are hubs) are dealt to PARTS tasks, to each of which the hub's rows of right go.
+    """
+    n = counted.count()
+    hubs = [r[0] for r in counted.groupBy(on).count().filter(F.col("count") * HUBS > max(n, 100 * HUBS)).collect()]
+    if not hubs:
+        return left.join(right, [on, *also])
+    is_hub, all_parts = F.col(on).isin(hubs), F.sequence(F.lit(0), F.lit(PARTS - 1))
+    left = left.withColumn("__part", F.when(is_hub, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).otherwise(0))
+    right = right.withColumn("__part", F.explode(F.when(is_hub, all_parts).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [on, *also, "__part"]).drop("__part")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and where each row starts and ends in them; null is empty."""
     if column.null_count:
