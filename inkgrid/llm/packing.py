@@ -5,9 +5,10 @@ the histogram of piece lengths (at most `capacity` rows, whatever the input) goe
 to the driver.  There the configuration LP - cover every length's count with as
 few full sequences as possible - is solved by multiplicative weights: each length
 has a price, a knapsack by dynamic programming finds the configuration that is
-worth most at these prices, and the prices of what it covers fall.  The
-configurations are rounded by applying each as often as its counts allow, fullest
-first; what is left is packed best-fit-decreasing on the histogram.
+worth most at these prices, and the prices of what it covers fall.  Steps are rounded
+down to whole sequences as they are taken, so prices answer to what rounding left.
+The last REST of the tokens is packed best-fit-decreasing on the histogram.
+Rounds depend on the lengths and on STEP, not on the counts.
 
 The plan says, for each length, which ranks go where.  Ranks come from counts per
 (length, bucket of documents), so no length is numbered in one task.
@@ -38,6 +39,11 @@ END = 1
 CACHED_WORDS, CACHED_PARTS = 400_000, 1_000_000
 #: Pieces for each bucket of ranks.
 BUCKET = 20_000
+#: The linear program: the share of a length that a round covers, the share of tokens it leaves to
+#: best fit, the rounds that large counts take, roughly, and the lengths that one knapsack looks at.
+STEP, REST, ROUNDS, DRAWN = 0.3, 0.02, 4096, 64
+#: How fast prices fall: slowly, where many lengths fill a sequence; fast, where few do.  Both are tried.
+RATES = (0.3, 2.0)
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 _KNOWN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")  # these characters lower-case and split in ways that _PARTS states
@@ -139,78 +145,93 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, key: str = "do
 # ------------------------------------------------------------ the plan, on the histogram of lengths
 
 
-def price_out(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration worth most: how often it has each length.  Unbounded knapsack by dynamic programming."""
+def knapsack(lengths: np.ndarray, copies: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration worth most, with at most `copies` of each length: how often it has each.  Dynamic programming over the room."""
+    item, times = [], []
+    for i, n in enumerate(np.minimum(copies, capacity // lengths).tolist()):
+        part = 1
+        while n > 0:  # 1, 2, 4, ... copies and the rest are one item each
+            item.append(i), times.append(min(part, n))
+            n, part = n - part, 2 * part
+    size = (lengths[item] * times).tolist()
+    value = (prices[item] * times).tolist()
     worth = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    # A length that fits k times stands for its price per token; of all lengths only those on the price frontier matter.
-    order = np.argsort(lengths)
-    best = np.maximum.accumulate((prices / lengths)[order])
-    use = order[(prices / lengths)[order] >= 0.5 * best]
-    size, value = lengths[use], prices[use]
-    rank = np.argsort(size)
-    size, value, use = size[rank], value[rank], use[rank]
-    fits = np.searchsorted(size, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        n = fits[c]
-        worth[c], choice[c] = worth[c - 1], -1
-        if n:
-            w = worth[c - size[:n]] + value[:n]
-            k = int(w.argmax())
-            if w[k] > worth[c]:
-                worth[c], choice[c] = w[k], use[k]
-    config = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c > 0:
-        k = choice[c]
-        if k < 0:
-            c -= 1
-            continue
-        if config[k] < counts[k]:
-            config[k] += 1
-        c -= lengths[k]
+    took = np.zeros((len(item), capacity + 1), bool)
+    for k, (w, v) in enumerate(zip(size, value)):
+        other = worth[: capacity + 1 - w] + v
+        np.greater(other, worth[w:], out=took[k, w:])
+        np.maximum(worth[w:], other, out=worth[w:])
+    config, room = np.zeros(len(lengths), np.int64), capacity
+    for k in range(len(item) - 1, -1, -1):
+        if took[k, room]:
+            config[item[k]] += times[k]
+            room -= size[k]
     return config
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.5) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, in the fractional cover by multiplicative weights."""
-    prices = lengths / capacity  # a length is worth its share of a sequence at first
-    used: list[tuple[np.ndarray, float]] = []
-    cover = np.zeros(len(lengths))
-    for _ in range(rounds):
-        config = price_out(lengths, counts, prices, capacity)
-        if not config.any():
-            break
-        times = float(np.min(counts[config > 0] / config[config > 0])) * step
-        used.append((config, max(times, 1.0)))
-        cover += used[-1][1] * config
-        share = used[-1][1] * config / counts
-        prices = prices * np.exp(-share) * np.where(cover >= counts, 0.5, 1.0)
-        if (cover >= counts).all():
-            break
-    return used
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: how many} with how many sequences have each; together they hold the histogram exactly."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if whole := left.pop(capacity, 0):
-        out.append(({capacity: 1}, whole))
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[n] for n in lengths], np.int64)
-        used = solve(lengths, counts, capacity, rounds)
-        used.sort(key=lambda u: (-int(u[0] @ lengths), -u[1]))
-        rest = counts.copy()
-        for config, times in used:  # rounding
-            some = config > 0
-            n = min(int(np.ceil(times)), int(np.min(rest[some] // config[some])))
-            if n and config @ lengths >= capacity - 1:  # one that wastes tokens is left to best fit
-                rest -= n * config
-                out.append(({int(a): int(b) for a, b in zip(lengths[some], config[some])}, n))
-        out += best_fit(lengths, rest, capacity)
-    return out
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, step: float = STEP, rest: float = REST, seed: int = 1) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Configurations with how many sequences take each, by multiplicative weights, and the counts that are left.
+
+    The price of a length starts at its share of a sequence and falls by exp(-rate) as all of it
+    is covered.  A round finds the configuration worth most by a knapsack over lengths drawn by
+    price (all, if few), and takes it for `step` of what its scarcest length has left, or for one
+    in ROUNDS of all sequences, rounded down to whole ones, but for one at least; so the cover
+    is whole numbers throughout.  It ends when no more than `rest` of the tokens is left.
+    """
+    random = np.random.default_rng(seed)
+    left, used = counts.copy(), []
+    total = tokens = int(lengths @ counts)
+    finest = total // capacity // ROUNDS
+    while tokens > rest * total:
+        prices = lengths / capacity * np.exp(rate * (left / counts - tokens / total))
+        some = np.flatnonzero(left)
+        if len(some) > DRAWN:
+            share = prices[some] / lengths[some]
+            some = some[np.argsort(random.exponential(size=len(some)) / share)[:DRAWN]]
+        few = knapsack(lengths[some], left[some], prices[some], capacity)
+        some, few = some[few > 0], few[few > 0]
+        most = int((left[some] // few).min())
+        times = max(1, int(step * most), min(most, finest))
+        left[some] -= times * few
+        tokens -= int(lengths[some] @ few) * times
+        config = np.zeros(len(lengths), np.int64)
+        config[some] = few
+        used.append((config, times))
+    return used, left
+
+
+def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound of the sequences needed, from dual prices: for a limit a, pieces longer than capacity - a go
+    alone, longer than half of it go one to a sequence, and those of at least a fill what room these leave."""
+    count = np.bincount(list(histogram), list(histogram.values()), capacity + 1)
+    number, tokens = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    a = np.arange(capacity // 2 + 1)
+    top, half = capacity - a, capacity // 2
+    alone = number[-1] - number[top]
+    mates, in_mates = number[top] - number[half], tokens[top] - tokens[half]
+    small = tokens[half] - np.where(a > 0, tokens[np.maximum(a - 1, 0)], 0)
+    return int(np.max(alone + mates + np.maximum(0, np.ceil((small - (mates * capacity - in_mates)) / capacity))))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, from_program: list[int] | None = None) -> list[tuple[dict[int, int], int]]:
+    """Configurations {length: how many} with how many sequences have each; together they hold the histogram exactly.
+
+    from_program gets the number of sequences whose configuration the linear program gave.
+    """
+    wanted = {n: c for n, c in histogram.items() if c > 0}
+    lengths = np.array(sorted(wanted), np.int64)
+    counts = np.array([wanted[n] for n in lengths], np.int64)
+    best: tuple = ()
+    for rate in RATES:
+        used, left = solve(lengths, counts, capacity, rate)
+        out = [({int(a): int(b) for a, b in zip(lengths[c > 0], c[c > 0])}, n) for c, n in used]
+        n = sum(n for _, n in out)
+        out += best_fit(lengths, left, capacity)
+        if not best or sum(n for _, n in out) < best[0]:
+            best = sum(n for _, n in out), n, out
+    if from_program is not None:
+        from_program.append(best[1])
+    return best[2]
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -241,7 +262,7 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return out
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", rounds: int = 60) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """found (key, piece, length, ...) with sequence_id and offset.  It is read three times: pass a stored table.
 
     Every length must be from 1 to capacity.
@@ -258,7 +279,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", rounds
     length, first, copies, sequence, offset = [], [], [], [], []
     taken: dict[int, int] = {}
     number = 0
-    for config, times in plan(histogram, capacity, rounds):
+    for config, times in plan(histogram, capacity):
         place = 0
         for size, n in sorted(config.items(), reverse=True):
             for x, v in ((length, size), (first, taken.get(size, 0)), (copies, n), (sequence, number), (offset, place)):
