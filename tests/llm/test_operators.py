@@ -271,7 +271,41 @@ def test_extraction(spark, sf_dir):
     got = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
     assert got[1] == "Head & line\n\nFirst bold text, with words. More.\n\nSecond." and got[2] == got[3] == ""
     out = extraction.op7(spark, sf_dir)
-    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.filter("n_chars = 0").count() == 0
+    assert out.columns == ["page_id", "url", "text", "n_chars", "n_blocks", "n_moved"] and out.filter("n_chars = 0").count() == 0
+    assert extraction.extract(df.filter("page_id < 0")).count() == 0 and extraction.fit(df) == extraction.WEIGHTS
+
+
+# What a reader would take from each page, written down by hand.
+PAGES = [
+    ('<body><div id="cookie-notice"><p>We use cookies to make this site work, and to learn what is read. Choose below what you allow us to keep, and for how long we may keep it.</p><button>Yes</button></div><main><h1>A title</h1><p>Yes.</p><p>The first paragraph has more words, and ends here.</p><ul><li>Milk</li><li>Eggs</li><li>Two cups of flour</li></ul><p>No.</p></main><aside><p>Also of note, on another page.</p></aside></body>',
+     "A title\n\nYes.\n\nThe first paragraph has more words, and ends here.\n\nMilk\n\nEggs\n\nTwo cups of flour\n\nNo."),
+    ('<header><a href="/">Home</a></header><div class="content"><h2>News</h2><p>Something happened, and it was said to be new.</p><div class="share"><a href="#">Tell</a> <a href="#">Print</a></div><p>Later it was old.</p></div><div id="comments"><article class="comment"><p>I read all of this, and I think that it was well put, though the end came too soon for me. Thank you for writing it, and please go on.</p></article></div>',
+     "News\n\nSomething happened, and it was said to be new.\n\nLater it was old."),
+    ("<div><div><p>Without any names, a page has only its words to go by, and these are many, in whole sentences. They go on for a while.</p><p>Short.</p><p>Then there is one more paragraph, in which the same is said again, with other words.</p></div><div><a href='a'>One</a> <a href='b'>Two</a> <a href='c'>Three</a></div></div>",
+     "Without any names, a page has only its words to go by, and these are many, in whole sentences. They go on for a while.\n\nShort.\n\nThen there is one more paragraph, in which the same is said again, with other words."),
+    ("<article><p>Of.</p></article><footer>x</footer>", "Of."),
+    ("<p>a &lt;b&gt; &amp;amp; c&nbsp;d</p> tail <!-- gone", "a <b> &amp; c d\n\ntail"),
+    ("<script>var a = '<p>no</p>'; //", ""),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_pages_labelled_by_hand(page, want):
+    assert extraction.main_text(page) == want
+
+
+def test_the_cut_overrules_what_a_block_is_worth_alone():
+    found, worths, kept = extraction.labelled("<div>" + "<p>A paragraph with a good number of words in it, as an article has them, and more after that. And then some.</p>" * 2 + "<p>No</p>" + "<p>And after the short one the text goes on, with words enough to be told from a menu of links. Here it ends.</p></div>", (-1.0, 2.0, -4.0, 1.0, 1.0, -4.0))
+    assert worths[2] < 0 and kept == [True] * 4
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a ">" ', "<a<a", "<!--", "<script", "<div></x>", "<p>some words, and more of them.</p><p><a>x</a></p>"])
+def test_hostile_markup_takes_linear_time(part):
+    import time
+
+    began = time.process_time()
+    extraction.main_text(part * (300_000 // len(part)) + ">")
+    assert time.process_time() - began < 3
 
 
 @pytest.mark.parametrize("around", ['<body class="has-sidebar">{}', '<body class="search"><div>{}</div>', '<div id="main" class="no-sidebar">{}</div>', '<article class="ad-free">{}</article>', '<article class="post tag-legal">{}</article>', '<div class="widget"><main>{}</main></div>', '<div class="widget"><div class="content">{}</div></div>', '<form><article>{}</article></form>'])
