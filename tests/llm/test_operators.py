@@ -228,7 +228,7 @@ def test_quality_edge_cases(spark):
 def test_surrogates_keep_type_format_and_coreference(spark):
     text = "Dr. Maria Lopez wrote to ann.5@mail.example.com; Lopez called +1 (017) 555-7713 from 97.51.17.173. token = \"04dbebab91ab85687d33eeaaf9ac699e\" 4111 1111 1111 1111"
     rows = [(1, text), (2, "ANN.5@mail.example.com and 4111111111111111"), (3, None), (4, "plain words 12")]
-    got = {r["doc_id"]: r for r in privacy.replace_private(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in privacy.replace_private(frame(spark, rows), b"k").collect()}
     new = got[1]["text"]
     for secret in ("Lopez", "ann.5@", "555-7713", "97.51.17.173", "04dbebab", "4111"):
         assert secret not in new
@@ -237,13 +237,54 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert got[2]["text"].startswith(mail)
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}$", new)[0].replace(" ", "")
     assert got[2]["text"].endswith(card) and privacy._luhn(card)
-    assert privacy.surrogate("PERSON", "f|Anna Berg").split("|")[1].split()[0] in privacy.NAMES["LATIN", "f"].split()
+    assert privacy.surrogate("PERSON", "Anna Berg", b"k", 0, "f").split()[0] in privacy.NAMES["LATIN", "f"].split()
+
+
+def test_surrogates_stay_distinct_and_full_classes_end(spark):
+    rows = [("PERSON", f"Ann{i} Name{i}", "f" * (i % 2)) for i in range(200)] + [("SSN", "123456789", "")] + [("EMAIL", f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.org", "") for i in range(2500 // 4)] + [("PHONE", f"{i}", "") for i in range(10)]
+    got = privacy.assigned(spark.createDataFrame(rows, "kind string, canonical string, gender string"), b"k").collect()
+    assert len({(r["kind"], privacy.visible(r["kind"], r["surrogate"])) for r in got}) == len(got) == len(rows)
+    assert not {(k, privacy.visible(k, c)) for k, c, _ in rows} & {(r["kind"], privacy.visible(r["kind"], r["surrogate"])) for r in got}
+
+
+def replaced_by_hand(texts, key):
+    """Entities one after another, each with the first surrogate that nothing else has."""
+    real, order = set(), {}
+    for t in texts:
+        for e in privacy.entities(t or ""):
+            real.add((e.kind, privacy.visible(e.kind, e.canonical)))
+            order[e.kind, e.canonical] = max(order.get((e.kind, e.canonical), ""), e.gender)
+    new, attempt = {}, dict.fromkeys(order, 0)
+    while True:
+        for (k, c), n in attempt.items():
+            new[k, c] = privacy.surrogate(k, c, key, n, order[k, c])
+        seen = collections.defaultdict(list)
+        for (k, c), x in new.items():
+            seen[k, privacy.visible(k, x)].append((attempt[k, c], c))
+        again = {(k, c) for (k, v), who in seen.items() for _, c in (who if (k, v) in real else sorted(who)[1:])}
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    out = []
+    for t in texts:
+        for e in reversed(privacy.entities(t or "")):
+            t = t[: e.start] + privacy.written(e, t[e.start : e.end], new[e.kind, e.canonical]) + t[e.end :]
+        out.append(t)
+    return out
+
+
+def test_replacing_matches_one_text_after_another(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(None, "Mr. Paul Ost met Dr. Paul Ost; Ost left. a@b.org"), (None, "Frau Ost, A@B.org"), *EDGE[:4], (rows[0][0], rows[0][1])]
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in privacy.replace_private(frame(spark, rows), b"k").collect())
+    assert got == sorted((i or -1, t or "") for (i, _), t in zip(rows, replaced_by_hand([t for _, t in rows], b"k")))
+    assert privacy.replace_private(empty(spark), b"k").count() == 0
 
 
-def test_surrogates_stay_distinct(spark):
-    names = spark.createDataFrame([("PERSON", f"m|Name{i}") for i in range(200)] + [("SSN", "123456789")], "kind string, canonical string")
-    got = privacy.assigned(names).collect()
-    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(got) == 201
+def test_long_local_parts_and_far_names_are_found_whole():
+    text = "x" * 80 + "@mail.org and secret" + " " * 60 + "= " + "Abc123def456ghi"
+    assert [(e.kind, text[e.start : e.end]) for e in privacy.entities(text)] == [("EMAIL", "x" * 80 + "@mail.org"), ("SECRET", "Abc123def456ghi")]
 
 
 # ------------------------------------------------------------ 7
