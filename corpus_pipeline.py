@@ -30,8 +30,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets become surrogates."""
-    return privacy.without_private(docs)
+    """Personal data and secrets become surrogates; the setting inkgrid.surrogates.key holds the key (unset: the one for tests)."""
+    key = spark.conf.get("inkgrid.surrogates.key", None)
+    return privacy.without_private(docs, key.encode() if key else privacy.TEST_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
