@@ -222,6 +222,29 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(empty(spark)).columns == ["doc_id", "text", "lang"]
 
 
+def test_references_count_trusted_texts(spark):
+    docs = frame(spark, [(1, "The the of. "), (2, "of THE a"), (3, "not trusted"), (4, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 1), (3, 0), (4, 1), (None, 1)], "doc_id long, quality int")
+    (r,) = quality.references(docs, labels, common=2).collect()
+    assert (r["ref_lang"], r["ref_words"], r["ref_shares"]) == ("en", ["the", "a"], [3 / 6, 1 / 6])
+    assert r["ref_classes"][0] == 10 / 20 and sum(r["ref_classes"]) == pytest.approx(1)
+    judged = quality.quality_rules(docs, quality.references(docs, labels)).collect()
+    assert len(judged) == 4 and judged[0]["word_divergence"] is not None and quality.references(docs, labels.filter("quality > 1")).count() == 0
+
+
+@pytest.mark.parametrize("window", [2, 3, 5, 8])
+def test_repeated_words_of_any_window(spark, window):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
+    got = {r["id"]: r["n"] for r in quality.window_hashes(df, "w", window, "h").select("id", quality.repeat_words(F.col("h"), window).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        runs = [tuple(w[j : j + window]) for j in range(len(w) - window + 1)]
+        covered = {j + k for j, r in enumerate(runs) if runs.count(r) > 1 for k in range(window)}
+        assert got[i] == len(covered)
+
+
 # ------------------------------------------------------------ 6
 
 

@@ -14,7 +14,8 @@ def test_stages(spark, sf_dir, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] if k in (1, 2, 3) else None
         if k == 0:
-            want = {r["doc_id"] for r in quality.quality_rules(docs).filter("kept").select("doc_id").collect()}
+            refs = quality.references(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            want = {r["doc_id"] for r in quality.quality_rules(docs, refs).filter("kept").select("doc_id").collect()}
         path = str(tmp_path / str(k))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
