@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,25 +63,53 @@ def _parts(df: DataFrame, low: Column, high: Column, reach: float, rows: int) ->
     return placed.join(spots, F.col("page_id").eqNullSafe(F.col("__page")) & F.col("__low").eqNullSafe(F.col("__at"))).drop("__low", "__high", "__page", "__at")
 
 
+def _whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of rows that are sorted by keys, cut anew so that no run of equal keys is split, and where their runs begin and end."""
+    left: pd.DataFrame | None = None
+
+    def edges(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            new[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+        return np.concatenate(([0], np.flatnonzero(new), [len(pdf)]))
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+        at = edges(pdf)
+        left = pdf.iloc[at[-2] :]
+        if len(at) > 2:
+            yield pdf.iloc[: at[-2]].reset_index(drop=True), at[:-1]
+    if left is not None:
+        yield left.reset_index(drop=True), np.array([0, len(left)])
+
+
 def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarray], Callable], low: Column, high: Column, reach: float, rows: int) -> DataFrame:
     fields = df.schema.fields
     schema = T.StructType([*fields, T.StructField("__base", df.schema[order].dataType), T.StructField("add_order", T.IntegerType())])
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        box = pdf[BOX].to_numpy(float)
-        group, place = grow_groups(box, near_of(box))
-        base = np.zeros(group.max() + 1, np.int64)
-        base[group[place == 0]] = np.flatnonzero(place == 0)
-        pdf["__base"], pdf["add_order"] = pdf[order].to_numpy()[base[group]], place.astype(np.int32)
-        return pdf[[*(f.name for f in fields), "__base", "add_order"]]
-
-    out = _parts(df, low, high, reach, rows).groupBy("page_id", "__part").applyInPandas(part, schema)
+    names = [*(f.name for f in fields), "__base", "add_order"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, edges in _whole_runs(batches, ["page_id", "__part"]):
+            box, numbers = pdf[BOX].to_numpy(float), pdf[order].to_numpy()
+            bases, places = numbers.copy(), np.zeros(len(pdf), np.int32)
+            for a, b in zip(edges[:-1], edges[1:]):
+                group, place = grow_groups(box[a:b], near_of(box[a:b]))
+                base = np.zeros(group.max() + 1, np.int64)
+                base[group[place == 0]] = np.flatnonzero(place == 0)
+                bases[a:b], places[a:b] = numbers[a:b][base[group]], place
+            yield pdf.assign(__base=bases, add_order=places)[names]
+
+    placed = _parts(df, low, high, reach, rows).repartition("page_id", "__part").sortWithinPartitions("page_id", "__part", order)
+    out = placed.mapInPandas(run, schema)
     number = (F.dense_rank().over(Window.partitionBy("page_id").orderBy(F.desc("__base"))) - 1).cast("int")
     return out.withColumn(output, number).select(*[f.name for f in fields], output, "add_order")
 
 
-def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: float = 0.25, part_rows: int = 2000) -> DataFrame:
+def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: float = 0.25, part_rows: int = 200) -> DataFrame:
     """matches (page_id, seq, y1, x1, y2, x2, ...) with line_seq (order of making) and add_order; seq tells a page's matches apart.
 
     A page is dealt out in parts of about part_rows rows that no line can span.
@@ -100,7 +128,7 @@ def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: fl
     return _stitch(matches, "seq", "line_seq", near_of, middle, middle, max_center_dy, part_rows)
 
 
-def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float = 0.5, part_rows: int = 2000) -> DataFrame:
+def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float = 0.5, part_rows: int = 200) -> DataFrame:
     """lines (page_id, line_seq, y1, x1, y2, x2, ...) with block_seq and add_order; dealt out as in stitch_lines."""
 
     def near_of(box: np.ndarray) -> Callable:

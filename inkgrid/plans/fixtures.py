@@ -23,29 +23,23 @@ def vocab(spark, d) -> DataFrame:
     return count_words(table(spark, d, "documents"), alphabet=LATIN)
 
 
-#: Words of a text that the SQL below takes; the queries that are compared with it take as many.
-SQL_WORDS = 200
+def tokens(spark, d) -> DataFrame:
+    """page_id, pos and value of the words of each document."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(words(F.col("text"))).alias("pos", "value"))
 
 
-def tokens(spark, d, first: int | None = None) -> DataFrame:
-    """page_id, pos and value of the words of each document, or of its first ones."""
-    t = words(F.col("text"))
-    t = t if first is None else F.slice(t, 1, first)
-    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(t).alias("pos", "value"))
-
-
-def matches(spark, d, first: int | None = None) -> DataFrame:
+def matches(spark, d) -> DataFrame:
     line, col = F.floor(F.col("pos") / 8).cast("int"), F.col("pos") % 8
     y, x = 40 * line, 60 * col
-    return tokens(spark, d, first).select(
+    return tokens(spark, d).select(
         "page_id", F.col("pos").alias("seq"), y.alias("y1"), x.alias("x1"), (y + 20).alias("y2"), (x + 8 * F.least(F.length("value"), F.lit(7))).alias("x2"), u("m", "page_id", "pos").alias("confidence"), "value"
     )
 
 
-def regular_lines(spark, d, first: int | None = None) -> DataFrame:
+def regular_lines(spark, d) -> DataFrame:
     """One full-width line for eight words: pitch 28, 32 more after four lines."""
     line = F.floor(F.col("pos") / 8).cast("int")
-    rows = tokens(spark, d, first).groupBy("page_id", line.alias("line_seq")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("value"))
+    rows = tokens(spark, d).groupBy("page_id", line.alias("line_seq")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("value"))
     y = F.col("line_seq") * 28 + F.floor(F.col("line_seq") / 4).cast("int") * 32
     return rows.select("page_id", "line_seq", y.alias("y1"), F.lit(0).alias("x1"), (y + 20).alias("y2"), F.lit(480).alias("x2"), u("l", "page_id", "line_seq").alias("confidence"), "value")
 
@@ -80,10 +74,10 @@ def boxes_pred(spark, d) -> DataFrame:
     return boxes_gt(spark, d).filter(u("k", "box_id") < 0.8).select("image_id", "class", "box_id", "y1", (F.col("x1") + shift).alias("x1"), "y2", (F.col("x2") + shift).alias("x2"))
 
 
-def text_pairs(spark, d, first: int | None = None) -> DataFrame:
+def text_pairs(spark, d) -> DataFrame:
     r = u("t", "page_id", "pos")
     pred = F.when(r < 0.5, F.col("value")).when(r < 0.7, F.upper(F.translate("value", "ß", "s"))).when(r < 0.9, F.expr("substring(value, 1, 2)")).otherwise(F.translate("value", "éèüö", "eeuo"))
-    return tokens(spark, d, first).select(F.concat_ws(":", "page_id", "pos").alias("row_id"), F.col("value").alias("target"), pred.alias("pred"))
+    return tokens(spark, d).select(F.concat_ws(":", "page_id", "pos").alias("row_id"), F.col("value").alias("target"), pred.alias("pred"))
 
 
 def labels(spark, d) -> DataFrame:
@@ -112,7 +106,7 @@ SPLIT = r"string_split_regex(coalesce(text, ''), '[\t\n\v\f\r \x{1c}-\x{1f}\x{85
 WORDS = f"list_filter({SPLIT}, lambda x: x <> '')"
 VOCAB = f"vocab as (select w as id, count(*) as count from (select unnest({WORDS}) as w from documents) where regexp_full_match(w, '[0-9A-Za-z]+') group by w)"
 CAPPED = VOCAB + ", capped as (select id, count, least(count, (select trunc(count(*) * 0.0003::double)::bigint from vocab)) as weight from vocab)"
-TOKENS = f"tokens as (select doc_id as page_id, unnest(range(len(ws))) as pos, unnest(ws) as value from (select doc_id, ({WORDS})[1:200] as ws from documents))"
+TOKENS = f"tokens as (select doc_id as page_id, unnest(range(len(ws))) as pos, unnest(ws) as value from (select doc_id, {WORDS} as ws from documents))"
 MATCHES = TOKENS + f""", matches as (select page_id, pos as seq, 40 * (pos // 8) as y1, 60 * (pos % 8) as x1, 40 * (pos // 8) + 20 as y2,
   60 * (pos % 8) + 8 * least(length(value), 7) as x2, {us('m', 'page_id', 'pos')} as confidence, value from tokens)"""
 SIZES = "sizes as (select page_id, 'f' || page_id as filename, (200 + (page_id * 137) % 5000)::int as w, (200 + (page_id * 311) % 9000)::int as h from pages)"

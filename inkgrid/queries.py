@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import boxes as bx
 from .functions import text as tx
@@ -124,32 +124,31 @@ D = f"with {fx.DETECTIONS} "
 
 
 @query("s4_poly_bbox", M + "select page_id, seq, y1, x1, y2, x2 from matches")
-def s4(s, d, first=fx.SQL_WORDS):
-    m = fx.matches(s, d, first)
+def s4(s, d):
+    m = fx.matches(s, d)
     corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x1", "y2"), ("x2", "y2"), ("x2", "y1"))])
     return flat(m.select("page_id", "seq", bx.poly_bbox(corners).alias("box")), "box")
 
 
 @query("s5_box_measures", M + "select page_id, seq, x2 - x1 as width, y2 - y1 as height, x1 + (x2 - x1) / 2 as center_x, y1 + (y2 - y1) / 2 as center_y from matches")
-def s5(s, d, first=fx.SQL_WORDS):
-    m = fx.matches(s, d, first).withColumn("box", F.struct("y1", "x1", "y2", "x2"))
+def s5(s, d):
+    m = fx.matches(s, d).withColumn("box", F.struct("y1", "x1", "y2", "x2"))
     return bx.box_measures(m).select("page_id", "seq", "width", "height", "center_x", "center_y")
 
 
 @query("s6_label_box", M + "select page_id, seq, greatest(y1 - 1, 0) as y1, greatest(x1 - 1, 0) as x1, least(y2 + 1, 899) as y2, least(x2 + 1, 469) as x2 from matches")
-def s6(s, d, first=fx.SQL_WORDS):
-    m = fx.matches(s, d, first).select("page_id", "seq", bx.label_box(F.struct("y1", "x1", "y2", "x2"), F.lit(470), F.lit(900)).alias("box"))
+def s6(s, d):
+    m = fx.matches(s, d).select("page_id", "seq", bx.label_box(F.struct("y1", "x1", "y2", "x2"), F.lit(470), F.lit(900)).alias("box"))
     corner = bx.box_polygon(F.col("box"))
     box = F.struct(corner[0][1].alias("y1"), corner[0][0].alias("x1"), corner[2][1].alias("y2"), corner[2][0].alias("x2"))
     return flat(m.select("page_id", "seq", box.alias("box")), "box")
 
 
-@query("s7_interval_gap", M + "select a.page_id, a.seq, greatest(0, b.x1 - a.x2, a.x1 - b.x2) as gap from matches a join matches b on a.page_id = b.page_id and b.seq = a.seq + 1")
-def s7(s, d, first=fx.SQL_WORDS):
-    m = fx.matches(s, d, first)
-    a, b = m.alias("a"), m.alias("b")
-    pair = a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.seq") == F.col("a.seq") + 1))
-    return pair.select("a.page_id", "a.seq", bx.interval_gap(F.col("a.x1"), F.col("a.x2"), F.col("b.x1"), F.col("b.x2")).alias("gap"))
+@query("s7_interval_gap", M + "select page_id, seq, greatest(0, bx1 - x2, x1 - bx2) as gap from (select *, lead(x1) over w as bx1, lead(x2) over w as bx2 from matches window w as (partition by page_id order by seq)) where bx1 is not null")
+def s7(s, d):
+    to = lambda c: F.lead(c).over(Window.partitionBy("page_id").orderBy("seq"))
+    pair = fx.matches(s, d).withColumns({"b1": to("x1"), "b2": to("x2")}).filter("b1 is not null")
+    return pair.select("page_id", "seq", bx.interval_gap(F.col("x1"), F.col("x2"), F.col("b1"), F.col("b2")).alias("gap"))
 
 
 @query("s10_contrast", "select page_id, round((greatest(p, q) + 0.05) / (least(p, q) + 0.05), 6) as contrast from (select page_id, " + ", ".join(
@@ -232,20 +231,20 @@ select page_id, y1, min(x1) as x1, y2, max(x2) as x2, round(avg(confidence), 6)
 
 
 @query("g1_a5_stitch_lines", LINES)
-def g1(s, d, first=fx.SQL_WORDS):
-    return stitch.lines_of(fx.matches(s, d, first)).select("page_id", "y1", "x1", "y2", "x2", F.round("confidence", 6).alias("confidence"), "n", "value")
+def g1(s, d):
+    return stitch.lines_of(fx.matches(s, d)).select("page_id", "y1", "x1", "y2", "x2", F.round("confidence", 6).alias("confidence"), "n", "value")
 
 
 @query("g2_l2_stitch_blocks", f"""with {fx.TOKENS}, l as (select page_id, pos // 8 as line, string_agg(value, ' ' order by pos) as value from tokens group by page_id, pos // 8),
 c as (select *, {fx.us('l', 'page_id', 'line')} as confidence from l)
 select page_id, min(line * 28 + line // 4 * 32) as y1, 0 as x1, max(line * 28 + line // 4 * 32) + 20 as y2, 480 as x2, round(avg(confidence), 6) as confidence, count(*) as n, string_agg(value, chr(10) order by line) as value from c group by page_id, line // 4""")
-def g2(s, d, first=fx.SQL_WORDS):
-    return stitch.blocks_of(fx.regular_lines(s, d, first)).select("page_id", "y1", "x1", "y2", "x2", F.round("confidence", 6).alias("confidence"), "n", "value")
+def g2(s, d):
+    return stitch.blocks_of(fx.regular_lines(s, d)).select("page_id", "y1", "x1", "y2", "x2", F.round("confidence", 6).alias("confidence"), "n", "value")
 
 
 @query("a6_matches_per_page", M + "select page_id, count(*) as n_matches from matches group by page_id")
-def a6(s, d, first=fx.SQL_WORDS):
-    return stitch.matches_per_page(fx.matches(s, d, first))
+def a6(s, d):
+    return stitch.matches_per_page(fx.matches(s, d))
 
 
 # ------------------------------------------------------------ label tables
@@ -306,8 +305,8 @@ def io6(s, d):
 
 
 @query("io6_read_reco_labels", f"with {fx.TOKENS} select md5(page_id || ':' || pos) || '.png' as file, value as label from tokens")
-def io6r(s, d, first=fx.SQL_WORDS):
-    return src.read_reco_labels(fx.tokens(s, d, first).select(tx.row_id(F.col("page_id"), F.col("pos")).alias("id"), F.col("value").alias("label")))
+def io6r(s, d):
+    return src.read_reco_labels(fx.tokens(s, d).select(tx.row_id(F.col("page_id"), F.col("pos")).alias("id"), F.col("value").alias("label")))
 
 
 @query("io7_write_split", ORACLES["w2_split_labels"])
@@ -353,8 +352,8 @@ def a7(s, d):
 @query("a8_text_match", f"""with {fx.TOKENS}, p as (select value as target, case when {fx.us('t', 'page_id', 'pos')} < 0.5 then value when {fx.us('t', 'page_id', 'pos')} < 0.7 then upper(translate(value, 'ß', 's'))
   when {fx.us('t', 'page_id', 'pos')} < 0.9 then substr(value, 1, 2) else translate(value, 'éèüö', 'eeuo') end as pred from tokens)
 select count(*) as n, round(avg((target = pred)::int), 9) as raw, round(avg((translate(lower(target), '{score.ACCENTED}', '{score.PLAIN}') = translate(lower(pred), '{score.ACCENTED}', '{score.PLAIN}'))::int), 9) as unicase from p""")
-def a8(s, d, first=fx.SQL_WORDS):
-    return score.text_match(fx.text_pairs(s, d, first)).withColumns({c: F.round(c, 9) for c in ("raw", "unicase")})
+def a8(s, d):
+    return score.text_match(fx.text_pairs(s, d)).withColumns({c: F.round(c, 9) for c in ("raw", "unicase")})
 
 
 @query("a9_mean_loss", "select round(avg(value), 6) as mean_loss from events")
@@ -473,9 +472,9 @@ def j5(s, d):
     return out.select("page_id", "w", "h", F.to_json("panels").alias("panels"))
 
 
-@query("j9_collisions", M + "select a.page_id, a.seq as a, b.seq as b from matches a join matches b on a.page_id = b.page_id and a.seq < b.seq and a.x1 < b.x2 and b.x1 < a.x2 + 30 and a.y1 < b.y2 and b.y1 < a.y2 where a.x1 < b.x2 + 30 union all select page_id, seq, null from matches where x2 + 30 > 470 or y2 > 900")
-def j9(s, d, first=fx.SQL_WORDS):
-    m = fx.matches(s, d, first).select("page_id", F.col("seq").alias("box_id"), "y1", "x1", "y2", (F.col("x2") + 30).alias("x2"), F.lit(900).alias("n_rows"), F.lit(470).alias("n_cols"))
+@query("j9_collisions", M + "select a.page_id, a.seq as a, b.seq as b from matches a join matches b on a.page_id = b.page_id and a.y1 = b.y1 and a.seq < b.seq and a.x1 < b.x2 and b.x1 < a.x2 + 30 where a.x1 < b.x2 + 30 union all select page_id, seq, null from matches where x2 + 30 > 470 or y2 > 900")
+def j9(s, d):
+    m = fx.matches(s, d).select("page_id", F.col("seq").alias("box_id"), "y1", "x1", "y2", (F.col("x2") + 30).alias("x2"), F.lit(900).alias("n_rows"), F.lit(470).alias("n_cols"))
     return score.collisions(m)
 
 
@@ -489,10 +488,10 @@ def io3(s, d):
 
 
 @query("io8_export_pages", M + ", p as (select 'f' || (doc_id % 300) as filename, max(doc_id) as page_id from documents group by 1) select filename, (select count(*) from matches m where m.page_id = p.page_id) as n, (select value from matches m where m.page_id = p.page_id order by confidence, seq limit 1) as first_value from p")
-def io8(s, d, first=fx.SQL_WORDS):
+def io8(s, d):
     docs = fx.table(s, d, "documents")
     pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("f"), (F.col("doc_id") % 300).cast("string")).alias("filename"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("place"))
-    out = src.export_pages(pages, fx.matches(s, d, first))
+    out = src.export_pages(pages, fx.matches(s, d))
     parsed = F.from_json("json", "filename string, sha256 string, matches array<struct<id:string,bbox:array<int>,confidence:double,value:string>>")
     return out.select("filename", parsed.alias("p")).select("filename", F.size("p.matches").cast("long").alias("n"), F.try_element_at("p.matches", F.lit(1))["value"].alias("first_value"))
 
@@ -520,8 +519,8 @@ def _counter():
 
 
 @query("f2_predict_hook", M + "select page_id, seq, length(value) as value from matches")
-def f2(s, d, first=fx.SQL_WORDS):
-    return pixels.predict_windows(fx.matches(s, d, first), _counter, "page_id long, seq int, value long")
+def f2(s, d):
+    return pixels.predict_windows(fx.matches(s, d), _counter, "page_id long, seq int, value long")
 
 
 @query("t1_stream_vocab", W + "select id, count from vocab")
@@ -544,12 +543,6 @@ def t2(s, d):
     return s.read.schema("id string, data string").parquet(path).select("id")
 
 
-#: The SQL takes the first words of each text; these take all, and have no SQL.
-WHOLE = "s4_poly_bbox s5_box_measures s6_label_box s7_interval_gap g1_a5_stitch_lines g2_l2_stitch_blocks a6_matches_per_page a8_text_match io6_read_reco_labels io8_export_pages f2_predict_hook j9_collisions".split()
-for _name in WHOLE:
-    query(f"{_name}_whole")(partial(QUERIES[_name], first=None))
-
-
 def entry(spark, sf_dir: str) -> DataFrame:
     """Words of the documents, counted, raised to their floor and capped."""
     return vocab.cap_frequency(vocab.apply_floor(fx.vocab(spark, sf_dir), hangul=0))
