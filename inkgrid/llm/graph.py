@@ -1,37 +1,5 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .tables import stored
-
-
-def _star(links: DataFrame) -> DataFrame:
-    """links (u, v) with each u's neighbours v joined to the least of them and u itself: (v, least)."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return links.join(least, "u")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (a, b): component is the least id that is reachable.
-
-    Links may repeat, run both ways or join an id to itself.  An empty table gives no rows.
-    Each round halves the longest chain, roughly; hubs are aggregated before they are joined.
-    """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    was = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        grown = _star(large)
-        small = grown.select(F.col("v").alias("u"), F.col("m").alias("v")).union(grown.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = stored(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if now == was or now[0] == 0:
-            break
-        was = now
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    # In the end every edge leads to a root, and roots are on the right only.
-    return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+__all__ = ["components"]

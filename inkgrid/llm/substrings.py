@@ -86,7 +86,7 @@ def _rows(bodies: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, pa.RecordBa
 
 
 def segments(blocks: DataFrame, kind: str, window: int = WINDOW, k: int = K) -> DataFrame:
-    """anchor, body (hash of the segment), head and tail (its nodes), block, row, id, start (word) and n (windows); ids aren't null."""
+    """anchor, body (hash of the segment), head and tail (its nodes; equal numbers of unlike nodes only make paths shorter), block, row, id, start (word) and n (windows); ids aren't null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,13 +108,14 @@ def segments(blocks: DataFrame, kind: str, window: int = WINDOW, k: int = K) ->
                         whole = mixed(hashes[start] * _C1 + hashes[end] * _C2 + n.astype(np.uint64))
                         r = row[start]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(x.view(np.int64)) for x in (anchors[start], whole, nodes[start], nodes[end + 1])]
+                            [pa.array(x.view(np.int64)) for x in (anchors[start], whole)]
+                            + [pa.array((x >> np.uint64(32)).astype(np.int32)) for x in (nodes[start], nodes[end + 1])]
                             + [pa.array(np.full(len(r), block.as_py())), pa.array((base + first + r).astype(np.int32)), ids.take(pa.array(first + r))]
                             + [pa.array((start - before[r]).astype(np.int32)), pa.array(n.astype(np.int32))],
                             names=["anchor", "body", "head", "tail", "block", "row", "id", "start", "n"],
                         )
 
-    return blocks.mapInArrow(run, f"anchor long, body long, head long, tail long, block long, row int, id {kind}, start int, n int")
+    return blocks.mapInArrow(run, f"anchor long, body long, head int, tail int, block long, row int, id {kind}, start int, n int")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -162,10 +163,10 @@ def repeated_spans(blocks: DataFrame, kind: str, window: int = WINDOW, k: int =
                 m, r = n[a:b].astype(np.int64), rows[a:b] - base - first
                 at = np.repeat(start[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
                 place = np.repeat(before[r], m) + at
-                for x, v in zip(out, (np.repeat(anchor[a:b], m), hashes[place].view(np.int64), nodes[place].view(np.int64), nodes[place + 1].view(np.int64), np.repeat(rows[a:b], m).astype(np.int32), at.astype(np.int32))):
+                for x, v in zip(out, (np.repeat(anchor[a:b], m), hashes[place].view(np.int64), (nodes[place] >> np.uint64(32)).astype(np.int32), (nodes[place + 1] >> np.uint64(32)).astype(np.int32), np.repeat(rows[a:b], m).astype(np.int32), at.astype(np.int32))):
                     x.append(v)
                 ids.append(part.column(0).take(pa.array(np.repeat(first + r, m))))
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
         anchor, h, head, tail, row, at = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, kinds))
         block = np.full(len(h), asked["block"][0].as_py() if len(h) else 0)
         return pa.table({"anchor": anchor, "body": h, "head": head, "tail": tail, "block": block, "row": row, "id": pa.concat_arrays(ids) if ids else pa.nulls(0, texts_kind), "start": at, "n": np.ones(len(h), np.int32)})

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 #: Bytes of text that are hashed at once inside a task (one document at least).
 CHUNK = 1 << 21
 
@@ -21,15 +22,6 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; where it is unset (tests), a new local folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: it is computed once, and lost executors cost no more than a read."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
