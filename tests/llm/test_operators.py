@@ -422,7 +422,7 @@ def test_texts_with_one_id_and_null_ids_are_told_apart(spark):
 def test_paths_end_where_the_graph_branches(spark):
     edge = lambda i, head, tail, start: (0, i, head, tail, 1, (1, 0, 0, start))
     rows = [edge(1, 1, 2, 0), edge(2, 2, 3, 1), edge(3, 3, 4, 2), edge(4, 4, 5, 3), (0, 5, 3, 9, 1, (1, 0, 1, 7)), edge(6, 5, 6, 5)]
-    edges = spark.createDataFrame(rows, "anchor long, body long, head long, tail long, n int, s struct<id:long,block:long,row:int,start:int>")
+    edges = spark.createDataFrame(rows, "anchor long, body long, head int, tail int, n int, s struct<id:long,block:long,row:int,start:int>")
     got = {r["body"]: r["path"] for r in substrings.compacted(edges).collect()}
     assert got == {1: 0, 2: 0, 3: 2, 4: 2, 5: 7, 6: 5}  # node 3 has two ways out; edge 6 doesn't follow edge 4
 
