@@ -42,8 +42,9 @@ BUCKET = 20_000
 #: The linear program: the share of a length that a round covers, the share of tokens it leaves to
 #: best fit, the rounds that large counts take, roughly, and the lengths that one knapsack looks at.
 STEP, REST, ROUNDS, DRAWN = 0.3, 0.02, 4096, 64
-#: How fast prices fall: slowly, where many lengths fill a sequence; fast, where few do.  Both are tried.
-RATES = (0.3, 2.0)
+#: How fast prices fall: slowly, where many lengths fill a sequence; fast, where few do.  The second is
+#: tried where the first leaves a gap of more than NEAR to the lower bound.
+RATES, NEAR = (0.3, 2.0), 0.002
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 _KNOWN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")  # these characters lower-case and split in ways that _PARTS states
@@ -188,7 +189,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, s
         if len(some) > DRAWN:
             share = prices[some] / lengths[some]
             some = some[np.argsort(random.exponential(size=len(some)) / share)[:DRAWN]]
-        few = knapsack(lengths[some], left[some], prices[some], capacity)
+        copies = np.minimum(left[some], 3) if len(some) == DRAWN else left[some]  # of many lengths, none is needed often
+        few = knapsack(lengths[some], copies, prices[some], capacity)
         some, few = some[few > 0], few[few > 0]
         most = int((left[some] // few).min())
         times = max(1, int(step * most), min(most, finest))
@@ -221,6 +223,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, from_program: list
     wanted = {n: c for n, c in histogram.items() if c > 0}
     lengths = np.array(sorted(wanted), np.int64)
     counts = np.array([wanted[n] for n in lengths], np.int64)
+    if not wanted:
+        return []
     best: tuple = ()
     for rate in RATES:
         used, left = solve(lengths, counts, capacity, rate)
@@ -229,6 +233,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, from_program: list
         out += best_fit(lengths, left, capacity)
         if not best or sum(n for _, n in out) < best[0]:
             best = sum(n for _, n in out), n, out
+        if best[0] <= (1 + NEAR) * least_sequences(wanted, capacity):
+            break
     if from_program is not None:
         from_program.append(best[1])
     return best[2]
