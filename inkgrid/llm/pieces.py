@@ -15,6 +15,7 @@ end id; extra columns pass through; repeated rows are encoded alike.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +38,11 @@ COLUMNS = {
     "decoded": pa.string(),
     "n_tokens": pa.int64(),
     "n_source_bytes": pa.int64(),
+    "spans_crc32": pa.int64(),
     "ids_sha256": pa.string(),
     "decoded_sha256": pa.string(),
 }
-_SQL = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "long", "n_source_bytes": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+_SQL = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "long", "n_source_bytes": "long", "spans_crc32": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -238,7 +240,7 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "begi
 
     ids end with the model's end id, whose span is empty, at the end of the text; begins and ends
     are byte places in the UTF-8 text; decoded is what the ids decode to; n_source_bytes are the
-    bytes of the text that the spans cover.
+    bytes of the text that the spans cover; spans_crc32 is that of the begins and the ends, as 32-bit numbers.
     """
     import pyspark.sql.types as T
 
@@ -261,9 +263,10 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "begi
                     ids = c.ids(t)
                     row = {"n_tokens": len(ids) + 1}
                     whole = np.append(ids, np.int32(stop))
-                    if {"begins", "ends", "n_source_bytes"} & set(outputs):
+                    if {"begins", "ends", "n_source_bytes", "spans_crc32"} & set(outputs):
                         begin, end = c.spans(t, ids)
                         row |= {"begins": np.append(begin, len(t)).astype(np.int32), "ends": np.append(end, len(t)).astype(np.int32), "n_source_bytes": int((end - begin).sum())}
+                        row["spans_crc32"] = zlib.crc32(row["ends"].tobytes(), zlib.crc32(row["begins"].tobytes()))
                     if {"ids", "ids_sha256"} & set(outputs):
                         row["ids"] = whole
                     listed = whole.tolist()
@@ -301,5 +304,5 @@ def model_path(name: str) -> str:
 
 def op4(spark, sf_dir: str, model: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode(docs, model or model_path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes")
+    out = encode(docs, model or model_path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "spans_crc32"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "spans_crc32")
