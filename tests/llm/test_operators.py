@@ -204,6 +204,25 @@ def test_compiled_map_matches_the_library():
         assert out.decode() == library.normalize(t) and len(source) == len(out) + 1 and (np.diff(source) >= 0).all()
 
 
+def test_spans_of_a_mapped_model_through_the_operator(spark, tmp_path):
+    import sentencepiece
+
+    mapped = sentencepiece.SentencePieceNormalizer(rule_name="nfkc", add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True).serialized_model_proto()
+    path = tmp_path / "mapped.model"
+    path.write_bytes(open(pieces.model_path("piece_bpe_32k.model"), "rb").read() + mapped)  # later fields of a message replace earlier ones
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert sp.encode("ﬁ") == sp.encode("fi") and pieces.Normaliser(path.read_bytes()).units
+    rng, signs = random.Random(4), list("aB ﬁ①ＡＢ㌔  カ゛é́½™\t\n한글x ñ")
+    texts = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 16)))) for i in range(200)] + EDGE[:5]
+    for r in pieces.encode(frame(spark, texts), str(path), ("ids", "begins", "ends")).collect():
+        t = r["text"] or ""
+        found = sp.encode(t, return_type="proto").pieces
+        assert r["ids"] == [*(p.id for p in found), sp.eos_id()]
+        b = t.encode()
+        want = [b[p.begin : p.end].strip() for p in found]
+        assert [b[x:y].strip() for x, y in zip(r["begins"], r["ends"])][:-1] == want and r["ends"][-1] == len(b)
+
+
 # ------------------------------------------------------------ 5
 
 
