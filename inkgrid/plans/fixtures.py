@@ -70,8 +70,18 @@ def boxes_gt(spark, d) -> DataFrame:
 
 
 def boxes_pred(spark, d) -> DataFrame:
-    shift = F.floor(30 * u("d", "box_id")).cast("int")
-    return boxes_gt(spark, d).filter(u("k", "box_id") < 0.8).select("image_id", "class", "box_id", "y1", (F.col("x1") + shift).alias("x1"), "y2", (F.col("x2") + shift).alias("x2"))
+    """Most boxes moved right by an even number, and half of them once more, moved down by an odd one: both meet their own box only."""
+    right, down = (2 * F.floor(15 * u("d", "box_id"))).cast("int"), (2 * F.floor(15 * u("e", "box_id")) + 1).cast("int")
+    gt = boxes_gt(spark, d)
+    first = gt.filter(u("k", "box_id") < 0.8).select("image_id", "class", "box_id", "y1", (F.col("x1") + right).alias("x1"), "y2", (F.col("x2") + right).alias("x2"))
+    again = gt.filter(u("j", "box_id") < 0.5).select("image_id", "class", (F.col("box_id") + 10**9).alias("box_id"), (F.col("y1") + down).alias("y1"), "x1", (F.col("y2") + down).alias("y2"), "x2")
+    return first.union(again)
+
+
+def boxes_between(spark, d) -> DataFrame:
+    """Boxes as long as two of those on a grid of 40 are apart, so that each may meet two."""
+    at = F.floor(40 * u("d", "box_id"))
+    return boxes_gt(spark, d).filter(u("k", "box_id") < 0.8).select("image_id", "class", "box_id", "y1", (F.col("x1") / 2 + at).alias("x1"), "y2", (F.col("x1") / 2 + at + 44).alias("x2"))
 
 
 def text_pairs(spark, d) -> DataFrame:
@@ -137,7 +147,9 @@ LOG = "log as (select user_id as run_id, row_number() over (partition by user_id
 GT = """gt as (select image_id, class, box_id, 80 * (n // 20) as y1, 80 * (n % 20) as x1, 80 * (n // 20) + 40 as y2, 80 * (n % 20) + 40 as x2 from
   (select user_id as image_id, event_type as class, event_id as box_id, row_number() over (partition by user_id order by event_id) - 1 as n from events))"""
 PRED = GT + f""", pred as (select image_id, class, box_id, y1, x1 + s as x1, y2, x2 + s as x2 from
-  (select *, floor(30 * {us('d', 'box_id')})::int as s from gt where {us('k', 'box_id')} < 0.8))"""
+  (select *, 2 * floor(15 * {us('d', 'box_id')})::int as s from gt where {us('k', 'box_id')} < 0.8)
+  union all select image_id, class, box_id + 1000000000, y1 + s, x1, y2 + s, x2 from
+  (select *, 2 * floor(15 * {us('e', 'box_id')})::int + 1 as s from gt where {us('j', 'box_id')} < 0.5))"""
 IOU = PRED + """, iou as (select gt.image_id, gt.class, gt.box_id as gt_id, pred.box_id as pred_id,
   (least(gt.x2, pred.x2) - greatest(gt.x1, pred.x1)) * (least(gt.y2, pred.y2) - greatest(gt.y1, pred.y1)) as i from gt join pred
   on gt.image_id = pred.image_id and gt.class = pred.class and gt.x1 < pred.x2 and pred.x1 < gt.x2 and gt.y1 < pred.y2 and pred.y1 < gt.y2),

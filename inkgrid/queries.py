@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import boxes as bx
 from .functions import text as tx
-from .operators import draw, labels, pixels, prefix, runlog, score, stitch, tiles, vocab
+from .operators import draw, labels, ocr, pixels, prefix, runlog, score, stitch, tiles, vocab
 from .plans import fixtures as fx
 from .plans import pages as pg
 from .sources import storage
@@ -78,6 +78,27 @@ def a2(s, d):
     return vocab.apply_floor(fx.vocab(s, d), hangul=0)
 
 
+#: Latin letters of the texts written as syllables; the last of these is outside the default set.
+_SYLLABLES = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허갂"
+_LETTERS = "abcdefghijklmnoprstuvwxyzéüñq"
+H = f"with hv as (select id, count(*) as count from (select translate(w, '{_LETTERS}', '{_SYLLABLES}') as id from (select unnest({fx.WORDS}) as w from documents)) where length(id) > 0 and translate(id, '{tx.hangul_syllables() + tx.LATIN}', '') = '' group by id) "
+
+
+def _korean(s, d):
+    docs = fx.table(s, d, "documents").withColumn("text", F.translate("text", _LETTERS, _SYLLABLES))
+    return vocab.count_words(docs)
+
+
+@query("s3_korean_words", H + "select id, count from hv")
+def s3k(s, d):
+    return _korean(s, d)
+
+
+@query("a2_korean_floor", H + f"select id, max(count) as count from (select * from hv union all select unnest(string_split('{tx.hangul_syllables()}', '')) as id, 10 as count union all select unnest(string_split('{tx.LATIN}', '')), 1000) group by id")
+def a2k(s, d):
+    return vocab.apply_floor(_korean(s, d))
+
+
 @query("a3_vocab_summary", W + "select count(*) as n_words, sum(count)::bigint as total from vocab")
 def a3(s, d):
     return vocab.vocab_summary(fx.vocab(s, d))
@@ -247,6 +268,12 @@ def a6(s, d):
     return stitch.matches_per_page(fx.matches(s, d))
 
 
+@query("ocr_page_blocks")
+def ocr_blocks(s, d):
+    """The whole flow: windows, detections, cover, order, lines, blocks.  SQL can't say it; tests compare it with loops."""
+    return ocr.page_blocks(fx.detections(s, d), tiles.calc_windows(fx.page_sizes(s, d)), 0.25)
+
+
 # ------------------------------------------------------------ label tables
 
 L = f"with {fx.LABELS}, files as (select distinct id as name from labels_ where doc_id % 7 <> 0), old as (select * from labels_ where doc_id % 10 <> 0) "
@@ -336,14 +363,25 @@ def j8(s, d):
     return score.iou_pairs(fx.boxes_gt(s, d), fx.boxes_pred(s, d)).withColumn("iou", F.round("iou", 9))
 
 
-@query("g5_pair_boxes", I + "select image_id, class, gt_id, pred_id, round(iou, 9) as iou from pairs")
+CHOSEN = ", chosen as (select * from (select *, row_number() over (partition by image_id, class, gt_id order by iou desc) as k from pairs) where k = 1)"
+
+
+@query("g5_pair_boxes", I + CHOSEN + " select image_id, class, gt_id, pred_id, round(iou, 9) as iou from chosen")
 def g5(s, d):
+    """Two predictions compete for a box; the larger overlap wins."""
     return score.pair_boxes(score.iou_pairs(fx.boxes_gt(s, d), fx.boxes_pred(s, d))).withColumn("iou", F.round("iou", 9))
 
 
-@query("a7_localization", I + """, b as (select pred_id, max(iou) as best from pairs group by pred_id)
+@query("g5_pair_chains")
+def g5_chains(s, d):
+    """Predictions that lie between two boxes: the best pairing of a whole row counts, and SQL can't say it."""
+    gt = fx.boxes_gt(s, d).withColumns({c: F.col(c) / 2 for c in ("x1", "x2")})  # boxes of 20 on a grid of 40
+    return score.pair_boxes(score.iou_pairs(gt, fx.boxes_between(s, d))).withColumn("iou", F.round("iou", 9))
+
+
+@query("a7_localization", I + CHOSEN + """, b as (select pred_id, max(iou) as best from pairs group by pred_id)
 select (select count(*) from gt) as n_gt, (select count(*) from pred) as n_pred, m as matches, round(m / n1, 9) as recall, round(m / n2, 9) as precision, round(b / n2, 9) as mean_iou from
-(select count(*) filter (where iou >= 0.5) as m, (select count(*) from gt)::double as n1, (select count(*) from pred)::double as n2, (select sum(best) from b) as b from pairs)""")
+(select count(*) filter (where iou >= 0.5) as m, (select count(*) from gt)::double as n1, (select count(*) from pred)::double as n2, (select sum(best) from b) as b from chosen)""")
 def a7(s, d):
     out = score.localization_metrics(fx.boxes_gt(s, d), fx.boxes_pred(s, d))
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "mean_iou")})
@@ -504,14 +542,23 @@ def io9(s, d):
     return j.select("r.page_id", F.coalesce(F.col("r.info.secret"), F.element_at("r.m", "secret").cast("string")).alias("secret"), "r.info.url", F.col("json").contains('"fill":null').alias("has_null"))
 
 
-@query("g6_crop_pixels", "select page_id, 4 as height, 6 as width, 72 as n_bytes, 36 as n_zero from pages")
+_INSIDE = "greatest(0, least(8, y1 + 4) - y1) * greatest(0, least(8, x1 + 6) - x1)"
+
+
+@query("g6_crop_pixels", f"""with p as (select page_id, (4 + page_id % 6)::int as y1, (page_id % 7)::int as x1, hex(substr(rpad(coalesce(html, ''), 192, '.'), 1, 192)) as h from pages where regexp_full_match(substr(rpad(coalesce(html, ''), 192, '.'), 1, 192), '[ -~\\n]*'))
+select page_id, 4 as height, 6 as width, 72 as n_bytes, (72 - 3 * {_INSIDE})::bigint as n_zero,
+  case when y1 < 8 and x1 < 8 then substr(h, ((y1 * 8 + x1) * 3 * 2 + 1)::bigint, 6) end as first_pixel from p""")
 def g6(s, d):
-    ramp = F.unhex(F.repeat(F.lit("07"), 8 * 8 * 3))
-    images = fx.table(s, d, "pages").select("page_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), ramp.alias("data")).alias("image"))
-    boxes = images.select("page_id", F.lit(0).cast("long").alias("box_id"), F.lit(6).alias("y1"), F.lit(2).alias("x1"), F.lit(10).alias("y2"), F.lit(8).alias("x2"))
-    out = pixels.crop_pixels(images, boxes)
-    zero = F.length(F.regexp_replace(F.regexp_replace(F.hex("data"), "07", ""), "00", "0"))
-    return out.select("page_id", "height", "width", F.length("data").alias("n_bytes"), zero.alias("n_zero"))
+    """Images of 8 by 8 pixels whose bytes are the beginnings of pages (of those in plain characters), cropped by boxes that reach beyond them."""
+    start = F.substring(F.rpad(F.coalesce("html", F.lit("")), 192, "."), 1, 192)
+    pages = fx.table(s, d, "pages").select("page_id", start.alias("b")).filter(F.col("b").rlike(r"^[ -~\n]*\z"))
+    images = pages.select("page_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), F.encode("b", "UTF-8").alias("data")).alias("image"))
+    y, x = (4 + F.col("page_id") % 6).cast("int"), (F.col("page_id") % 7).cast("int")
+    boxes = pages.select("page_id", F.lit(0).cast("long").alias("box_id"), y.alias("y1"), x.alias("x1"), (y + 4).alias("y2"), (x + 6).alias("x2"))
+    out = pixels.crop_pixels(images, boxes).withColumn("h", F.hex("data"))
+    zero = F.size(F.filter(F.regexp_extract_all("h", F.lit("(..)")), lambda b: b == "00")).cast("long")
+    first = F.when(F.col("page_id") % 6 < 4, F.substring("h", 1, 6))
+    return out.select("page_id", "height", "width", F.length("data").alias("n_bytes"), zero.alias("n_zero"), first.alias("first_pixel"))
 
 
 def _counter():
@@ -526,11 +573,10 @@ def f2(s, d):
 @query("t1_stream_vocab", W + "select id, count from vocab")
 def t1(s, d):
     schema = fx.table(s, d, "documents").schema
-    name = f"vocab_{uuid.uuid4().hex}"
     stream = s.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
-    run = st.stream_vocab(stream, alphabet=tx.LATIN).writeStream.outputMode("complete").format("memory").queryName(name)
-    run.option("checkpointLocation", _folder(s, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    path = _folder(s, "vocab")
+    st.write_stream_vocab(st.stream_vocab(stream, alphabet=tx.LATIN), path, _folder(s, "stream")).awaitTermination()
+    return s.read.schema("id string, count long").parquet(path)
 
 
 @query("t2_stream_labels", f"with {fx.LABELS} select distinct id from labels_")

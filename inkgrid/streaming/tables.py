@@ -17,6 +17,15 @@ def stream_vocab(stream: DataFrame, text: str = "text", alphabet: str | None = N
     return found.filter(in_alphabet(F.col("id"), alphabet)).groupBy("id").count()
 
 
+def write_stream_vocab(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the table at path (id, count) at all that has arrived, whatever is replayed."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_labels(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends labels (id, data) to the table at path, each id once; null ids or data are dropped.  A replayed batch adds nothing."""
 

@@ -126,6 +126,65 @@ def test_line_growth_matches_the_plain_rule(spark):
     assert [sorted(got[k]) for k in sorted(got)] == slow_groups(boxes, near)
 
 
+def test_the_flow_from_detections_to_blocks_matches_loops(spark, sf_dir):
+    from inkgrid import queries
+    from inkgrid.plans import fixtures
+
+    rows = tiles.covered_detections(fixtures.detections(spark, sf_dir), tiles.calc_windows(fixtures.page_sizes(spark, sf_dir)), 0.25).collect()
+    pages: dict = {}
+    for r in sorted(rows, key=lambda r: (r["confidence"], r["window_id"], r["det_seq"])):
+        pages.setdefault(r["page_id"], []).append((tuple(r["page_box"][c] for c in ("y1", "x1", "y2", "x2")), r["value"]))
+
+    def around(boxes):
+        return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
+
+    def in_line(b, a, m):
+        h = b[2] - b[0]
+        return abs((b[0] + h / 2) - (m[0] + (m[2] - m[0]) / 2)) <= h * 0.25 and max(0, m[1] - a[3], a[1] - m[3]) <= h * 0.5
+
+    def in_block(b, a, m):
+        h = b[2] - b[0]
+        return max(0, m[0] - a[2], a[0] - m[2]) <= h * 0.5 and max(0, m[1] - a[3], a[1] - m[3]) <= h * 0.5
+
+    want = set()
+    for page, found in pages.items():
+        boxes = [b for b, _ in found]
+        groups = slow_groups(boxes, in_line)
+        lines = [around([boxes[i] for i in g]) for g in groups]
+        words = [sorted(found[i][1] for i in g) for g in groups]
+        for g in slow_groups(lines, in_block):
+            want.add((page, *around([lines[i] for i in g]), len(g), tuple(sorted(w for i in g for w in words[i]))))
+    got = {(r["page_id"], r["y1"], r["x1"], r["y2"], r["x2"], r["n"], tuple(sorted(r["value"].split()))) for r in queries.QUERIES["ocr_page_blocks"](spark, sf_dir).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_chains_of_boxes_are_paired_best(spark, sf_dir):
+    from inkgrid import queries
+    from inkgrid.plans import fixtures
+
+    gt = fixtures.boxes_gt(spark, sf_dir).withColumns({c: F.col(c) / 2 for c in ("x1", "x2")})
+    groups: dict = {}
+    for r in score.iou_pairs(gt, fixtures.boxes_between(spark, sf_dir)).collect():
+        groups.setdefault((r["image_id"], r["class"]), {})[r["gt_id"], r["pred_id"]] = r["iou"]
+
+    def best(pairs):
+        """The largest total of a pairing, leaving the first box free or trying each of its pairs."""
+        if not pairs:
+            return 0.0
+        g = min(a for a, _ in pairs)
+        rest = {k: v for k, v in pairs.items() if k[0] != g}
+        return max([best(rest), *(v + best({k: w for k, w in rest.items() if k[1] != p}) for (a, p), v in pairs.items() if a == g)])
+
+    got = queries.QUERIES["g5_pair_chains"](spark, sf_dir).collect()
+    total: dict = {}
+    for r in got:
+        total[r["image_id"], r["class"]] = total.get((r["image_id"], r["class"]), 0.0) + r["iou"]
+    contested = sum(len(p) > len({a for a, _ in p}) for p in groups.values())
+    assert contested and len({(r["image_id"], r["class"], r["gt_id"]) for r in got}) == len({(r["image_id"], r["class"], r["pred_id"]) for r in got}) == len(got)
+    for k, pairs in groups.items():
+        assert abs(total.get(k, 0.0) - best(pairs)) < 1e-6
+
+
 def test_a_large_page_is_stitched_in_parts(spark):
     rng = np.random.default_rng(7)
     rows = [(1, i, int(y), int(x), int(y + 4 + i % 9), int(x + 20), 1.0, f"w{i}") for i, (y, x) in enumerate(zip(rng.integers(0, 4000, 300), rng.integers(0, 300, 300)))]
