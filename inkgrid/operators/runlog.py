@@ -23,9 +23,11 @@ def _before() -> WindowSpec:
     return _run(Window.unboundedPreceding, -1)
 
 
-def lr_ramp(start: float, end: float, n: int) -> Column:
-    """An array of n rates that rise by one factor from start to end."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(start) * F.pow(F.lit((end / start) ** (1 / (n - 1)) if n > 1 else 1.0), i))
+def lr_ramp(start: float, end: float, n: int | Column) -> Column:
+    """An array of n rates that rise by one factor from start to end; a single rate is the start."""
+    n = F.lit(n) if isinstance(n, int) else n
+    share = lambda i: F.when(n > 1, i / (n - 1)).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.lit(start) * F.pow(F.lit(end / start), share(i)))
 
 
 def best_checkpoints(log: DataFrame) -> DataFrame:

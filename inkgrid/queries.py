@@ -227,9 +227,11 @@ def s18(s, d):
     return flat(flat(tiles.calc_windows(fx.page_sizes(s, d)), "box"), "cover", "c")
 
 
-@query("s19_lr_ramp", "select page_id, i::int as i, round(1e-7::double * pow(pow(1e7::double, 1 / 99.0::double), i), 12) as lr from (select page_id, unnest(range(100)) as i from pages)")
+@query("s19_lr_ramp", "select run_id, i::int as i, round(1e-7::double * pow(1e7::double, case when n > 1 then i / (n - 1)::double else 0 end), 12) as lr from (select run_id, n, unnest(range(n)) as i from (select user_id as run_id, count(*) as n from events group by user_id))")
 def s19(s, d):
-    return fx.table(s, d, "pages").select("page_id", F.posexplode(runlog.lr_ramp(1e-7, 1.0, 100)).alias("i", "lr")).withColumn("lr", F.round("lr", 12))
+    """A ramp as long as each run."""
+    runs = fx.run_log(s, d).groupBy("run_id").agg(F.count("*").alias("n"))
+    return runs.select("run_id", F.posexplode(runlog.lr_ramp(1e-7, 1.0, F.col("n"))).alias("i", "lr")).withColumn("lr", F.round("lr", 12))
 
 
 @query("j1_covered_detections", D + "select page_id, window_id, det_seq, trunc(py1)::int as y1, trunc(px1)::int as x1, trunc(py2)::int as y2, trunc(px2)::int as x2, round(confidence, 9) as confidence, value from covered")
@@ -519,16 +521,16 @@ def j9(s, d):
 # ------------------------------------------------------------ exports, pixels, streams
 
 
-@query("io3_catalog", "select 'f' || (page_id % 50) as name, max(page_id || '/' || url) filter (where page_id = last) as path from (select *, max(page_id) over (partition by page_id % 50) as last from pages) group by page_id % 50")
+@query("io3_catalog", "select 'f' || k as name, max(page_id || '/' || url) filter (where page_id = last) as path from (select *, max(page_id) over (partition by k) as last from (select *, page_id - page_id % 3 // 2 as k from pages)) group by k")
 def io3(s, d):
-    files = fx.table(s, d, "pages").select(F.concat(F.lit("f"), (F.col("page_id") % 50).cast("string")).alias("name"), F.concat_ws("/", "page_id", "url").alias("path"), "page_id")
+    files = fx.table(s, d, "pages").select(F.concat(F.lit("f"), (F.col("page_id") - F.floor(F.col("page_id") % 3 / 2)).cast("string")).alias("name"), F.concat_ws("/", "page_id", "url").alias("path"), "page_id")
     return src.catalog_by_basename(files, [F.col("page_id")])
 
 
-@query("io8_export_pages", M + ", p as (select 'f' || (doc_id % 300) as filename, max(doc_id) as page_id from documents group by 1) select filename, (select count(*) from matches m where m.page_id = p.page_id) as n, (select value from matches m where m.page_id = p.page_id order by confidence, seq limit 1) as first_value from p")
+@query("io8_export_pages", M + ", p as (select 'f' || (doc_id - doc_id % 3 // 2) as filename, max(doc_id) as page_id from documents group by 1) select filename, (select count(*) from matches m where m.page_id = p.page_id) as n, (select value from matches m where m.page_id = p.page_id order by confidence, seq limit 1) as first_value from p")
 def io8(s, d):
     docs = fx.table(s, d, "documents")
-    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("f"), (F.col("doc_id") % 300).cast("string")).alias("filename"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("place"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("f"), (F.col("doc_id") - F.floor(F.col("doc_id") % 3 / 2)).cast("string")).alias("filename"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("place"))
     out = src.export_pages(pages, fx.matches(s, d))
     parsed = F.from_json("json", "filename string, sha256 string, matches array<struct<id:string,bbox:array<int>,confidence:double,value:string>>")
     return out.select("filename", parsed.alias("p")).select("filename", F.size("p.matches").cast("long").alias("n"), F.try_element_at("p.matches", F.lit(1))["value"].alias("first_value"))
