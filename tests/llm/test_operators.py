@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid.llm import extraction, forest, graph, kneser_ney, minhash, packing, pieces, ppm, privacy, quality, substrings, tables
+from inkgrid.llm import blocks, extraction, forest, graph, kneser_ney, minhash, packing, pieces, ppm, privacy, quality, substrings, tables
 from inkgrid.llm import queries as llm
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -76,6 +76,37 @@ def test_ppm_probabilities_add_up_and_adaptive_mode(spark):
     assert ppm.scores(empty(spark), F.lit(False)).count() == 0
 
 
+def test_long_texts_are_coded_in_parts(monkeypatch):
+    texts = ["one two  three", "", "a" * 40 + " b", " ", "x y z " * 9, "end"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+
+    def found():
+        codes = [(c, r, s) for c, r, s in ppm._codes(*ppm._symbols(data, offsets), 5)]
+        words = [(c, r, s) for c, r, s in ppm._words(data, offsets)]
+        out = []
+        for parts in (codes, words):
+            rows = [[] for _ in texts]
+            for values, r, size in parts:
+                at = np.cumsum([0, *size])
+                for i in range(len(size)):
+                    rows[r + i] += values[at[i] : at[i + 1]].tolist()
+            out.append(rows)
+        return out
+
+    whole = found()
+    for step in (1, 3, 7, 16):
+        monkeypatch.setattr(ppm, "STEP", step)
+        monkeypatch.setattr(ppm, "chunks", lambda o: ((i, i + 1) for i in range(len(o) - 1)))
+        assert found() == whole
+
+
+def test_squeezed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for values, ascending in ((np.sort(rng.integers(0, 1 << 54, 500)), True), (rng.normal(size=300), False), (np.zeros(0, np.int64), True), (rng.integers(0, 99, 7).astype(np.uint32), False)):
+        assert (blocks.unsqueezed(blocks.squeezed(values, ascending), values.dtype.type, ascending) == values).all()
+
+
 # ------------------------------------------------------------ 2
 
 
@@ -465,6 +496,18 @@ def test_kneser_ney_probabilities_and_order(spark):
     assert sum(model.unigrams) == pytest.approx(1, abs=0.02)
 
 
+def test_empty_tables(spark):
+    path = pieces.model_path("piece_bpe_32k.model")
+    assert pieces.encode(empty(spark), path).count() == 0
+    assert kneser_ney.classify(empty(spark), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
+
+
+def test_languages_go_with_their_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "en"), (1, "a b c d", "de"), (2, "a b", None)], "doc_id long, text string, lang string")
+    got = kneser_ney.classify(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert sorted((r["doc_id"], r["lang"] or "") for r in got) == [(1, "de"), (1, "en"), (2, "")]
+
+
 def kneser_ney_by_hand(trusted, texts):
     """log10 probabilities in dictionaries; every trusted word is in the vocabulary."""
     split = lambda t: [*WORD.findall(lowered(t)), "end"]
