@@ -512,6 +512,47 @@ def j5(s, d):
     return out.select("page_id", "w", "h", F.to_json("panels").alias("panels"))
 
 
+def _greedy(s, d):
+    """Boxes of 40 anywhere on a page of 300, in the order of their events."""
+    e = fx.table(s, d, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("box_id"), F.floor(260 * fx.u("gx", "event_id")).cast("int").alias("x1"), F.floor(260 * fx.u("gy", "event_id")).cast("int").alias("y1"))
+    return e.withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 40})
+
+
+@query("g3_keep_first", f"""with b as (select user_id as image_id, event_id, floor(260 * {fx.us('gx', 'event_id')})::int as x, floor(260 * {fx.us('gy', 'event_id')})::int as y from events),
+l as (select image_id, list([{{'id': event_id, 'x': x, 'y': y}}] order by event_id) as bs from b group by image_id)
+select image_id, k.id as box_id from (select image_id, unnest(list_reduce(bs, lambda a, n: case when len(list_filter(a, lambda o: o.x < n[1].x + 40 and n[1].x < o.x + 40 and o.y < n[1].y + 40 and n[1].y < o.y + 40)) = 0 then list_concat(a, n) else a end)) as k from l)""")
+def g3(s, d):
+    return stitch.keep_first_disjoint(_greedy(s, d), ["image_id"], "box_id").select("image_id", "box_id")
+
+
+@query("g4_pack_rects", f"""with p as (select page_id, (3 + page_id % 6)::int as nr, (3 + page_id % 5)::int as nc from pages),
+t as (select page_id, nr, nc, unnest(range(12))::int as t from p),
+z as (select page_id, nr, nc, t, (1 + floor(3 * {fx.us('rw', 'page_id', 't')}))::int as w, (1 + floor(3 * {fx.us('rh', 'page_id', 't')}))::int as h from t),
+l as (select page_id, list_concat([[{{'t': -1, 'w': 0, 'h': 0, 'x': 0, 'y': 0, 'nr': 0, 'nc': 0}}]], list([{{'t': t, 'w': w, 'h': h, 'x': 0, 'y': 0, 'nr': nr, 'nc': nc}}] order by t)) as rs from z group by page_id),
+o as (select page_id, unnest(list_reduce(rs, lambda a, n: list_concat(a, list_transform(
+  list_filter(flatten(list_transform(range(least(n[1].nr, n[1].nc - n[1].w + 1)), lambda x: list_transform(range(least(n[1].nc, n[1].nr - n[1].h + 1)), lambda y: {{'x': x::int, 'y': y::int}}))),
+    lambda c: len(list_filter(a, lambda k: k.x < c.x + n[1].w and c.x < k.x + k.w and k.y < c.y + n[1].h and c.y < k.y + k.h)) = 0)[1:1],
+  lambda c: {{'t': n[1].t, 'w': n[1].w, 'h': n[1].h, 'x': c.x, 'y': c.y, 'nr': n[1].nr, 'nc': n[1].nc}})))) as k from l)
+select page_id, k.t as try_id, k.w as w, k.h as h, k.x as x, k.y as y from o where k.t >= 0""")
+def g4(s, d):
+    p = F.col("page_id")
+    t = fx.table(s, d, "pages").select("page_id", (3 + p % 6).cast("int").alias("n_rows"), (3 + p % 5).cast("int").alias("n_cols"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("try_id"))
+    size = lambda k: (1 + F.floor(3 * fx.u(k, "page_id", "try_id"))).cast("int")
+    return stitch.pack_rects(t.withColumns({"w": size("rw"), "h": size("rh")})).select("page_id", "try_id", "w", "h", "x", "y")
+
+
+@query("j5_nest_words", f"with {fx.TOKENS} select d.doc_id as page_id, coalesce(n_panels, 0)::int as n_panels, coalesce(n_bubbles, 0)::bigint as n_bubbles, coalesce(words, '') as words from documents d left join (select page_id, count(distinct pos // 64) as n_panels, count(distinct pos // 16) as n_bubbles, string_agg(value, ' ' order by pos) as words from tokens group by page_id) t on d.doc_id = t.page_id")
+def j5_words(s, d):
+    """The words of a text as panels of 64 and bubbles of 16, nested and read out again in order."""
+    t = fx.tokens(s, d).select("page_id", F.floor(F.col("pos") / 64).cast("int").alias("panel_id"), F.floor(F.col("pos") / 16).cast("int").alias("bubble_id"), F.col("pos").alias("text_id"), F.col("value").alias("word"))
+    b = t.select("page_id", "panel_id", "bubble_id").distinct()
+    pages = fx.table(s, d, "documents").select(F.col("doc_id").alias("page_id"))
+    out = labels.nest_layout(pages, b.select("page_id", "panel_id").distinct(), b, t)
+    bubbles = F.flatten(F.transform("panels", lambda p: p["bubbles"]))
+    words = F.transform(F.flatten(F.transform(bubbles, lambda b: b["texts"])), lambda x: x["word"])
+    return out.select("page_id", F.size("panels").alias("n_panels"), F.size(bubbles).cast("long").alias("n_bubbles"), F.array_join(words, " ").alias("words"))
+
+
 @query("j9_collisions", M + "select a.page_id, a.seq as a, b.seq as b from matches a join matches b on a.page_id = b.page_id and a.y1 = b.y1 and a.seq < b.seq and a.x1 < b.x2 and b.x1 < a.x2 + 30 where a.x1 < b.x2 + 30 union all select page_id, seq, null from matches where x2 + 30 > 470 or y2 > 900")
 def j9(s, d):
     m = fx.matches(s, d).select("page_id", F.col("seq").alias("box_id"), "y1", "x1", "y2", (F.col("x2") + 30).alias("x2"), F.lit(900).alias("n_rows"), F.lit(470).alias("n_cols"))
