@@ -26,7 +26,7 @@ def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch],
     """block, body: what convert makes of rows, in blocks.  size: bytes of all rows, roughly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=5)
         number = TaskContext.get().partitionId() << 32
         parts: list[pa.RecordBatch] = []
         held = 0
