@@ -22,6 +22,16 @@ BLOCK = 16 << 20
 LEAST = 16
 
 
+def cut(batch: pa.RecordBatch, limit: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of a batch, at most so many and of at most limit bytes, or one row."""
+    if batch.num_rows > rows or (batch.num_rows > 1 and batch.nbytes > limit):
+        half = batch.num_rows // 2
+        yield from cut(batch.slice(0, half), limit, rows)
+        yield from cut(batch.slice(half), limit, rows)
+    elif batch.num_rows:
+        yield batch
+
+
 def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch], size: int, limit: int = BLOCK) -> DataFrame:
     """block, body: what convert makes of rows, in blocks.  size: bytes of all rows, roughly."""
 
@@ -43,8 +53,8 @@ def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch],
             return out
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = convert(batch.slice(first, 1024))
+            for part in cut(batch, limit // 4):
+                part = convert(part)
                 if held and held + part.nbytes > limit:
                     yield block()
                 parts.append(part)
