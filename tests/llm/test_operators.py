@@ -101,6 +101,20 @@ def test_long_texts_are_coded_in_parts(monkeypatch):
         assert found() == whole
 
 
+def test_blocks_are_bounded_and_whole(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * (i * 37 % 900) for i in range(50)])], names=["i", "t"])
+    parts = list(blocks.cut(batch, 2000, 16))
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
+    assert all(p.num_rows == 1 or (p.nbytes <= 2000 and p.num_rows <= 16) for p in parts)
+    df = spark.range(0, 3000, 1, 7).select("id", F.repeat(F.lit("y"), (F.col("id") % 90).cast("int")).alias("t"))
+    stored = blocks.packed(df, lambda b: b, 200_000, 20_000).collect()
+    assert len({r["block"] for r in stored}) == len(stored) > 5
+    ids = [i for r in stored for b in blocks.opened(pa.array([r["body"]], pa.binary())) for i in b.column(0).to_pylist()]
+    assert sorted(ids) == list(range(3000))
+
+
 def test_squeezed_numbers_come_back():
     rng = np.random.default_rng(1)
     for values, ascending in ((np.sort(rng.integers(0, 1 << 54, 500)), True), (rng.normal(size=300), False), (np.zeros(0, np.int64), True), (rng.integers(0, 99, 7).astype(np.uint32), False)):
