@@ -81,7 +81,8 @@ def a2(s, d):
 #: Latin letters of the texts written as syllables; the last of these is outside the default set.
 _SYLLABLES = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허갂"
 _LETTERS = "abcdefghijklmnoprstuvwxyzéüñq"
-H = f"with hv as (select id, count(*) as count from (select translate(w, '{_LETTERS}', '{_SYLLABLES}') as id from (select unnest({fx.WORDS}) as w from documents)) where length(id) > 0 and translate(id, '{tx.hangul_syllables() + tx.LATIN}', '') = '' group by id) "
+H = f"""with hv as (select id, sum(n)::bigint as count from (select translate(w, '{_LETTERS}', '{_SYLLABLES}') as id, n from
+  (select w, count(*) as n from (select unnest({fx.WORDS}) as w from documents) group by w)) where regexp_full_match(id, '[{tx.hangul_syllables()}0-9A-Za-z]+') group by id) """
 
 
 def _korean(s, d):
