@@ -129,18 +129,17 @@ def signatures(docs: DataFrame, settings: Settings, key: str = "doc_id", text: s
 
 def estimate(a: Column, b: Column, settings: Settings) -> Column:
     """Similarity from two signatures: minima whose bits agree are counted, chance agreement is taken off."""
-    per = 64 // settings.bits
-    ones = sum(1 << settings.bits * k for k in range(per))
+    ones = sum(1 << settings.bits * k for k in range(64 // settings.bits))
     mask = F.lit(ones - (1 << 64) if ones >> 63 else ones).cast("long")
 
-    def differing(k: int) -> Column:
-        z = a[k].bitwiseXOR(b[k])
-        folded = z
+    def differing(x: Column, y: Column) -> Column:
+        folded = z = x.bitwiseXOR(y)
         for i in range(1, settings.bits):
             folded = folded.bitwiseOR(F.shiftrightunsigned(z, i))
         return F.bit_count(folded.bitwiseAND(mask))
 
-    different = sum((differing(k) for k in range(1, -(-settings.minima // per))), differing(0))
+    # Lambdas keep the plan small, where a sum written out for every number of the signature is thousands of nodes.
+    different = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, n: s + n)
     chance = 2.0**-settings.bits
     return (1.0 - different / settings.minima - chance) / (1.0 - chance)
 
