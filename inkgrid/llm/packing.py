@@ -170,7 +170,7 @@ def knapsack(lengths: np.ndarray, copies: np.ndarray, prices: np.ndarray, capaci
     return config
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, step: float = STEP, rest: float = REST, seed: int = 1) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, step: float = STEP, rest: float = REST, seed: int = 1) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """Configurations with how many sequences take each, by multiplicative weights, and the counts that are left.
 
     The price of a length starts at its share of a sequence and falls by exp(-rate) as all of it
@@ -196,9 +196,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, s
         times = max(1, int(step * most), min(most, finest))
         left[some] -= times * few
         tokens -= int(lengths[some] @ few) * times
-        config = np.zeros(len(lengths), np.int64)
-        config[some] = few
-        used.append((config, times))
+        used.append((dict(zip(lengths[some].tolist(), few.tolist())), times))
     return used, left
 
 
@@ -228,9 +226,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, from_program: list
     best: tuple = ()
     for rate in RATES:
         used, left = solve(lengths, counts, capacity, rate)
-        out = [({int(a): int(b) for a, b in zip(lengths[c > 0], c[c > 0])}, n) for c, n in used]
-        n = sum(n for _, n in out)
-        out += best_fit(lengths, left, capacity)
+        n = sum(n for _, n in used)
+        out = used + best_fit(lengths, left, capacity)
         if not best or sum(n for _, n in out) < best[0]:
             best = sum(n for _, n in out), n, out
         if best[0] <= (1 + NEAR) * least_sequences(wanted, capacity):
