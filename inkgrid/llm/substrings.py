@@ -44,6 +44,8 @@ from .tables import chunks, hub_join, mixed, rolling, stored, utf8, words_of
 
 WINDOW = 50
 K = 25
+#: Bytes of text in a block; the windows that are asked of one are held at once.
+BYTES = 8 << 20
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -74,7 +76,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFra
     """Stored blocks of documents: id, text and the columns in names, by number."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(names)])
-    return packed(rows, lambda batch: batch, size)
+    return packed(rows, lambda batch: batch, size, BYTES)
 
 
 def _rows(bodies: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, pa.RecordBatch]]:
