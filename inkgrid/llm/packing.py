@@ -36,7 +36,7 @@ from .tables import stored, utf8
 CAPACITY = 4096
 END = 1
 #: Encoded words, and encoded parts of words, that a worker keeps; a table starts anew beyond that.
-CACHED_WORDS, CACHED_PARTS = 250_000, 400_000
+CACHED_WORDS, CACHED_PARTS = 100_000, 200_000
 #: Pieces for each bucket of ranks.
 BUCKET = 20_000
 #: The linear program: the share of a length that a round covers, the share of tokens it leaves to
