@@ -13,16 +13,25 @@ from pyspark.sql.window import Window
 from ..sources.storage import materialise
 
 
-def running_sum(df: DataFrame, order: list[str], column: str, output: str = "running") -> DataFrame:
-    """df with the sum of column up to and with each row.  order must tell all rows apart; null counts as 0."""
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each output: column of sums, the sum of the column up to and with each row.
+
+    order must tell all rows apart; null counts as 0.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
-    value = F.coalesce(F.col(column), F.lit(0))
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))  # one row for each partition
+    value = {o: F.coalesce(F.col(c), F.lit(0)) for o, c in sums.items()}
+    ends = ranged.groupBy("__part").agg(*[F.sum(v).alias(f"__sum_{o}") for o, v in value.items()])  # one row for each partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    offsets = ends.select("__part", *[F.coalesce(F.sum(f"__sum_{o}").over(before), F.lit(0)).alias(f"__offset_{o}") for o in sums])
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(output, F.sum(value).over(within) + F.col("__offset")).drop("__part", "__offset")
+    out = ranged.join(F.broadcast(offsets), "__part")
+    return out.withColumns({o: F.sum(v).over(within) + F.col(f"__offset_{o}") for o, v in value.items()}).drop("__part", *[f"__offset_{o}" for o in sums])
+
+
+def running_sum(df: DataFrame, order: list[str], column: str, output: str = "running") -> DataFrame:
+    """df with the sum of column up to and with each row.  order must tell all rows apart; null counts as 0."""
+    return running_sums(df, order, {output: column})
 
 
 def row_numbers(df: DataFrame, order: list[str], output: str = "rn") -> DataFrame:
