@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, forest, kneser_ney, minhash, packing, pieces, ppm, privacy, quality, substrings
+from . import extraction, forest, kneser_ney, minhash, mixing, packing, pieces, ppm, privacy, quality, substrings
 
 QUERIES = {
     "op1_ppm_scoring": ppm.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_de_bruijn_spans": substrings.op8,
     "op9_kneser_ney": kneser_ney.op9,
     "op10_config_lp_packing": packing.op10,
+    "op11_source_mixing": mixing.op11,
 }
 
 ORACLES = {
     "op5_quality_rules": quality.op5_sql(),
+    "op11_source_mixing": mixing.op11_sql(),
 }
