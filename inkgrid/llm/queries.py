@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, forest, kneser_ney, minhash, mixing, packing, periodic, pieces, ppm, privacy, quality, substrings
+from . import extraction, forest, kneser_ney, minhash, mixing, packing, periodic, pieces, ppm, privacy, quality, substrings, whitening
 
 QUERIES = {
     "op1_ppm_scoring": ppm.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_config_lp_packing": packing.op10,
     "op11_source_mixing": mixing.op11,
     "op12_repair_runs": periodic.op12,
+    "op13_incremental_whitening": whitening.op13,
 }
 
 ORACLES = {
