@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by alternating large-star and small-star steps, and the first independent set of an order."""
 
 from __future__ import annotations
 
@@ -35,3 +35,20 @@ def components(links: DataFrame) -> DataFrame:
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     # In the end every edge leads to a root, and roots are on the right only.
     return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def not_independent(links: DataFrame) -> DataFrame:
+    """id and round of what is not in the first independent set: taken in order, what no link joins to something taken before.
+
+    links (a, b): a comes before b in the order.  A round takes all that have no link from before, and what they link to
+    goes; the number of rounds is about the logarithm of the links if the order is random, and the longest chain at most.
+    """
+    left = materialise(links.distinct())
+    out, number = left.select(F.col("b").alias("id"), F.lit(0).alias("round")).limit(0), 0
+    while not left.isEmpty():
+        number += 1
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = materialise(left.join(first, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        out = out.union(gone.withColumn("round", F.lit(number)))
+        left = materialise(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    return out

@@ -2,104 +2,128 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.boxes import intersection_over_union, overlaps
+from ..functions.boxes import intersection_over_union
 from ..sources.storage import materialise
 from .graph import components
+from .grid import box_of, meetings
+from .stitch import whole_runs
 
 # Accented letters of Latin scripts and their plain forms.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def _box(prefix: str) -> Column:
-    return F.struct(*[F.col(f"{prefix}.{c}").alias(c) for c in ("y1", "x1", "y2", "x2")])
+def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """image_id, class, gt_id, pred_id and iou of boxes that overlap; both tables: image_id, class, box_id, y1, x1, y2, x2."""
+    met = meetings(gt, pred, ["image_id", "class"])
+    return met.select("l.image_id", "l.class", F.col("l.box_id").alias("gt_id"), F.col("r.box_id").alias("pred_id"), intersection_over_union(box_of("l"), box_of("r")).alias("iou"))
 
 
-def _first(y: str, band: int) -> Column:
-    return F.floor(F.col(y) / band)
+def assign(left: list[int], right: list[int], weight: list[float]) -> list[bool]:
+    """Which edges are in a matching of largest weight.  Nodes are numbers from 0, an edge stands once.
 
+    Shortest augmenting paths with prices: each left node is matched in turn, if only with nothing (a node of its own).
+    """
+    n, m = max(left) + 1, max(right) + 1
+    edges: list[list[tuple[int, float, int]]] = [[(m + i, 0.0, -1)] for i in range(n)]
+    for e, (i, j, w) in enumerate(zip(left, right, weight)):
+        edges[i].append((j, -w, e))
+    u = [min(c for _, c, _ in es) for es in edges]
+    v = [0.0] * (m + n)
+    owner, by = [-1] * (m + n), [-1] * (m + n)  # the left node of a right one, and the edge between them
+    mate = [-1] * n  # the right node of a left one
+    for root in range(n):
+        far: dict[int, float] = {}
+        done: dict[int, float] = {}
+        back: dict[int, tuple[int, int]] = {}
+        heap: list[tuple[float, int]] = []
+        i, base = root, 0.0
+        while True:
+            for j, c, e in edges[i]:
+                d = base + c - u[i] - v[j]
+                if j not in done and d < far.get(j, math.inf):
+                    far[j], back[j] = d, (i, e)
+                    heapq.heappush(heap, (d, j))
+            while heap[0][1] in done:
+                heapq.heappop(heap)
+            base, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                break
+            done[j] = base
+            i = owner[j]
+        u[root] += base
+        for k, d in done.items():
+            u[owner[k]] += base - d
+            v[k] -= base - d
+        while j >= 0:  # along the path back to the root
+            i, e = back[j]
+            owner[j], by[j] = i, e
+            mate[i], j = j, mate[i]
+    chosen = {by[j] for j in mate} - {-1}
+    return [e in chosen for e in range(len(left))]
 
-def _banded(boxes: DataFrame, band: int) -> DataFrame:
-    """A row for each __band of the page that a box reaches."""
-    return boxes.withColumn("__band", F.explode(F.sequence(_first("y1", band), F.greatest(_first("y1", band), _first("y2", band)))))
 
+#: Rounds go on while they settle at least one pair in so many.
+WORTH = 100
 
-def _meet(l: str, r: str, band: int) -> Column:
-    """Boxes that overlap, in the band where the lower of the two begins."""
-    same = (F.col(f"{l}.__band") == F.col(f"{r}.__band")) & (F.col(f"{l}.__band") == F.greatest(_first(f"{l}.y1", band), _first(f"{r}.y1", band)))
-    return same & overlaps(_box(l), _box(r))
 
-
-def iou_pairs(gt: DataFrame, pred: DataFrame, band: int = 256) -> DataFrame:
-    """image_id, class, gt_id, pred_id and iou of boxes that overlap; both tables: image_id, class, box_id, y1, x1, y2, x2."""
-    g, p = _banded(gt, band).alias("g"), _banded(pred, band).alias("p")
-    on = (F.col("g.image_id") == F.col("p.image_id")) & (F.col("g.class") == F.col("p.class")) & _meet("g", "p", band)
-    return g.join(p, on).select("g.image_id", "g.class", F.col("g.box_id").alias("gt_id"), F.col("p.box_id").alias("pred_id"), intersection_over_union(_box("g"), _box("p")).alias("iou"))
-
-
-def assign(cost: np.ndarray) -> np.ndarray:
-    """For each row its column in an assignment of least cost (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for row in range(1, n + 1):
-        match[0], column = row, 0
-        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[column] = True
-            at = match[column]
-            free = ~used[1:]
-            reduced = cost[at - 1] - u[at] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better], back[1:][better] = reduced[better], column
-            step_to = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[step_to]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            column = step_to
-            if match[column] == 0:
-                break
-        while column:
-            match[column] = match[back[column]]
-            column = back[column]
-    out = np.zeros(n, int)
-    for c in range(1, m + 1):
-        if match[c]:
-            out[match[c] - 1] = c - 1
-    return out
+def _settled(pairs: DataFrame) -> DataFrame:
+    """pairs with __settled: the pair weighs at least as much as the best others of its two boxes together, so some best pairing has it."""
+    for name, box in (("g", "gt_id"), ("p", "pred_id")):
+        rank = Window.partitionBy("image_id", "class", box).orderBy(F.desc("iou"), "__e")
+        first = F.row_number().over(rank) == 1
+        pairs = pairs.withColumns({f"__{name}_first": first, f"__{name}_other": F.when(first, F.coalesce(F.lead("iou").over(rank), F.lit(0.0)))})
+    return pairs.withColumn("__settled", F.col("__g_first") & F.col("__p_first") & (F.col("iou") >= F.col("__g_other") + F.col("__p_other")))
 
 
 def pair_boxes(pairs: DataFrame) -> DataFrame:
     """The pairs (image_id, class, gt_id, pred_id, iou) of a one-to-one pairing with the largest total, image by image and class by class.
 
-    Pairs whose boxes meet no others stay; the rest goes by connected component, so the cubic work is on small ones.
+    In rounds, pairs that weigh as much as all that can compete with them are settled and their boxes leave; boxes
+    with one partner, stars and most others end there.  What is left goes by connected component, many to a
+    task, to an exact matcher; a component is one task's work.
     """
-    node = lambda kind: F.to_json(F.struct(F.lit(kind[0]).alias("kind"), "image_id", "class", F.col(kind).alias("id")))
-    of = lambda kind: F.count("*").over(Window.partitionBy("image_id", "class", kind))
-    counted = materialise(pairs.withColumns({"__a": node("gt_id"), "__b": node("pred_id"), "__alone": (of("gt_id") == 1) & (of("pred_id") == 1)}))
-    alone = counted.filter("__alone").select(*pairs.columns)
-    rest = counted.filter("not __alone")
-    found = components(rest.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).withColumnRenamed("id", "__a")
-
-    def component(pdf: pd.DataFrame) -> pd.DataFrame:
-        ga, gx = np.unique(pdf["gt_id"], return_inverse=True)
-        pa, px = np.unique(pdf["pred_id"], return_inverse=True)
-        score = np.zeros((len(ga), len(pa)))
-        score[gx, px] = pdf["iou"].to_numpy()
-        flip = len(ga) > len(pa)
-        paired = assign(-(score.T if flip else score))
-        chosen = {(int(j), i) if flip else (i, int(j)) for i, j in enumerate(paired)}
-        return pdf.loc[[(int(a), int(b)) in chosen for a, b in zip(gx, px)], pairs_columns]
-
-    pairs_columns = pairs.columns
-    kept = rest.join(found, "__a").select(*pairs_columns, "component").groupBy("component").applyInPandas(component, pairs.schema)
-    return alone.unionByName(kept)
+    columns = pairs.columns
+    rest = materialise(pairs.filter("iou is not null").withColumn("__e", F.monotonically_increasing_id()))
+    chosen = None
+    while True:
+        marked = materialise(_settled(rest).select(*columns, "__e", "__settled"))
+        n, settled = marked.agg(F.count("*"), F.coalesce(F.sum(F.col("__settled").cast("long")), F.lit(0))).first()
+        done = marked.filter("__settled").select(*columns)
+        chosen = done if chosen is None else chosen.unionByName(done)
+        if n == settled:
+            return chosen
+        rest = marked.filter("not __settled").drop("__settled")
+        for box in ("gt_id", "pred_id"):
+            rest = rest.join(done.select("image_id", "class", box), ["image_id", "class", box], "left_anti")
+        rest = materialise(rest.select(*columns, "__e"))
+        if settled * WORTH < n:
+            break
+    least = lambda box: F.min("__e").over(Window.partitionBy("image_id", "class", box))
+    named = materialise(rest.withColumns({"__a": 2 * least("gt_id"), "__b": 2 * least("pred_id") + 1}))
+    found = components(named.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).withColumnRenamed("id", "__a")
+    dealt = named.join(found, "__a").select(*columns, "component", "__a", "__b").repartition("component").sortWithinPartitions("component")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, edges in whole_runs(batches, ["component"]):
+            keep = np.zeros(len(pdf), bool)
+            weight = pdf["iou"].to_numpy(float)
+            for a, b in zip(edges[:-1], edges[1:]):
+                sides = [np.unique(pdf[c].to_numpy()[a:b], return_inverse=True)[1].tolist() for c in ("__a", "__b")]
+                keep[a:b] = assign(*sides, weight[a:b].tolist())
+            yield pdf.loc[keep, columns]
+
+    return chosen.unionByName(dealt.mapInPandas(match, pairs.schema))
 
 
 def localization_metrics(gt: DataFrame, pred: DataFrame, iou: float = 0.5) -> DataFrame:
@@ -131,14 +155,9 @@ def mean_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:
     return batches.agg(F.avg(loss).alias("mean_loss"))
 
 
-def collisions(boxes: DataFrame, band: int = 256) -> DataFrame:
-    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid.
-
-    Boxes meet in bands of the page, each pair in the band where the lower of the two begins.
-    """
-    banded = _banded(boxes, band)
-    l, r = banded.alias("l"), banded.alias("r")
-    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.box_id") < F.col("r.box_id")) & _meet("l", "r", band)
-    both = l.join(r, on).select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
+def collisions(boxes: DataFrame) -> DataFrame:
+    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid."""
+    slim = boxes.select("page_id", "box_id", "y1", "x1", "y2", "x2")
+    both = meetings(slim, None, ["page_id"]).filter("l.box_id < r.box_id").select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
     out = boxes.filter("y1 < 0 or x1 < 0 or y2 > n_rows or x2 > n_cols").select("page_id", F.col("box_id").alias("a"), F.lit(None).cast(boxes.schema["box_id"].dataType).alias("b"))
     return both.unionByName(out)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.storage import materialise
+from .graph import not_independent
+from .grid import meetings
+
 BOX = ["y1", "x1", "y2", "x2"]
 
 
@@ -63,7 +67,7 @@ def _parts(df: DataFrame, low: Column, high: Column, reach: float, rows: int) ->
     return placed.join(spots, F.col("page_id").eqNullSafe(F.col("__page")) & F.col("__low").eqNullSafe(F.col("__at"))).drop("__low", "__high", "__page", "__at")
 
 
-def _whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Batches of rows that are sorted by keys, cut anew so that no run of equal keys is split, and where their runs begin and end."""
     left: pd.DataFrame | None = None
 
@@ -93,7 +97,7 @@ def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarra
     names = [*(f.name for f in fields), "__base", "add_order"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, edges in _whole_runs(batches, ["page_id", "__part"]):
+        for pdf, edges in whole_runs(batches, ["page_id", "__part"]):
             box, numbers = pdf[BOX].to_numpy(float), pdf[order].to_numpy()
             bases, places = numbers.copy(), np.zeros(len(pdf), np.int32)
             for a, b in zip(edges[:-1], edges[1:]):
@@ -161,19 +165,17 @@ def matches_per_page(matches: DataFrame) -> DataFrame:
 
 
 def keep_first_disjoint(boxes: DataFrame, group: list[str], order: str) -> DataFrame:
-    """In order, the boxes that meet none of those kept before them in their group; touching is no meeting."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        box = pdf[BOX].to_numpy(float)
-        kept: list[int] = []
-        for i, b in enumerate(box):
-            k = box[kept] if kept else np.zeros((0, 4))
-            if not ((k[:, 1] < b[3]) & (b[1] < k[:, 3]) & (k[:, 0] < b[2]) & (b[0] < k[:, 2])).any():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(*group).applyInPandas(keep, boxes.schema)
+    """In order, the boxes that meet none of those kept before them in their group; touching is no meeting.
+
+    A box that meets only later ones is kept and those go, all at once; then this is done again with what is
+    left, so a group may be of any size.  Of boxes in one place of the order, the one read first is before.
+    """
+    rows = materialise(boxes.withColumn("__id", F.monotonically_increasing_id()))
+    slim = rows.select(F.to_json(F.struct(*group)).alias("__group"), "__id", F.col(order).alias("__order"), *BOX)
+    place = lambda t: F.struct(F.col(f"{t}.__order"), F.col(f"{t}.__id"))
+    links = meetings(slim, None, ["__group"]).filter(place("l") < place("r")).select(F.col("l.__id").alias("a"), F.col("r.__id").alias("b"))
+    gone = not_independent(links).select(F.col("id").alias("__id"))
+    return rows.join(gone, "__id", "left_anti").select(*boxes.columns)
 
 
 def pack_rects(sizes: DataFrame) -> DataFrame:
