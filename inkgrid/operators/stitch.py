@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,60 +10,106 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..sources.storage import materialise
 from .graph import not_independent
 from .grid import meetings
+from .scan import RANGE, carried, earlier, numbered, ranged, within
 
 BOX = ["y1", "x1", "y2", "x2"]
 
 
-def _gap(lo: float, hi: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.maximum(a - hi, lo - b))
+class Neighbours:
+    """Intervals by their low ends, in classes of like length, so that those that meet a span are near each other."""
 
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        length = np.maximum(high - low, 0)
+        kind = np.floor(np.log2(np.maximum(length, 1))).astype(int)
+        self.classes = []
+        for k in np.unique(kind):
+            members = np.flatnonzero(kind == k)
+            members = members[np.argsort(low[members], kind="stable")]
+            self.classes.append((members.tolist(), low[members].tolist(), float(length[members].max())))
 
-def grow_groups(box: np.ndarray, near: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def ranges(self, a: float, b: float) -> list[tuple[int, int]]:
+        """For each class, from where to where its intervals may meet [a, b]."""
+        return [(bisect_left(low, a - longest), bisect_right(low, b)) for _, low, longest in self.classes]
+
+    def between(self, ranges: list[tuple[int, int]], seen: list[tuple[int, int]] | None) -> list[int]:
+        """The members in ranges that aren't in seen, which are within ranges."""
+        out = []
+        for k, (first, last) in enumerate(ranges):
+            members = self.classes[k][0]
+            out += members[first:last] if seen is None else members[first : seen[k][0]] + members[seen[k][1] : last]
+        return out
+
+
+#: Candidates from which on they are tested together.
+MANY = 48
+Sides = tuple[float, float, float, float]
+
+
+def grow_groups(box: np.ndarray, low: np.ndarray, high: np.ndarray, span: Callable[[int, Sides], tuple[float, float]], near: Callable[[int, Sides, tuple], bool]) -> tuple[np.ndarray, np.ndarray]:
     """Group number and place of joining for each box (rows y1, x1, y2, x2).
 
-    The last box left is a group's base; then, round by round, every box left that is near
-    joins, until none does.  near(base, box around the group, candidates) is a mask.
+    The last box left is a group's base; then, round by round, every box left that is near joins, until none
+    does.  near(base, box around the group, sides of a candidate) may get arrays of sides, too; it holds only
+    for boxes whose interval from low to high meets span(base, box around the group).  Only these are looked at, and each
+    comes in once, as the span grows.
     """
-    group, place = np.full(len(box), -1), np.zeros(len(box), np.int64)
-    number = 0
+    group, place = [-1] * len(box), [0] * len(box)
+    index, number, sides = Neighbours(low, high), 0, list(map(tuple, box.tolist()))
     for base in range(len(box) - 1, -1, -1):
         if group[base] >= 0:
             continue
-        group[base], joined = number, 1
-        around = box[base].copy()
-        left = np.flatnonzero(group < 0)
-        while len(left):
-            hit = near(base, around, box[left])
-            if not hit.any():
+        group[base], joined, around = number, 1, sides[base]
+        seen, left = None, []
+        while True:
+            ranges = index.ranges(*span(base, around))
+            if ranges != seen:
+                if seen is not None:
+                    ranges = [(min(r[0], s[0]), max(r[1], s[1])) for r, s in zip(ranges, seen)]
+                left += [k for k in index.between(ranges, seen) if group[k] < 0]
+                left.sort()
+                seen = ranges
+            if len(left) < MANY:
+                new = [k for k in left if near(base, around, sides[k])]
+            else:
+                some = np.array(left)
+                new = some[near(base, around, tuple(box[some].T))].tolist()
+            if not new:
                 break
-            new = left[hit]
-            group[new], place[new] = number, joined + np.arange(len(new))
-            joined += len(new)
-            around = np.array([min(around[0], box[new, 0].min()), min(around[1], box[new, 1].min()), max(around[2], box[new, 2].max()), max(around[3], box[new, 3].max())])
-            left = left[~hit]
+            for k in new:
+                group[k], place[k] = number, joined
+                joined += 1
+            y1, x1, y2, x2 = zip(*[sides[k] for k in new])
+            around = (min(around[0], *y1), min(around[1], *x1), max(around[2], *y2), max(around[3], *x2))
+            left = [k for k in left if group[k] < 0]
         number += 1
-    return group, place
+    return np.array(group), np.array(place)
 
 
 def _parts(df: DataFrame, low: Column, high: Column, reach: float, rows: int) -> DataFrame:
     """df with __part: within a page, parts of about so many rows between which no box can reach another.
 
     A part ends only where the next low is further from all highs before it than reach times the
-    page's largest height.  Equal places are counted before they are put in order.
+    page's largest height.  Equal places are counted before they are put in order, and the order is
+    that of ranges of places, so a page may have any share of the rows.
     """
     placed = df.withColumns({"__low": low, "__high": high})
+    page, order = ["page_id"], ["__low"]
     spots = placed.groupBy("page_id", "__low").agg(F.max("__high").alias("__end"), F.count("*").alias("__n"), F.max(F.col("y2") - F.col("y1")).alias("__tall"))
-    page = Window.partitionBy("page_id")
-    before = page.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)
-    upto = page.orderBy("__low").rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.col("__low") - F.max("__end").over(before) > reach * F.max("__tall").over(page)
-    spots = spots.withColumns({"__cut": cut, "__before": F.coalesce(F.sum("__n").over(before), F.lit(0))})
-    start = F.max(F.when(F.col("__cut"), F.col("__before"))).over(upto)
+    spots = ranged(spots, page, order)
+    tall = spots.groupBy(F.col("page_id").alias("__page")).agg(F.max("__tall").alias("__most"))
+    spots = spots.join(tall, F.col("page_id").eqNullSafe(F.col("__page"))).drop("__page")
+    before = within(page, order, -1)
+    spots = carried(spots, page, {"__top": F.max("__end")}, {"__reached": earlier(F.max, "__top")})
+    spots = carried(spots, page, {"__rows": F.sum("__n")}, {"__counted": earlier(F.sum, "__rows")})
+    reached = F.greatest(F.col("__reached"), F.max("__end").over(before))
+    counted = F.coalesce("__counted", F.lit(0)) + F.coalesce(F.sum("__n").over(before), F.lit(0))
+    spots = spots.select("page_id", "__low", RANGE, F.when(F.col("__low") - reached > reach * F.col("__most"), counted).alias("__start"))
+    spots = carried(spots, page, {"__last": F.max("__start")}, {"__before": earlier(F.max, "__last")})
+    start = F.greatest(F.col("__before"), F.max("__start").over(within(page, order)))
     spots = spots.select(F.col("page_id").alias("__page"), F.col("__low").alias("__at"), F.floor(F.coalesce(start, F.lit(0)) / rows).alias("__part"))
     return placed.join(spots, F.col("page_id").eqNullSafe(F.col("__page")) & F.col("__low").eqNullSafe(F.col("__at"))).drop("__low", "__high", "__page", "__at")
 
@@ -90,7 +137,11 @@ def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tup
         yield left.reset_index(drop=True), np.array([0, len(left)])
 
 
-def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarray], Callable], low: Column, high: Column, reach: float, rows: int) -> DataFrame:
+#: What stitching needs to know of boxes (rows y1, x1, y2, x2): their intervals in y, and the functions of grow_groups.
+Rule = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, Callable, Callable]]
+
+
+def _stitch(df: DataFrame, order: str, output: str, rule: Rule, low: Column, high: Column, reach: float, rows: int) -> DataFrame:
     fields = df.schema.fields
     schema = T.StructType([*fields, T.StructField("__base", df.schema[order].dataType), T.StructField("add_order", T.IntegerType())])
 
@@ -101,16 +152,20 @@ def _stitch(df: DataFrame, order: str, output: str, near_of: Callable[[np.ndarra
             box, numbers = pdf[BOX].to_numpy(float), pdf[order].to_numpy()
             bases, places = numbers.copy(), np.zeros(len(pdf), np.int32)
             for a, b in zip(edges[:-1], edges[1:]):
-                group, place = grow_groups(box[a:b], near_of(box[a:b]))
+                group, place = grow_groups(box[a:b], *rule(box[a:b]))
                 base = np.zeros(group.max() + 1, np.int64)
                 base[group[place == 0]] = np.flatnonzero(place == 0)
                 bases[a:b], places[a:b] = numbers[a:b][base[group]], place
             yield pdf.assign(__base=bases, add_order=places)[names]
 
     placed = _parts(df, low, high, reach, rows).repartition("page_id", "__part").sortWithinPartitions("page_id", "__part", order)
-    out = placed.mapInPandas(run, schema)
-    number = (F.dense_rank().over(Window.partitionBy("page_id").orderBy(F.desc("__base"))) - 1).cast("int")
-    return out.withColumn(output, number).select(*[f.name for f in fields], output, "add_order")
+    out = materialise(placed.mapInPandas(run, schema))
+    # Groups are numbered from the last base on; only bases are put in order.
+    bases = out.filter("add_order = 0").select("page_id", F.col("__base"), (-F.col("__base")).alias("__down"))
+    bases = numbered(ranged(bases, ["page_id"], ["__down"]), ["page_id"], ["__down"], "__number")
+    bases = bases.select(F.col("page_id").alias("__page"), F.col("__base").alias("__of"), F.col("__number").cast("int").alias(output))
+    joined = out.join(bases, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__base") == F.col("__of")))
+    return joined.select(*[f.name for f in fields], output, "add_order")
 
 
 def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: float = 0.25, part_rows: int = 200) -> DataFrame:
@@ -119,30 +174,41 @@ def stitch_lines(matches: DataFrame, max_edge_dx: float = 0.5, max_center_dy: fl
     A page is dealt out in parts of about part_rows rows that no line can span.
     """
 
-    def near_of(box: np.ndarray) -> Callable:
-        def near(base: int, around: np.ndarray, c: np.ndarray) -> np.ndarray:
-            height = box[base, 2] - box[base, 0]
-            middle = box[base, 0] + height / 2
-            dy = np.abs(middle - (c[:, 0] + (c[:, 2] - c[:, 0]) / 2))
-            return (dy <= height * max_center_dy) & (_gap(around[1], around[3], c[:, 1], c[:, 3]) <= height * max_edge_dx)
+    def rule(box: np.ndarray):
+        middles = box[:, 0] + (box[:, 2] - box[:, 0]) / 2
+        middle, heights = middles.tolist(), (box[:, 2] - box[:, 0]).tolist()
+
+        def span(base: int, around: Sides) -> tuple[float, float]:
+            reach = heights[base] * max_center_dy * (1 + 1e-9)
+            return middle[base] - reach, middle[base] + reach
+
+        def near(base: int, around: Sides, c: tuple):
+            dy, dx = heights[base] * max_center_dy, heights[base] * max_edge_dx
+            return (abs(middle[base] - (c[0] + (c[2] - c[0]) / 2)) <= dy) & (c[1] - around[3] <= dx) & (around[1] - c[3] <= dx)
 
-        return near
+        return middles, middles, span, near
 
     middle = F.col("y1") + (F.col("y2") - F.col("y1")) / 2
-    return _stitch(matches, "seq", "line_seq", near_of, middle, middle, max_center_dy, part_rows)
+    return _stitch(matches, "seq", "line_seq", rule, middle, middle, max_center_dy, part_rows)
 
 
 def stitch_blocks(lines: DataFrame, max_edge_dx: float = 0.5, max_edge_dy: float = 0.5, part_rows: int = 200) -> DataFrame:
     """lines (page_id, line_seq, y1, x1, y2, x2, ...) with block_seq and add_order; dealt out as in stitch_lines."""
 
-    def near_of(box: np.ndarray) -> Callable:
-        def near(base: int, around: np.ndarray, c: np.ndarray) -> np.ndarray:
-            height = box[base, 2] - box[base, 0]
-            return (_gap(around[0], around[2], c[:, 0], c[:, 2]) <= height * max_edge_dy) & (_gap(around[1], around[3], c[:, 1], c[:, 3]) <= height * max_edge_dx)
+    def rule(box: np.ndarray):
+        heights = (box[:, 2] - box[:, 0]).tolist()
+
+        def span(base: int, around: Sides) -> tuple[float, float]:
+            reach = heights[base] * max_edge_dy * (1 + 1e-9)
+            return around[0] - reach, around[2] + reach
+
+        def near(base: int, around: Sides, c: tuple):
+            dy, dx = heights[base] * max_edge_dy, heights[base] * max_edge_dx
+            return (dy >= 0) & (c[0] - around[2] <= dy) & (around[0] - c[2] <= dy) & (c[1] - around[3] <= dx) & (around[1] - c[3] <= dx)
 
-        return near
+        return box[:, 0], box[:, 2], span, near
 
-    return _stitch(lines, "line_seq", "block_seq", near_of, F.col("y1"), F.col("y2"), max_edge_dy, part_rows)
+    return _stitch(lines, "line_seq", "block_seq", rule, F.col("y1"), F.col("y2"), max_edge_dy, part_rows)
 
 
 def summarize_groups(members: DataFrame, group: str, edge: str, separator: str) -> DataFrame:
