@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import intersection_over_union
+from ..functions.translit import plain
 from ..sources.storage import materialise
 from .graph import components
 from .grid import box_of, meetings
 from .stitch import whole_runs
 
-# Accented letters of Latin scripts and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """image_id, class, gt_id, pred_id and iou of boxes that overlap; both tables: image_id, class, box_id, y1, x1, y2, x2."""
     met = meetings(gt, pred, ["image_id", "class"])
@@ -140,15 +136,10 @@ def localization_metrics(gt: DataFrame, pred: DataFrame, iou: float = 0.5) -> Da
     )
 
 
-def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
-
-
-def text_match(pairs: DataFrame) -> DataFrame:
-    """One row: n, raw and unicase, the shares of pairs (target, pred) that are equal, and equal when folded."""
+def text_match(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of by: n, raw and unicase, the shares of pairs (target, pred) that are equal, and equal in lower case and plain letters."""
     equal = lambda a, b: F.avg(F.coalesce(a == b, F.lit(False)).cast("double"))
-    return pairs.agg(F.count("*").alias("n"), equal(F.col("target"), F.col("pred")).alias("raw"), equal(fold(F.col("target")), fold(F.col("pred"))).alias("unicase"))
+    return pairs.groupBy(*by).agg(F.count("*").alias("n"), equal(F.col("target"), F.col("pred")).alias("raw"), equal(plain(F.col("target")), plain(F.col("pred"))).alias("unicase"))
 
 
 def mean_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:

@@ -390,13 +390,50 @@ def a7(s, d):
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "mean_iou")})
 
 
+# Accented letters of the given texts and their plain forms.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 @query("a8_text_match", f"""with {fx.TOKENS}, p as (select value as target, case when {fx.us('t', 'page_id', 'pos')} < 0.5 then value when {fx.us('t', 'page_id', 'pos')} < 0.7 then upper(translate(value, 'ß', 's'))
   when {fx.us('t', 'page_id', 'pos')} < 0.9 then substr(value, 1, 2) else translate(value, 'éèüö', 'eeuo') end as pred from tokens)
-select count(*) as n, round(avg((target = pred)::int), 9) as raw, round(avg((translate(lower(target), '{score.ACCENTED}', '{score.PLAIN}') = translate(lower(pred), '{score.ACCENTED}', '{score.PLAIN}'))::int), 9) as unicase from p""")
+select count(*) as n, round(avg((target = pred)::int), 9) as raw, round(avg((translate(lower(target), '{ACCENTED}', '{PLAIN}') = translate(lower(pred), '{ACCENTED}', '{PLAIN}'))::int), 9) as unicase from p""")
 def a8(s, d):
     return score.text_match(fx.text_pairs(s, d)).withColumns({c: F.round(c, 9) for c in ("raw", "unicase")})
 
 
+# The words in three scripts, letter for letter, and how these letters are written in plain ones.
+_CYRILLIC = {"a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "x": "ж", "z": "з", "i": "и", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "f": "ф", "h": "х", "c": "ц", "q": "ч", "w": "ш", "j": "щ", "y": "ы", "e": "э"}
+_CYRILLIC_PLAIN = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ы": "y"}
+_HANGUL = {"a": "가", "b": "난", "c": "덕", "d": "롬", "e": "불", "f": "샵", "g": "엥", "h": "좋", "i": "책", "k": "퀴", "l": "튼", "m": "픽", "n": "흙", "o": "까", "p": "띄", "r": "빵", "s": "쏘", "t": "쪽", "u": "워"}
+_HANGUL_PLAIN = {"가": "ga", "난": "nan", "덕": "deog", "롬": "rom", "불": "bul", "샵": "syab", "엥": "eng", "좋": "joh", "책": "caeg", "퀴": "kwi", "튼": "teun", "픽": "pig", "흙": "heulg", "까": "gga", "띄": "ddyi", "빵": "bbang", "쏘": "sso", "쪽": "jjog", "워": "weo"}
+_CYRILLIC_PLAIN = {c: _CYRILLIC_PLAIN.get(c, k) for k, c in _CYRILLIC.items()}
+
+
+def _replaced(text: str, table: dict[str, str]) -> str:
+    for a, b in table.items():
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+_SCRIPTED = f"""case page_id % 3 when 0 then replace(lower(value), 'ss', 'ß') when 1 then translate(lower(value), '{''.join(_CYRILLIC)}', '{''.join(_CYRILLIC.values())}')
+  else translate(lower(value), '{''.join(_HANGUL)}', '{''.join(_HANGUL.values())}') end"""
+_PLAINED = _replaced(_replaced(_replaced("{0}", {"ß": "ss"}), _CYRILLIC_PLAIN), _HANGUL_PLAIN)
+
+
+@query("a8_unicase_scripts", f"""with {fx.TOKENS}, s as (select *, {_SCRIPTED} as target, {fx.us('t', 'page_id', 'pos')} as r from tokens),
+p as (select page_id, target, case when r < 0.4 then target when r < 0.6 then upper(replace(target, 'ß', 'ss')) when r < 0.8 then {_PLAINED.format('target')} else substr(target, 1, 2) end as pred from s),
+f as (select page_id, target, pred, translate({_PLAINED.format('lower(target)')}, '{ACCENTED}', '{PLAIN}') as ft, translate({_PLAINED.format('lower(pred)')}, '{ACCENTED}', '{PLAIN}') as fp from p)
+select ['german', 'cyrillic', 'hangul'][page_id % 3 + 1] as script, count(*) as n, round(avg((target = pred)::int), 9) as raw, round(avg((ft = fp)::int), 9) as unicase from f group by 1""")
+def a8_scripts(s, d):
+    """Words with sharp s, in Cyrillic and in Hangul, read right, in capitals, in plain letters, or cut."""
+    t = fx.tokens(s, d).withColumns({"target": F.expr(_SCRIPTED), "r": fx.u("t", "page_id", "pos")})
+    r = F.col("r")
+    pred = F.when(r < 0.4, F.col("target")).when(r < 0.6, F.upper(F.replace("target", F.lit("ß"), F.lit("ss")))).when(r < 0.8, F.expr(_PLAINED.format("target"))).otherwise(F.substring("target", 1, 2))
+    script = F.element_at(F.array(F.lit("german"), F.lit("cyrillic"), F.lit("hangul")), (F.col("page_id") % 3 + 1).cast("int"))
+    return score.text_match(t.select(script.alias("script"), "target", pred.alias("pred")), ("script",)).withColumns({c: F.round(c, 9) for c in ("raw", "unicase")})
+
+
 @query("a9_mean_loss", "select round(avg(value), 6) as mean_loss from events")
 def a9(s, d):
     return score.mean_loss(fx.table(s, d, "events"), "value").withColumn("mean_loss", F.round("mean_loss", 6))
