@@ -13,7 +13,7 @@ from .functions import text as tx
 from .operators import draw, labels, ocr, pixels, prefix, runlog, score, stitch, tiles, vocab
 from .plans import fixtures as fx
 from .plans import pages as pg
-from .sources import storage
+from .sources import images, storage
 from .sources import tables as src
 from .streaming import tables as st
 
@@ -615,6 +615,34 @@ def io8(s, d):
     return out.select("filename", parsed.alias("p")).select("filename", F.size("p.matches").cast("long").alias("n"), F.try_element_at("p.matches", F.lit(1))["value"].alias("first_value"))
 
 
+@query("io8_export_lines", M + f", p as (select 'f' || (doc_id - doc_id % 3 // 2) as filename, max(doc_id) as page_id from documents group by 1) select filename, row_number() over (partition by m.page_id order by confidence, seq) as line, md5(m.page_id || ':' || seq) as id, value, x2 from matches m join p on m.page_id = p.page_id")
+def io8_lines(s, d):
+    """What the lines of each page's file say of its matches, in order."""
+    docs = fx.table(s, d, "documents")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("f"), (F.col("doc_id") - F.floor(F.col("doc_id") % 3 / 2)).cast("string")).alias("filename"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("place"))
+    lines = src.export_lines(pages, fx.matches(s, d)).filter(F.col("json").startswith('{"id"'))
+    said = F.from_json(F.rtrim(F.col("json"), F.lit(",")), "id string, bbox array<int>, confidence double, value string").alias("m")
+    return lines.select("filename", "line", said).select("filename", "line", "m.id", "m.value", F.col("m.bbox")[3].alias("x2"))
+
+
+# What a page's file is called, and whether it is listed as an image.
+_NAMES = ["a{k}.png", "b{k}.jpg", "C{k}.PNG", "d{k}.jpeg", "e{k}.txt", "same.png", "deep/f{k}.png", "deep/er/g{k}.jpg"]
+
+
+@query("io2_list_images", "with p as (select page_id, 'd' || page_id % 40 || '/' || replace(['" + "', '".join(_NAMES) + "'][page_id % 8 + 1], '{k}', page_id::varchar) as path, length(encode(coalesce(html, ''))) as size from (select page_id, html from pages)), q as (select path, split_part(path, '/', -1) as name, arg_max(size, page_id) as size from p group by path) select path, name, size::bigint as size, row_number() over (order by name, path) as place from q where path like '%.png' or path like '%.jpg'".replace("length(encode", "octet_length(encode"))
+def io2(s, d):
+    """Pages written as files of several kinds in nested folders, then listed by name."""
+    folder = _folder(s, "images")
+    k = F.col("page_id")
+    pattern = F.element_at(F.array(*map(F.lit, _NAMES)), (k % 8 + 1).cast("int"))
+    path = F.concat(F.lit("d"), (k % 40).cast("string"), F.lit("/"), F.replace(pattern, F.lit("{k}"), k.cast("string")))
+    files = fx.table(s, d, "pages").select(path.alias("path"), F.struct("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")).alias("f"))
+    src.write_files(files.groupBy("path").agg(F.max_by("f.content", "f.page_id").alias("content")), folder)
+    found = storage.materialise(src.list_images(s, folder))
+    at = F.length(F.lit(f"{images.plain_path(folder)}/"))
+    return prefix.row_numbers(found.withColumn("path", F.substr("path", at + 1)), ["name", "path"], "place")
+
+
 @query("io9_dump_json", "select page_id, null::varchar as secret, url, true as has_null from pages")
 def io9(s, d):
     p = fx.table(s, d, "pages")
@@ -623,23 +651,26 @@ def io9(s, d):
     return j.select("r.page_id", F.coalesce(F.col("r.info.secret"), F.element_at("r.m", "secret").cast("string")).alias("secret"), "r.info.url", F.col("json").contains('"fill":null').alias("has_null"))
 
 
-_INSIDE = "greatest(0, least(8, y1 + 4) - y1) * greatest(0, least(8, x1 + 6) - x1)"
+_WIDE = 16  # pixels in a row, of three bytes each
 
 
-@query("g6_crop_pixels", f"""with p as (select page_id, (4 + page_id % 6)::int as y1, (page_id % 7)::int as x1, hex(substr(rpad(coalesce(html, ''), 192, '.'), 1, 192)) as h from pages where regexp_full_match(substr(rpad(coalesce(html, ''), 192, '.'), 1, 192), '[ -~\\n]*'))
-select page_id, 4 as height, 6 as width, 72 as n_bytes, (72 - 3 * {_INSIDE})::bigint as n_zero,
-  case when y1 < 8 and x1 < 8 then substr(h, ((y1 * 8 + x1) * 3 * 2 + 1)::bigint, 6) end as first_pixel from p""")
+@query("g6_crop_pixels", f"""with p as (select page_id, hex(encode(coalesce(html, ''))) as h, (octet_length(encode(coalesce(html, ''))) + {3 * _WIDE - 1}) // {3 * _WIDE} as tall from pages),
+b as (select page_id, h, tall, k as box_id, (page_id * 7 + k * 11) % (tall + 4) - 2 as y1, (page_id * 3 + k * 5) % {_WIDE + 4} - 2 as x1, 3 + k as height, 4 + k as width from (select *, unnest(range(3)) as k from p)),
+r as (select page_id, box_id, height, width, y, case when y < 0 or y >= tall then '' else repeat('00', (3 * greatest(0, -x1))::bigint)
+  || substr(rpad(h, (tall * {6 * _WIDE})::int, '0'), (y * {6 * _WIDE} + 6 * greatest(0, x1) + 1)::bigint, (6 * greatest(0, least({_WIDE}, x1 + width) - greatest(0, x1)))::bigint) end as part
+  from (select *, unnest(range(y1, y1 + height)) as y from b))
+select page_id, box_id, any_value(height)::int as height, any_value(width)::int as width, md5(string_agg(rpad(part, (6 * width)::int, '0'), '' order by y)) as pixels from r group by page_id, box_id""")
 def g6(s, d):
-    """Images of 8 by 8 pixels whose bytes are the beginnings of pages (of those in plain characters), cropped by boxes that reach beyond them."""
-    start = F.substring(F.rpad(F.coalesce("html", F.lit("")), 192, "."), 1, 192)
-    pages = fx.table(s, d, "pages").select("page_id", start.alias("b")).filter(F.col("b").rlike(r"^[ -~\n]*\z"))
-    images = pages.select("page_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), F.encode("b", "UTF-8").alias("data")).alias("image"))
-    y, x = (4 + F.col("page_id") % 6).cast("int"), (F.col("page_id") % 7).cast("int")
-    boxes = pages.select("page_id", F.lit(0).cast("long").alias("box_id"), y.alias("y1"), x.alias("x1"), (y + 4).alias("y2"), (x + 6).alias("x2"))
-    out = pixels.crop_pixels(images, boxes).withColumn("h", F.hex("data"))
-    zero = F.size(F.filter(F.regexp_extract_all("h", F.lit("(..)")), lambda b: b == "00")).cast("long")
-    first = F.when(F.col("page_id") % 6 < 4, F.substring("h", 1, 6))
-    return out.select("page_id", "height", "width", F.length("data").alias("n_bytes"), zero.alias("n_zero"), first.alias("first_pixel"))
+    """Images whose pixels are the bytes of whole pages, cropped by three boxes each, which may reach beyond them."""
+    data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    tall = F.floor((F.length(data) + 3 * _WIDE - 1) / (3 * _WIDE)).cast("int")
+    pages = fx.table(s, d, "pages").select("page_id", data.alias("b"), tall.alias("tall"))
+    full = F.unhex(F.rpad(F.hex("b"), F.col("tall") * 6 * _WIDE, "0"))
+    images = pages.select("page_id", F.struct(F.col("tall").alias("height"), F.lit(_WIDE).alias("width"), F.lit(3).alias("nChannels"), full.alias("data")).alias("image"))
+    boxes = pages.select("page_id", "tall", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("box_id"))
+    y, x = (F.col("page_id") * 7 + F.col("box_id") * 11) % (F.col("tall") + 4) - 2, (F.col("page_id") * 3 + F.col("box_id") * 5) % (_WIDE + 4) - 2
+    boxes = boxes.select("page_id", "box_id", *[c.cast("int").alias(n) for n, c in (("y1", y), ("x1", x), ("y2", y + 3 + F.col("box_id")), ("x2", x + 4 + F.col("box_id")))])
+    return pixels.crop_pixels(images, boxes).select("page_id", "box_id", "height", "width", F.md5(F.hex("data")).alias("pixels"))
 
 
 def _counter():

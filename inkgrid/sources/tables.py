@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import numbered, ranged
+from .images import FolderListing, write_files  # noqa: F401
+
 DETECTION = "img_dimensions array<int>, img_hash string, polygons array<array<array<int>>>"
 
 
 def list_images(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple[str, ...] = (".png", ".jpg")) -> DataFrame:
-    """path and name of image files, by name and then path; suffixes count case.  File contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path")
-    named = found.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    keep = F.lit(False)
-    for s in suffixes:
-        keep = keep | F.col("name").endswith(s)
-    return named.filter(keep).orderBy("name", "path")
+    """path, name and size of image files, by name and then path; suffixes count case.  Folders are listed by tasks, files aren't read."""
+    spark.dataSource.register(FolderListing)
+    found = spark.read.format(FolderListing.name()).option("path", path).option("recursive", str(recursive).lower()).option("suffixes", ",".join(suffixes)).load()
+    return found.orderBy("name", "path")
 
 
 def catalog_by_basename(files: DataFrame, order: list[Column]) -> DataFrame:
@@ -63,6 +63,34 @@ def export_pages(pages: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.groupBy("filename").agg(F.max_by("json", "place").alias("json"))
 
 
+def export_lines(pages: DataFrame, matches: DataFrame) -> DataFrame:
+    """filename, line (from 0) and json: each page's JSON file line by line, a match on each, as export_pages has them.
+
+    A page is never in one row or one task as a whole: matches get their places from ranges of (page, confidence, seq).
+    """
+    last = pages.groupBy("filename").agg(F.max_by(F.struct("page_id", "sha256"), "place").alias("p")).select("filename", "p.page_id", "p.sha256")
+    order = ["confidence", "seq"]
+    placed = numbered(ranged(matches.join(last.select("page_id", "filename"), "page_id"), ["filename"], order), ["filename"], order, "__place")
+    one = F.struct(F.md5(F.concat_ws(":", "page_id", "seq")).alias("id"), F.array("y1", "x1", "y2", "x2").alias("bbox"), "confidence", "value")
+    counted = placed.groupBy("filename").agg(F.count("*").alias("__n"))
+    rows = placed.join(counted, "filename")
+    comma = F.when(F.col("__place") + 1 < F.col("__n"), ",").otherwise("")
+    body = rows.select("filename", (F.col("__place") + 1).alias("line"), F.concat(F.to_json(one), comma).alias("json"))
+    head = F.to_json(F.struct("filename", "sha256"))
+    ends = last.join(counted, "filename", "left").select("filename", F.explode(F.array(
+        F.struct(F.lit(0).cast("long").alias("line"), F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"matches":[')).alias("json")),
+        F.struct((F.coalesce("__n", F.lit(0).cast("long")) + 1).alias("line"), F.lit("]}").alias("json")),
+    )).alias("e")).select("filename", "e.*")
+    return body.unionByName(ends)
+
+
+def write_exports(lines: DataFrame, path: str) -> None:
+    """A folder for each filename, whose text files, by name, are its JSON; replaces what is there.  A large page is written by several tasks."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(n, "filename", "line").sortWithinPartitions("filename", "line")
+    dealt.select("filename", "json").write.mode("overwrite").partitionBy("filename").text(path)
+
+
 def dump_json(df: DataFrame, exclude: tuple[str, ...] = (), output: str = "json") -> DataFrame:
     """df's rows as JSON with nulls, without the excluded names at any depth, be they fields or keys of maps."""
     drop = set(exclude)
