@@ -29,6 +29,8 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import unused
+
 # Elements that stay within a block, that have no end, whose content is no text, and that hold no article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,8 +45,8 @@ FOR = frozenset("article content main post entry story prose".split())
 NEGATED = frozenset("no not has with without".split())
 # Words for what readers wrote; no article begins inside.
 READERS = frozenset("comment comments disqus respond reply replies".split())
-# The bias of elements that hold no article, of readers' and hidden ones, of a hint, and of an article.
-APART, CLOSED, HIDDEN, HINTED, INSIDE = -6.0, -6.5, -7.0, -4.0, 1.2
+# The bias of elements that hold no article, of readers' and hidden ones, of a hint, of one inside an article, and of an article.
+APART, CLOSED, HIDDEN, HINTED, DOUBTED, INSIDE = -6.0, -6.5, -7.0, -4.0, -3.5, 1.2
 #: Costs are multiples of this.
 QUANTUM = 1 / 64
 #: Edges: between neighbours on the page that are siblings (halved for each step further), between blocks of one element, of one grandparent.
@@ -54,12 +56,12 @@ SAMPLE, ENOUGH = 2_000, 200
 # Weights fitted by `fit` on the pages of sf0.1, for tables with too few labelled blocks.
 WEIGHTS = (2.697, 3.667, -10.9, -3.537, -0.49, -1.82)
 
-# A tag's quoted values are passed over as such up to sixteen of them; beyond that, and where a quote is never
+# A tag's quoted values are passed over as such up to 256 of them; beyond that, and where a quote is never
 # closed, the next > ends it.  Nothing is tried twice, so all this is linear.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|title|noscript|template|textarea|svg|iframe|select|button|object|math)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"']*+(?:"[^"]*+"|'[^']*+')){0,16}+[^>"']*+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"']*+(?:"[^"]*+"|'[^']*+')){0,256}+[^>"']*+)>"""
     r"|<[!?/a-zA-Z][^>]*+>",
     re.S | re.I,
 )
@@ -108,7 +110,7 @@ def _bias(tag: str, attributes: str, outer: float) -> float:
     if tag in OUTSIDE or outer == APART or (tag == "header" and outer <= 0):
         return APART
     if against and (against != {"header"} or outer <= 0):
-        return HINTED
+        return DOUBTED if outer in (INSIDE, DOUBTED) else HINTED
     return max(outer, INSIDE) if good else outer
 
 
@@ -188,8 +190,8 @@ def blocks(html: str) -> list[Block]:
 def features(b: Block) -> tuple[float, ...]:
     """What the words alone say: length, share in links, marks of sentences at the end and inside, share of other signs."""
     n = len(b.text)
-    signs = sum(not (c.isalnum() or c in " .,;:!?'\"()-") for c in b.text[:400])
-    return 1.0, min(np.log2(1 + n) / 8, 1.5), min(1.0, b.linked / n), float(b.text[-1] in ".!?:;\"'”»…)"), float(". " in b.text or ", " in b.text), min(1.0, 10 * signs / min(n, 400))
+    signs = sum(not (c.isalnum() or c in " .,;:!?'\"()-") for c in b.text)
+    return 1.0, min(np.log2(1 + n) / 8, 1.5), min(1.0, b.linked / n), float(b.text[-1] in ".!?:;\"'”»…)"), float(". " in b.text or ", " in b.text), min(1.0, 10 * signs / n)
 
 
 def known(b: Block) -> int | None:
@@ -236,6 +238,8 @@ def worth(b: Block, weights: tuple[float, ...] = WEIGHTS, article: bool = False)
             out = max(out, -QUANTUM)
         if b.bias == HINTED and not article:  # long text without links outweighs a hint
             out += min(max(0, len(b.text) - b.linked - 160) / 150.0, 3.0)
+        if b.bias == DOUBTED:  # the cut weighs it: an article may have a section on law, or a dialogue
+            out += min(max(0, len(b.text) - b.linked - 100) / 100.0, 3.0)
     return round(out / QUANTUM) * QUANTUM
 
 
@@ -331,8 +335,9 @@ def extract(pages: DataFrame, html: str = "html", output: str = "text", weights:
     """
     more = ["n_blocks", "n_moved"] if counts else []
     names = [f.name for f in pages.schema.fields if f.name not in (html, output, *more)]
+    given = unused("__html", names)
     schema = T.StructType([*(pages.schema[n] for n in names), T.StructField(output, T.StringType()), *(T.StructField(c, T.LongType()) for c in more)])
-    source = pages.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(html), F.lit("")).alias("__html"))
+    source = pages.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(html), F.lit("")).alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import utf8
+from .tables import unused, utf8
 
 SPACE = "▁".encode()  # what the library writes for a space
 UNKNOWN, BYTE = 2, 6  # kinds of pieces in the model file
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "begi
 
     kept = [f for f in docs.schema.fields if f.name not in outputs]
     schema = T.StructType([*kept, *(T.StructField(c, T._parse_datatype_string(_SQL[c])) for c in outputs)])
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias(unused("__text", [f.name for f in kept])))
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .blocks import opened, packed
-from .tables import chunks, hub_join, mixed, rolling, stored, utf8, words_of
+from .tables import aliased, chunks, hub_join, mixed, rolling, stored, utf8, words_of
 
 WINDOW = 50
 K = 25
@@ -258,9 +258,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, key: str =
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated spans removed from their texts; documents of which nothing is left go."""
-    out = remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    """docs with repeated spans removed from their texts, and n_chars in step; documents of which nothing is left go.  Other columns are the caller's."""
+    inner, names = aliased(docs)
+    text = names["text"]
+    out = remove_repeats(inner, key=names["doc_id"], text=text).filter("n_removed = 0 or n_removed < n_words")
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(text).cast("long"))
+    return out.select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

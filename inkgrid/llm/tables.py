@@ -29,6 +29,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, made longer until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def aliased(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named in0, in1, ... so that an operator's own names can't be among them, and the new name of each."""
+    names = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names
+
+
 #: A value is a hub if more than one in so many rows have it; a hub's rows go to so many tasks.
 HUBS, PARTS = 256, 32
 
