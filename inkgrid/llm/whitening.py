@@ -38,8 +38,8 @@ from .tables import stored
 SCALE, SHIFT, LIMIT = 64, 1_000_000, 2.0**52
 #: Rows of partial results that one task adds up.
 WIDTH = 16
-#: Halvings of a bracket in the secular equation.
-HALVINGS = 54
+#: Steps in the secular equation, at most; half a dozen do, as a rule, and each that fails halves a bracket.
+STEPS = 60
 SUMS = "part long, n long, mean array<double>, values array<double>, basis array<double>"
 
 
@@ -82,11 +82,30 @@ def updated(values: np.ndarray, basis: np.ndarray, vector: np.ndarray, weight: f
     to_pole = d[None, :] - d[pole][:, None]
     low, high = np.where(upper, -gap / 2, 0.0), np.where(upper, 0.0, gap / 2)
     high[-1] = gap[-1]
-    for _ in range(HALVINGS):
-        middle = (low + high) / 2
-        below = 1.0 + (y2 / (to_pole - middle[:, None])).sum(axis=1) < 0
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
     root = (low + high) / 2
+    left, right = np.append(d, 0.0)[:k] - d[pole], np.append(d[1:], d[-1] + gap[-1]) - d[pole]  # the two poles around each root
+    before = np.tri(k)  # the poles left of each root, whose parts are below 0
+    with np.errstate(all="ignore"):
+        for _ in range(STEPS):
+            away = to_pole - root[:, None]
+            part = y2 / away
+            f = 1.0 + part.sum(axis=1)
+            below = f < 0
+            low, high = np.where(below, root, low), np.where(below, high, root)
+            done = np.abs(f) <= 4 * np.finfo(float).eps * (f - 2 * np.einsum("ij,ij->i", part, before))
+            if done.all():
+                break
+            # A root of c + a / (left - x) + b / (right - x), which agrees with f and its slopes from either side.
+            slopes = part / away
+            rise, all_rise = np.einsum("ij,ij->i", slopes, before), slopes.sum(axis=1)
+            wl, wr = left - root, right - root
+            c = f - rise * wl - (all_rise - rise) * wr
+            b = (wl + wr) * f - wl * wr * all_rise
+            r = np.sqrt(np.maximum(b * b - 4 * c * wl * wr * f, 0.0))
+            step = np.where(b > 0, 2 * wl * wr * f / (b + r), (b - r) / (2 * c))
+            step[-1] = wl[-1] + rise[-1] * wl[-1] ** 2 / (f[-1] - rise[-1] * wl[-1])
+            new = root + step
+            root = np.where(done, root, np.where((new > low) & (new < high), new, (low + high) / 2))
     apart = to_pole - root[:, None]  # pole minus root; row: root
     # The vector for which these roots are exact (Gu and Eisenstat): its eigenvectors are orthogonal.
     between = d[None, :] - d[:, None]
