@@ -49,8 +49,9 @@ def page_sizes(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.concat(F.lit("f"), p.cast("string")).alias("filename"), (200 + (p * 137) % 5000).cast("int").alias("w"), (200 + (p * 311) % 9000).cast("int").alias("h"))
 
 
-def detections(spark, d) -> DataFrame:
-    w = calc_windows(page_sizes(spark, d)).select("page_id", "window_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("det_seq"))
+def detections(spark, d, windows: DataFrame | None = None) -> DataFrame:
+    windows = calc_windows(page_sizes(spark, d)) if windows is None else windows
+    w = windows.select("page_id", "window_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("det_seq"))
     k = ("page_id", "window_id", "det_seq")
     out = w.withColumns({"rx1": 0.9 * u("rx", *k), "ry1": 0.9 * u("ry", *k)})
     out = out.withColumns({"rx2": F.col("rx1") + 0.1 * u("rw", *k), "ry2": F.col("ry1") + 0.1 * u("rh", *k), "confidence": u("c", *k)})

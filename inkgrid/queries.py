@@ -158,9 +158,12 @@ def s5(s, d):
     return bx.box_measures(m).select("page_id", "seq", "width", "height", "center_x", "center_y")
 
 
-@query("s6_label_box", M + "select page_id, seq, greatest(y1 - 1, 0) as y1, greatest(x1 - 1, 0) as x1, least(y2 + 1, 899) as y2, least(x2 + 1, 469) as x2 from matches")
+@query("s6_label_box", M + "select m.page_id, seq, greatest(y1 - 1, 0) as y1, greatest(x1 - 1, 0) as x1, least(y2 + 1, 40 * (last // 8) + 20) as y2, least(x2 + 1, 469) as x2 from matches m join (select page_id, max(seq) as last from matches group by page_id) l on m.page_id = l.page_id")
 def s6(s, d):
-    m = fx.matches(s, d).select("page_id", "seq", bx.label_box(F.struct("y1", "x1", "y2", "x2"), F.lit(470), F.lit(900)).alias("box"))
+    """A page ends with its last line."""
+    m = fx.matches(s, d)
+    tall = m.groupBy("page_id").agg((40 * F.floor(F.max("seq") / 8) + 21).cast("int").alias("tall"))
+    m = m.join(tall, "page_id").select("page_id", "seq", bx.label_box(F.struct("y1", "x1", "y2", "x2"), F.lit(470), F.col("tall")).alias("box"))
     corner = bx.box_polygon(F.col("box"))
     box = F.struct(corner[0][1].alias("y1"), corner[0][0].alias("x1"), corner[2][1].alias("y2"), corner[2][0].alias("x2"))
     return flat(m.select("page_id", "seq", box.alias("box")), "box")
@@ -277,6 +280,18 @@ def ocr_blocks(s, d):
     return ocr.page_blocks(fx.detections(s, d), tiles.calc_windows(fx.page_sizes(s, d)), 0.25)
 
 
+_HALF = "sizes as (select page_id, 'f' || page_id as filename, trunc(w * 0.5::double)::int as w, trunc(h * 0.5::double)::int as h from (select page_id, (200 + (page_id * 137) % 5000)::int as w, (200 + (page_id * 311) % 9000)::int as h from pages))"
+
+
+@query("ocr_page_exports", f"with {fx.DETECTIONS.replace(fx.SIZES, _HALF)}, o as (select *, row_number() over (partition by page_id order by confidence, window_id, det_seq) as line from covered where confidence >= 0.25) select 'f' || page_id as filename, line, value, trunc(py1)::int as y1, trunc(px2)::int as x2 from o")
+def ocr_exports(s, d):
+    """The whole flow to files: pages at half their size, windows, what is found in them, order, and a line for each match."""
+    pages = fx.page_sizes(s, d).withColumns({"sha256": F.sha2("filename", 256), "place": F.col("page_id")})
+    lines = ocr.page_exports(pages, fx.detections(s, d, ocr.page_windows(pages, 0.5)), 0.5, 0.25).filter(F.col("json").startswith('{"id"'))
+    said = F.from_json(F.rtrim(F.col("json"), F.lit(",")), "id string, bbox array<int>, confidence double, value string").alias("m")
+    return lines.select("filename", "line", said).select("filename", "line", "m.value", F.col("m.bbox")[0].alias("y1"), F.col("m.bbox")[3].alias("x2"))
+
+
 # ------------------------------------------------------------ label tables
 
 L = f"with {fx.LABELS}, files as (select distinct id as name from labels_ where doc_id % 7 <> 0), old as (select * from labels_ where doc_id % 10 <> 0) "

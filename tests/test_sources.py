@@ -92,3 +92,24 @@ def test_intake_after_a_lost_filter(spark, tmp_path):
         for f in glob.glob(f"{path}__filters/bucket=*/*.parquet"):
             spark.createDataFrame([], "bits binary").write.mode("overwrite").parquet(f.rpartition("/")[0])
     assert spark.read.parquet(path).count() == 2
+
+
+def test_flow_to_files_at_two_sizes(spark):
+    """One page of 2,000 by 1,500, read as it is and at half its size; a page without matches has a file, too."""
+    from inkgrid.operators import ocr
+
+    pages = spark.createDataFrame([(1, "a.png", "s1", 2000, 1500, 1), (2, "b.png", "s2", 300, 300, 1)], "page_id long, filename string, sha256 string, w int, h int, place int")
+    columns = "page_id long, window_id int, det_seq int, rx1 double, ry1 double, rx2 double, ry2 double, confidence double, value string"
+    found = spark.createDataFrame([(1, 0, 0, 0.4, 0.4, 0.6, 0.6, 0.9, "late"), (1, 0, 1, 0.1, 0.1, 0.2, 0.2, 0.5, "soon"), (1, 0, 2, 0.1, 0.1, 0.2, 0.2, 0.1, "faint")], columns)
+
+    def files(ratio):
+        out = {}
+        for r in sorted(ocr.page_exports(pages, found, ratio, 0.25).collect(), key=lambda r: (r["filename"], r["line"])):
+            out[r["filename"]] = out.get(r["filename"], "") + r["json"]
+        return {k: json.loads(v) for k, v in out.items()}
+
+    for ratio, (w, h) in ((None, (1024, 1024)), (0, (1024, 1024)), (0.5, (1000, 750))):
+        got = files(ratio)
+        assert got["b.png"] == {"filename": "b.png", "sha256": "s2", "matches": []} and got["a.png"]["sha256"] == "s1"
+        assert [m["value"] for m in got["a.png"]["matches"]] == ["soon", "late"]
+        assert got["a.png"]["matches"][1]["bbox"] == [int(0.4 * h), int(0.4 * w), int(0.6 * h), int(0.6 * w)]
