@@ -63,3 +63,14 @@ def test_unused_names(spark):
     assert tables.unused("a", ["A", "a_", "b"]) == "a__"
     inner, names = tables.aliased(spark.createDataFrame([(1, 2)], "`a.b` int, in0 int"))
     assert inner.columns == ["in0", "in1"] and names == {"a.b": "in0", "in0": "in1"}
+
+
+def test_kneser_ney_in_many_blocks_and_copies(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = kneser_ney.Model(docs.filter("doc_id % 3 = 0"))
+    whole = {r["doc_id"]: r["log10_probability"] for r in kneser_ney.perplexities(docs, model).collect()}
+    monkeypatch.setattr(kneser_ney, "ANSWERED", 2)
+    monkeypatch.setattr(kneser_ney, "TEXTS", 1 << 15)
+    monkeypatch.setattr(kneser_ney, "ROWS", 1 << 12)
+    parts = {r["doc_id"]: r["log10_probability"] for r in kneser_ney.perplexities(docs, model).collect()}
+    assert parts == pytest.approx(whole, rel=1e-6)
