@@ -7,7 +7,8 @@ few full sequences as possible - is solved by multiplicative weights: each lengt
 has a price, a knapsack by dynamic programming finds the configuration that is
 worth most at these prices, and the prices of what it covers fall.  Steps are rounded
 down to whole sequences as they are taken, so prices answer to what rounding left.
-The last REST of the tokens is packed best-fit-decreasing on the histogram.
+The last REST of the tokens is packed best-fit-decreasing on the histogram, and
+where all of it packed so takes fewer sequences, that is the plan.
 Rounds depend on the lengths and on STEP, not on the counts.
 
 The plan says, for each length, which ranks go where.  Ranks come from counts per
@@ -42,8 +43,8 @@ BUCKET = 20_000
 #: The linear program: the share of a length that a round covers, the share of tokens it leaves to
 #: best fit, the rounds that large counts take, roughly, and the lengths that one knapsack looks at.
 STEP, REST, ROUNDS, DRAWN = 0.3, 0.02, 4096, 64
-#: How fast prices fall: slowly, where many lengths fill a sequence; fast, where few do.  The second is
-#: tried where the first leaves a gap of more than NEAR to the lower bound.
+#: How fast prices fall: slowly, where many lengths fill a sequence; fast, where few do.  The second, and then both
+#: without the longest length in each configuration, are tried where a gap of more than NEAR is left to the lower bound.
 RATES, NEAR = (0.3, 2.0), 0.002
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
@@ -170,14 +171,15 @@ def knapsack(lengths: np.ndarray, copies: np.ndarray, prices: np.ndarray, capaci
     return config
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, step: float = STEP, rest: float = REST, seed: int = 1) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, longest: bool, step: float = STEP, rest: float = REST, seed: int = 1) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """Configurations with how many sequences take each, by multiplicative weights, and the counts that are left.
 
     The price of a length starts at its share of a sequence and falls by exp(-rate) as all of it
     is covered.  A round finds the configuration worth most by a knapsack over lengths drawn by
     price (all, if few), and takes it for `step` of what its scarcest length has left, or for one
     in ROUNDS of all sequences, rounded down to whole ones, but for one at least; so the cover
-    is whole numbers throughout.  It ends when no more than `rest` of the tokens is left.
+    is whole numbers throughout.  With `longest` a configuration has the longest length left, which fewest others
+    go with, and the knapsack fills the room beside it.  It ends when no more than `rest` of the tokens is left.
     """
     random = np.random.default_rng(seed)
     left, used = counts.copy(), []
@@ -186,12 +188,20 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, s
     while tokens > rest * total:
         prices = lengths / capacity * np.exp(rate * (left / counts - tokens / total))
         some = np.flatnonzero(left)
+        first, room, free = some[-1], capacity, left.copy()
+        if longest:
+            room, free[first] = capacity - int(lengths[first]), left[first] - 1
+            some = np.flatnonzero(free[: int(np.searchsorted(lengths, room, "right"))])
         if len(some) > DRAWN:
             share = prices[some] / lengths[some]
             some = some[np.argsort(random.exponential(size=len(some)) / share)[:DRAWN]]
-        copies = np.minimum(left[some], 3) if len(some) == DRAWN else left[some]  # of many lengths, none is needed often
-        few = knapsack(lengths[some], copies, prices[some], capacity)
-        some, few = some[few > 0], few[few > 0]
+        copies = np.minimum(free[some], 3) if len(some) == DRAWN else free[some]  # of many lengths, none is needed often
+        all_few = np.zeros(len(lengths), np.int64)
+        if len(some):
+            all_few[some] = knapsack(lengths[some], copies, prices[some], room)
+        all_few[first] += longest
+        some = np.flatnonzero(all_few)
+        few = all_few[some]
         most = int((left[some] // few).min())
         times = max(1, int(step * most), min(most, finest))
         left[some] -= times * few
@@ -224,14 +234,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, from_program: list
     if not wanted:
         return []
     best: tuple = ()
-    for rate in RATES:
-        used, left = solve(lengths, counts, capacity, rate)
+    for longest, rate in ((x, r) for x in (True, False) for r in RATES):
+        used, left = solve(lengths, counts, capacity, rate, longest)
         n = sum(n for _, n in used)
         out = used + best_fit(lengths, left, capacity)
         if not best or sum(n for _, n in out) < best[0]:
             best = sum(n for _, n in out), n, out
         if best[0] <= (1 + NEAR) * least_sequences(wanted, capacity):
             break
+    alone = best_fit(lengths, counts, capacity)
+    if sum(n for _, n in alone) < best[0]:
+        best = sum(n for _, n in alone), 0, alone
     if from_program is not None:
         from_program.append(best[1])
     return best[2]
