@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again before the next.  All but the last return the columns of documents.
+
+Defined cases, for every stage: documents with a null id are judged by the rules, are never near-duplicates or
+sources of passages, get surrogates and are packed; a null or empty text fails the quality rules; long texts are worked on
+whole; repeated rows are near-duplicates of each other unless their id is null or one, as texts under one id are one
+document; an empty table gives an empty one; columns beside those of documents, whatever their names, are handed on by
+all stages but the last.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ Defined cases: a text without words (or null) has an empty set and is linked wit
 nothing, whatever else has its id; with fewer words than a shingle has, all of them are one shingle; documents
 with a null id come back with a null component, kept, and link nothing, as no link could
 name them; repeated rows come back repeated; texts with one id are one document, linked to
-all that any of them is linked to; extra columns are ignored.
+all that any of them is linked to, but for its rows without words, which stay alone; a long text counts
+with all its shingles; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ The plan says, for each length, which ranks go where.  Ranks come from counts pe
 (length, bucket of documents), so no length is numbered in one task.
 
 Defined cases: a null text counts as empty and gives one piece, the end id; an
-empty table gives no pieces; repeated rows are packed each on its own; equal
+empty table gives no pieces; a long text is cut into as many pieces as it needs; null ids
+are ids like others; other columns don't matter; repeated rows are packed each on its own; equal
 lengths are ranked by document and piece.
 """
 

@@ -13,7 +13,7 @@ Texts are packed in stored blocks, so no document id decides where they go; shuf
 distinct entities, the (block, entity) pairs and the compressed blocks.
 
 Defined cases: a null text stays null; texts without entities stay as they are; extra
-columns pass through; repeated rows are treated alike; document ids may be null or repeated;
+columns pass through; repeated rows are treated alike; a long text is read whole, in its task's memory; an empty table gives an empty one; document ids may be null or repeated;
 a person whose mentions differ in gender takes the one that sorts last (m, f, none).
 """
 

@@ -22,8 +22,8 @@ anchor of a passage that a third of the documents have) is joined in parts (`hub
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing;
 a repeat inside one document, or in documents with one id, is no repeat; documents with
-a null id lose nothing and are no source; repeated rows are judged each on its own; extra
-columns pass through.
+a null id lose nothing and are no source; repeated rows are judged each on its own; a long text is
+read whole, and is a block of its own; an empty table gives an empty one; extra columns pass through.
 """
 
 from __future__ import annotations

@@ -31,3 +31,20 @@ def test_stages(spark, sf_dir, tmp_path):
         elif k == 3:
             assert docs.count() == len(before) and docs.filter("text rlike '@mail[0-9]'").count() == 0
     assert docs.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Null ids and texts, repeated rows, no rows, and columns with the operators' own names."""
+    prose = " ".join(r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' and n_chars > 400").orderBy("doc_id").limit(1).collect())
+    rows = [(1, prose, "en", "s", 1), (2, prose, "en", "s", 1), (None, prose, "en", None, None), (None, prose, "en", None, None), (3, None, None, None, None), (4, "", "xx", "s", 0), (1, prose, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, "mine", "too", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, __text string, n_words int")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.columns == docs.columns and none.count() == 0, name
+        left = spark.createDataFrame(stage(spark, left, sf_dir).collect(), docs.schema)
+        assert left.columns == docs.columns and left.filter("kept <> 'mine' or __text <> 'too' or n_words <> 5").count() == 0, name
+    ids = [r["doc_id"] for r in left.collect()]
+    assert sorted(ids, key=str) == sorted([1, 1, None, None], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, sf_dir)
+    assert packed.filter("piece = 0").count() == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
