@@ -37,7 +37,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets become surrogates; the setting inkgrid.surrogates.key holds the key (unset: the one for tests)."""
+    """Personal data and secrets become surrogates; the setting inkgrid.surrogates.key holds the key (unset: a published one, so that the pipeline runs as it is; set your own)."""
     key = spark.conf.get("inkgrid.surrogates.key", None)
     return privacy.without_private(docs, key.encode() if key else privacy.TEST_KEY)
 
