@@ -51,9 +51,9 @@ APART, CLOSED, HIDDEN, HINTED, DOUBTED, INSIDE = -6.0, -6.5, -7.0, -4.0, -3.5, 1
 QUANTUM = 1 / 64
 #: Edges: between neighbours on the page that are siblings (halved for each step further), between blocks of one element, of one grandparent.
 ADJACENT, KIN, COUSINS = 0.4, 0.8, 0.4
-#: Pages that the classifier is fitted on, roughly, and the labelled blocks that it needs of either kind.
-SAMPLE, ENOUGH = 2_000, 200
-# Weights fitted by `fit` on the pages of sf0.1, for tables with too few labelled blocks.
+#: Pages that the classifier is fitted on, roughly.
+SAMPLE = 2_000
+# The weights that a fit starts at and is drawn to, those of the pages of sf0.1.
 WEIGHTS = (2.697, 3.667, -10.9, -3.537, -0.49, -1.82)
 
 # A tag's quoted values are passed over as such up to 256 of them; beyond that, and where a quote is never
@@ -200,9 +200,13 @@ def known(b: Block) -> int | None:
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE, ridge: float = 1.0) -> tuple[float, ...]:
-    """Weights of the logistic regression from the blocks of about `sample` pages, drawn by hash, by Newton steps on sums."""
+    """Weights of the logistic regression from the blocks of about `sample` pages, drawn by hash, by Newton steps on sums.
+
+    The ridge draws them to WEIGHTS, as a few blocks would, so without labelled blocks these come back, and with many they
+    don't count.  Pages are drawn by key and html, so one key may have many.
+    """
     every = max(1, pages.count() // sample)
-    source = pages.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.coalesce(F.col(html), F.lit("")))
+    source = pages.filter(F.pmod(F.xxhash64(key, html), F.lit(every)) == 0).select(F.coalesce(F.col(html), F.lit("")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +221,11 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int
     names = [*(f"x{i}" for i in range(len(WEIGHTS))), "y"]
     table = source.mapInArrow(count, ", ".join(f"{c} double" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n")).toPandas()  # features are rounded and the pages a sample
     x, y, n = table[names[:-1]].to_numpy(), table["y"].to_numpy(), table["n"].to_numpy()
-    if n[y == 1].sum() < ENOUGH or n[y == 0].sum() < ENOUGH:
-        return WEIGHTS
-    w = np.zeros(x.shape[1])
+    prior = np.array(WEIGHTS)
+    w = prior.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * (w - prior))
     return tuple(np.round(w, 3).tolist())
 
 

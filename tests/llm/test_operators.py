@@ -400,7 +400,11 @@ def test_extraction(spark, sf_dir):
     assert got[1] == "Head & line\n\nFirst bold text, with words. More.\n\nSecond." and got[2] == got[3] == ""
     out = extraction.op7(spark, sf_dir)
     assert out.columns == ["page_id", "url", "text", "n_chars", "n_blocks", "n_moved"] and out.filter("n_chars = 0").count() == 0
-    assert extraction.extract(df.filter("page_id < 0")).count() == 0 and extraction.fit(df) == extraction.WEIGHTS
+    assert extraction.extract(df.filter("page_id < 0")).count() == 0
+    assert extraction.fit(df.filter("page_id > 1")) == extraction.fit(df.filter("page_id < 0")) == extraction.WEIGHTS  # no block whose elements say what it is
+    one, many = extraction.fit(df), extraction.fit(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    apart = lambda w: max(abs(x - y) for x, y in zip(w, extraction.WEIGHTS))
+    assert 0 < apart(one) < 2 and len(many) == len(one) and all(math.isfinite(x) for x in many)
 
 
 # What a reader would take from each page, written down by hand.
@@ -579,6 +583,23 @@ def test_kneser_ney_matches_dictionaries(spark):
         assert r["n_tokens"] == n and r["log10_probability"] == pytest.approx(log, rel=1e-5) and r["perplexity"] == pytest.approx(10 ** (-log / n), rel=1e-4)
 
 
+def test_kneser_ney_has_every_word_of_its_sample(spark, monkeypatch):
+    texts = [(i, " ".join([*(f"w{i}x{k}" for k in range(1000)), *(f"v{i // 2}y{k}" for k in range(4))])) for i in range(90)]  # more words than 16 bits number
+    docs = frame(spark, texts)
+    model = kneser_ney.Model(docs)
+    assert len(model.vocabulary) == 90_180 and sorted(model.of) == list(range(kneser_ney.FIRST, kneser_ney.FIRST + 90_180))
+    want = kneser_ney_by_hand([t for _, t in texts], texts[:2])
+    got = {r["doc_id"]: r["log10_probability"] for r in kneser_ney.perplexities(docs.filter("doc_id < 2"), model).collect()}
+    assert all(got[i] == pytest.approx(want[i][1], rel=1e-5) for i in (0, 1))
+    monkeypatch.setattr(kneser_ney, "MOST", 3500)  # whole texts in the order of their hashes, as long as they fit
+    model = kneser_ney.Model(docs)
+    drawn = docs.select("text").orderBy(F.xxhash64("text")).limit(3)
+    few = kneser_ney.Model(drawn)
+    assert 3000 < len(model.vocabulary) < 3500 and (model.vocabulary == few.vocabulary).all()
+    monkeypatch.setattr(kneser_ney, "MOST", 999)  # not one text fits
+    assert len(kneser_ney.Model(docs).vocabulary) == 0 and kneser_ney.perplexities(docs, kneser_ney.Model(docs)).count() == 90
+
+
 # ------------------------------------------------------------ 10
 
 
