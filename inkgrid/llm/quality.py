@@ -5,9 +5,9 @@ and its share of the language's commonest words.  Each is compared with the
 language's reference by Jensen-Shannon divergence (base 2, so 0 to 1).  Short
 texts give noisy histograms, so each test has a minimum length.
 
-References are counted from trusted texts: at most TRUSTED labelled rows, drawn by hash.
-The rules themselves are one scan without a shuffle: everything about a document is computed
-from its own row, and the references (a row for each language) are sent to all.
+References are counted from all trusted texts.  The rules themselves are one scan without a
+shuffle: everything about a document is computed from its own row, and the references (a row
+for each language) are sent to all.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language, or one
 without trusted texts, has no reference, so only the base rules apply; a document with several
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import aliased
+from .tables import aliased, stored
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -38,7 +38,7 @@ CLASSES = {
 }
 
 
-#: Bound of the trusted rows that references are counted from, and the words of a reference.
+#: Trusted rows that the SQL counts references from (the operator takes all), and the words of a reference.
 TRUSTED, COMMON = 2_000, 12
 
 
@@ -77,20 +77,19 @@ def _with_rest(a: Column) -> Column:
     return F.concat(a, F.array(F.greatest(F.lit(0.0), 1.0 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
 
 
-def references(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", trusted: int = TRUSTED, common: int = COMMON) -> DataFrame:
-    """ref_lang, ref_classes, ref_words and ref_shares from the trusted texts of each language; labels: key and quality (1 is good)."""
-    good = labels.groupBy(key).agg(F.min("quality").alias("q")).filter(F.col("q") == 1).orderBy(F.md5(F.col(key).cast("string")), key).limit(trusted).select(key)
-    rows = docs.join(F.broadcast(good), key, "left_semi").select(F.col(lang).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("ref_lang is not null")
+def references(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", common: int = COMMON) -> DataFrame:
+    """ref_lang, ref_classes, ref_words and ref_shares from all trusted texts of each language; labels: key and quality (1 is good)."""
+    good = labels.groupBy(key).agg(F.min("quality").alias("q")).filter(F.col("q") == 1).select(key)
+    rows = docs.join(good, key, "left_semi").select(F.col(lang).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("ref_lang is not null")
     sums = [F.sum(c) / F.sum(F.length("t")) for c in _classes(F.col("t"))]
     classes = rows.groupBy("ref_lang").agg(F.array(*sums).alias("ref_classes"))
-    words = rows.select("ref_lang", F.explode(F.transform(F.regexp_extract_all("t", F.lit(f"({WORD})")), F.lower)).alias("w"))
+    words = rows.select("ref_lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(f"({WORD})"))).alias("w"))
     counts = words.groupBy("ref_lang", "w").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.col("n").desc(), "w"))
     total = counts.groupBy("ref_lang").agg(F.sum("n").alias("total"))
     top = counts.withColumn("place", place).filter(F.col("place") <= common).groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("place", "w", "n"))).alias("top"))
     top = top.join(total, "ref_lang").select("ref_lang", F.transform("top", lambda x: x["w"]).alias("ref_words"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("ref_shares"))
-    out = classes.join(top, "ref_lang")
-    return docs.sparkSession.createDataFrame(out.collect(), out.schema)  # at most `trusted` rows
+    return stored(classes.join(top, "ref_lang"))  # a row for each language
 
 
 def window_hashes(df: DataFrame, words: str, window: int, name: str) -> DataFrame:
@@ -157,7 +156,7 @@ def _judged(docs: DataFrame, refs: DataFrame | None, limits: Limits, text: str,
     else:
         sent = refs.select(F.col("ref_lang").alias("__ref"), *[c for c in refs.columns if c != "ref_lang"])
         own = [c for c in docs.columns if c not in ("ref_classes", "ref_words", "ref_shares")]
-        out = docs.select(*[F.col(f"`{c}`") for c in own]).join(F.broadcast(sent), F.col(lang) == F.col("__ref"), "left").drop("__ref")  # a row for each language of the sample
+        out = docs.select(*[F.col(f"`{c}`") for c in own]).join(F.broadcast(sent), F.col(lang) == F.col("__ref"), "left").drop("__ref")  # a row for each language
     out = out.withColumns({"__text": t, "__words": F.regexp_extract_all(t, F.lit(f"({WORD})"))})
     out = window_hashes(out, "__words", limits.window, "__windows")
     t, words = F.col("__text"), F.col("__words")

@@ -277,6 +277,15 @@ def test_quality_matches_sql(spark, duck, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall()) and list(rel.columns) == got.columns
 
 
+def test_quality_references_are_counted_from_all_trusted_texts(spark):
+    n = 4_001
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id, ' x') as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    (r,) = quality.references(docs, labels, common=n + 1).collect()
+    assert len(r["ref_words"]) == n + 1 and r["ref_words"][0] == "x" and r["ref_shares"][0] == pytest.approx(0.5)
+    assert set(r["ref_shares"][1:]) == {1 / (2 * n)}
+
+
 def test_quality_edge_cases(spark):
     got = {r["doc_id"]: r for r in quality.quality_rules(frame(spark, EDGE)).collect()}
     assert got[9000]["n_words"] == 0 and got[9000]["base_failed"] and got[9000]["class_divergence"] is None and got[9000]["id"] == "extra"
