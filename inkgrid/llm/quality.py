@@ -30,7 +30,7 @@ WORD = f"[^{SPACE}]+"
 SYMBOLS = r"[#*$%&|<>]+"
 #: Runs of each character class; what is in none of them is "other".
 CLASSES = {
-    "lower": r"\p{Ll}+",
+    "lower": r"\p{Ll}+",  # first, as most of a text is
     "upper": r"\p{Lu}+",
     "digit": r"\p{Nd}+",
     "space": f"[{SPACE}]+",
@@ -67,10 +67,17 @@ def _jensen_shannon(p: Column, q: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
 
 
-def _classes(t: Column) -> list[Column]:
-    """Characters of a text in each class."""
-    chars = F.length(t)
-    return [chars - F.length(F.regexp_replace(t, p, "")) for p in CLASSES.values()]
+def _stripped(df: DataFrame, text: str) -> tuple[DataFrame, list[Column], str]:
+    """df with what is left of a text as one class after the other is taken out, the characters of each class, and the name of the last rest.
+
+    No character is in two classes, so a class is counted in what those before it left.
+    """
+    rest, counts = text, []
+    for c, p in CLASSES.items():
+        df = df.withColumn(f"__no_{c}", F.regexp_replace(rest, p, ""))
+        counts.append(F.length(rest) - F.length(f"__no_{c}"))
+        rest = f"__no_{c}"
+    return df, counts, rest
 
 
 def _with_rest(a: Column) -> Column:
@@ -81,8 +88,9 @@ def references(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str
     """ref_lang, ref_classes, ref_words and ref_shares from all trusted texts of each language; labels: key and quality (1 is good)."""
     good = labels.groupBy(key).agg(F.min("quality").alias("q")).filter(F.col("q") == 1).select(key)
     rows = docs.join(good, key, "left_semi").select(F.col(lang).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("ref_lang is not null")
-    sums = [F.sum(c) / F.sum(F.length("t")) for c in _classes(F.col("t"))]
-    classes = rows.groupBy("ref_lang").agg(F.array(*sums).alias("ref_classes"))
+    stripped, counts, _ = _stripped(rows, "t")
+    sums = [F.sum(c) / F.sum(F.length("t")) for c in counts]
+    classes = stripped.groupBy("ref_lang").agg(F.array(*sums).alias("ref_classes"))
     words = rows.select("ref_lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(f"({WORD})"))).alias("w"))
     counts = words.groupBy("ref_lang", "w").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.col("n").desc(), "w"))
@@ -160,6 +168,7 @@ def _judged(docs: DataFrame, refs: DataFrame | None, limits: Limits, text: str,
     out = out.withColumns({"__text": t, "__words": F.regexp_extract_all(t, F.lit(f"({WORD})"))})
     out = window_hashes(out, "__words", limits.window, "__windows")
     t, words = F.col("__text"), F.col("__words")
+    out, counts, rest = _stripped(out, "__text")
 
     n_words = F.size(words)
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
@@ -168,10 +177,10 @@ def _judged(docs: DataFrame, refs: DataFrame | None, limits: Limits, text: str,
         {
             "n_words": n_words.cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": (chars - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
+            "n_symbols": (F.length(rest) - F.length(F.regexp_replace(rest, SYMBOLS, ""))).cast("long"),  # no symbol is in a class
             "__lines": lines,
             "n_repeat_words": repeat_words(F.col("__windows"), limits.window).cast("long"),
-            "__classes": F.array(*_classes(t)),
+            "__classes": F.array(*counts),
             "__chars": chars,
             # Two spaces between words, so that each has its own on both sides.
             "__spaced": F.concat(F.lit(" "), F.lower(F.array_join(words, "  ")), F.lit(" ")),
