@@ -1,15 +1,14 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (words, order 3).
 
-The model is trained on trusted texts: a bounded sample of the labelled rows, drawn by
-hash.  Its n-gram counts, continuation counts and discounts are Spark aggregations and
-joins, and its tables stay sharded: a block of documents sends the distinct n-grams that
-the model may know (a Bloom filter of fixed size tells which) to the shards, these join
-them with their probabilities, and the block adds them up by document.  Sent to all are the
-vocabulary, the unigram tables (at most MOST rows) and the filter (FILTER_BITS).
+The model is trained on all trusted texts but those that thresholds come from.  Its n-gram counts,
+continuation counts and discounts are Spark aggregations and joins, and its tables stay sharded, that of
+words included: a block of documents sends the distinct n-grams that the model may know (a Bloom filter
+of fixed size tells which, while the model is small) to the shards, these join them with their
+probabilities, and the block adds them up by document.  Sent to all are the filter (FILTER_BITS) and one number.
 
-Every word of the sample is in the vocabulary.  A key of three words has three ids of WIDTH bits, so the
-sample is also bounded by its distinct words: texts are taken in the order of their hashes as long as
-all their words are at most MOST.
+Words are 64-bit hashes, and an n-gram's key is Spark's xxhash64 of its words, so their number has no bound.
+`Model` may also be fitted on a bounded sample: texts in the order of their hashes, as long as all
+their words are at most MOST.
 
 A document is kept if its perplexity is at most a quantile of the perplexities of trusted
 texts of its language that the model hasn't seen.
@@ -31,52 +30,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import opened, packed, squeezed, unsqueezed
-from .tables import chunks, mixed, stored, utf8, words_of
+from .tables import chunks, hub_join, mixed, stored, utf8, words_of
 
-#: Bound of the training sample, in documents.
-MAX_TRUSTED = 4_000
 #: Of the trusted documents, one in so many is never trained on, so that thresholds come from texts that are new to the model.
 HELD_OUT = 5
 FILTER_BITS = 1 << 25
 PAGE = 4096  # bytes of a bitmap
-UNKNOWN, START, STOP, FIRST = 1, 2, 3, 4  # ids; words follow, and none is 0, so a key's size tells how many words it has
-#: Bits of an id in a key, and the bound of the training sample in distinct words.
-WIDTH = 21
-MOST = (1 << WIDTH) - FIRST
-WORD, PAIR = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1  # the last word of a key, and the last two
+START, STOP = 1, 2  # stand among the hashes of words
+FIRST = 4  # the first number of a word in a bounded model's arrays
+#: Bound of a bounded sample in distinct words.
+MOST = (1 << 21) - FIRST
 #: A word outside the vocabulary is one of so many: else text of unknown words alone would look likely.
 OTHER_WORDS = 100_000
 QUANTILE, SLACK = 0.99, 1.25
 #: Tokens that are looked up at once inside a task.
 STEP = 1 << 19
-#: Bytes of text in a block, about twice the bytes of its ids.
+#: Bytes of text in a block, about twice the bytes that are stored.
 TEXTS = 32 << 20
-#: Of this prime's remainders the shards are made; rows of the model in a shard, roughly, and blocks that one copy of it answers.
-PRIME, ROWS, ANSWERED = 1_000_003, 1 << 18, 64
+#: Of this prime's remainders the shards are made; rows of the model in a shard, roughly, the shards (so the messages of a
+#: block are bounded), and blocks that one copy of a model of FEW shards answers; one of more shards answers more.
+PRIME, ROWS, SHARDS, FEW, ANSWERED = 1_000_003, 1 << 18, 4096, 8, 64
 
 
-def encoded(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, of: np.ndarray) -> Iterator[np.ndarray]:
-    """Ids of the words of each row, and the end."""
+def encoded(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the words of each row, and the end."""
     for a, b in chunks(offsets):
         words, _, _, before = words_of(data, offsets[a : b + 1], lower=True)
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == words, of[at], UNKNOWN).astype(np.int32) if len(vocabulary) else np.full(len(words), UNKNOWN, np.int32)
+        words = words.view(np.int64)
         for i, j in zip(before[:-1], before[1:]):
-            yield np.append(ids[i:j], np.int32(STOP))
+            yield np.append(words[i:j], np.int64(STOP))
 
 
-def grams(ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Trigram keys of all tokens, STEP at once, and the document of each."""
-    size = np.array([len(x) for x in ids], np.int64)
+def grams(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The three words of all tokens, STEP at once, and the document of each."""
+    size = np.array([len(x) for x in rows], np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
-    w = np.concatenate([np.zeros(2, np.int32), *ids])  # places are shifted by two
+    w = np.concatenate([np.zeros(2, np.int64), *rows])  # places are shifted by two
     new = np.zeros(len(w), bool)
     new[first[:-1] + 2] = True
     for a in range(2, len(w), STEP):
         b = min(a + STEP, len(w))
-        v = np.where(new[a:b], START, w[a - 1 : b - 1].astype(np.int64))
-        u = np.where(new[a:b] | new[a - 1 : b - 1], START, w[a - 2 : b - 2].astype(np.int64))
-        yield u << 2 * WIDTH | v << WIDTH | w[a:b].astype(np.int64), np.searchsorted(first, np.arange(a - 2, b - 2), "right") - 1
+        v = np.where(new[a:b], START, w[a - 1 : b - 1])
+        u = np.where(new[a:b] | new[a - 1 : b - 1], START, w[a - 2 : b - 2])
+        yield u, v, w[a:b], np.searchsorted(first, np.arange(a - 2, b - 2), "right") - 1
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    """F.xxhash64 of columns of longs."""
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for x in columns:
+        z = x.view(np.uint64) * _P2
+        h = (h + (_P5 + np.uint64(8))) ^ (z << np.uint64(31) | z >> np.uint64(33)) * _P1
+        h = (h << np.uint64(27) | h >> np.uint64(37)) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def within(texts: DataFrame) -> DataFrame:
+    """The texts in the order of their hashes, as long as all their words are at most MOST."""
+
+    def first_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            draw = batch.column(1).to_numpy()
+            for a, b in chunks(offsets):
+                words, _, _, before = words_of(data, offsets[a : b + 1], lower=True)
+                k, at = np.unique(words, return_inverse=True)
+                first = np.full(len(k), np.iinfo(np.int64).max)
+                np.minimum.at(first, at, np.repeat(draw[a:b], np.diff(before)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(first)], names=["w", "draw"])
+
+    texts = stored(texts.withColumn("draw", F.xxhash64("text")))
+    new = texts.mapInArrow(first_draws, "w long, draw long").groupBy("w").agg(F.min("draw").alias("draw")).groupBy("draw").count()
+    new = new.toArrow().sort_by("draw")  # a row for a text of the sample at most
+    over = np.flatnonzero(np.cumsum(new["count"].to_numpy()) > MOST)
+    return texts.filter(F.col("draw") < int(new["draw"][int(over[0])].as_py())) if len(over) else texts
 
 
 def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,48 +118,22 @@ def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The sharded table (key, p, back) of bigrams and trigrams."""
-
-    def __init__(self, trusted: DataFrame, text: str = "text"):
-        spark = trusted.sparkSession
+    """The sharded table (key, p, back) of words, bigrams and trigrams; whole: of all texts given, else of those `within` MOST words."""
 
-        def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = utf8(batch.column(0))
-                draw = batch.column(1).to_numpy()
-                for a, b in chunks(offsets):
-                    words, _, _, before = words_of(data, offsets[a : b + 1], lower=True)
-                    k, at, n = np.unique(words, return_inverse=True, return_counts=True)
-                    first = np.full(len(k), np.iinfo(np.int64).max)
-                    np.minimum.at(first, at, np.repeat(draw[a:b], np.diff(before)))
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), pa.array(first)], names=["w", "n", "draw"])
-
-        texts = stored(trusted.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text")))
-        counted = stored(texts.mapInArrow(count_words, "w long, n long, draw long").groupBy("w").agg(F.sum("n").alias("n"), F.min("draw").alias("draw")))
-        new = counted.groupBy("draw").count().toArrow().sort_by("draw")  # a row for a text of the sample at most
-        over = np.flatnonzero(np.cumsum(new["count"].to_numpy()) > MOST)
-        if len(over):
-            fits = F.col("draw") < int(new["draw"][int(over[0])].as_py())
-            texts, counted = texts.filter(fits), counted.filter(fits)
-        top = counted.toArrow()
-        words = top["w"].to_numpy().view(np.uint64)
-        words = words[np.lexsort((words, -top["n"].to_numpy()))]  # frequent words have small ids, which compress well
-        order = np.argsort(words)
-        vocabulary, of = words[order], (FIRST + np.arange(len(words)))[order].astype(np.int32)
-        size = FIRST + len(words)
-        sent = spark.sparkContext.broadcast((vocabulary, of))
+    def __init__(self, trusted: DataFrame, text: str = "text", whole: bool = False):
+        texts = trusted.select(F.coalesce(text, F.lit("")).alias("text"))
+        texts = texts if whole else within(texts)
 
         def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for keys, _ in grams(list(encoded(*utf8(batch.column(0)), *sent.value))):
-                    k, n = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+                for u, v, w, _ in grams(list(encoded(*utf8(batch.column(0))))):
+                    _, at, n = np.unique(hashed(u, v, w), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], v[at], w[at], n)], names=["u", "v", "w", "n"])
 
-        low = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        three = stored(texts.select("text").mapInArrow(count_grams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+        three = stored(texts.select("text").mapInArrow(count_grams, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n")))
         # Continuation counts; what follows the start has no word before it, so its own count stands.
-        two = stored(three.groupBy(low("k", 2 * WIDTH).alias("k")).agg(F.when(F.first(F.shiftright(low("k", 2 * WIDTH), WIDTH) == START), F.sum("n")).otherwise(F.count("*")).alias("n")))
-        one = two.groupBy(low("k", WIDTH).alias("k")).agg(F.count("*").alias("n"))
+        two = stored(three.groupBy("v", "w").agg(F.when(F.col("v") == START, F.sum("n")).otherwise(F.count("*")).alias("n")))
+        self.one = one = stored(two.groupBy("w").agg(F.count("*").alias("n")))
 
         def discounts(counts: DataFrame) -> tuple[float, float, float]:
             n = counts.agg(*[F.sum((F.col("n") == i).cast("long")) for i in range(1, 5)]).first()
@@ -141,33 +148,29 @@ class Model:
             return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
         d3, d2, d1 = discounts(three), discounts(two), discounts(one)
-        # Unigrams and the weights of one-word contexts: arrays of at most MOST numbers.
-        c = np.zeros(size)
-        table = one.toArrow()
-        c[table["k"].to_numpy()] = table["n"].to_numpy()
-        total = max(c.sum(), 1.0)
-        cut = np.where(c == 1, d1[0], np.where(c == 2, d1[1], np.where(c > 2, d1[2], 0.0)))
-        self.unigrams = np.maximum(c - cut, 0) / total + (cut.sum() / total if c.sum() else 1.0) / (size - 1)
-        contexts = two.groupBy(F.shiftright("k", WIDTH).alias("v")).agg(F.sum("n").alias("all"), F.sum(discount(d2)).alias("cut"))
-        self.back = np.ones(size)
-        table = contexts.toArrow()
-        self.back[table["v"].to_numpy()] = table["cut"].to_numpy() / table["all"].to_numpy()
-        shares = spark.createDataFrame(pa.table({"w": np.arange(size), "one": self.unigrams}))
-
-        bigrams = two.join(F.broadcast(contexts), F.shiftright("k", WIDTH) == F.col("v")).join(F.broadcast(shares), low("k", WIDTH) == F.col("w"))  # at most MOST rows each
-        bigrams = bigrams.select("k", (F.greatest(F.col("n") - discount(d2), F.lit(0.0)) / F.col("all") + F.col("cut") / F.col("all") * F.col("one")).alias("p"))
-        longer = three.groupBy(F.shiftright("k", WIDTH).alias("h")).agg(F.sum("n").alias("all"), F.sum(discount(d3)).alias("cut"))
-        trigrams = three.join(longer, F.shiftright("k", WIDTH) == F.col("h")).join(bigrams.select(F.col("k").alias("b"), F.col("p").alias("q")), low("k", 2 * WIDTH) == F.col("b"))
+        kinds, total, cut = one.agg(F.count("*"), F.sum("n"), F.sum(discount(d1))).first()
+        # What any word gets: a share of what is discounted.  Besides the words there are the end, the start and the unknown word.
+        self.base = (cut / total if total else 1.0) / (max(kinds, 1) + 2)
+        unigrams = one.select("w", (F.greatest(F.col("n") - discount(d1), F.lit(0.0)) / (total or 1) + self.base).alias("one"))
+        after = two.groupBy("v").agg(F.sum("n").alias("all"), F.sum(discount(d2)).alias("cut"))
+        bigrams = hub_join(hub_join(two, after, "v", two), unigrams, "w", two)
+        bigrams = stored(bigrams.select(F.xxhash64("v", "w").alias("b"), (F.greatest(F.col("n") - discount(d2), F.lit(0.0)) / F.col("all") + F.col("cut") / F.col("all") * F.col("one")).alias("q")))
+        longer = stored(three.groupBy(F.xxhash64("u", "v").alias("c")).agg(F.sum("n").alias("all"), F.sum(discount(d3)).alias("cut")))
+        keyed = three.select(F.xxhash64("u", "v", "w").alias("key"), F.xxhash64("u", "v").alias("c"), F.xxhash64("v", "w").alias("b"), "n")
+        trigrams = hub_join(hub_join(keyed, longer, "c", keyed), bigrams, "b", keyed)
         trigrams = trigrams.select(
-            F.col("k").alias("key"),
+            "key",
             (F.greatest(F.col("n") - discount(d3), F.lit(0.0)) / F.col("all") + F.col("cut") / F.col("all") * F.col("q")).alias("p"),
             F.lit(1.0).alias("back"),
         )
-        pairs = bigrams.join(longer.select(F.col("h").alias("k"), (F.col("cut") / F.col("all")).alias("back")), "k", "full")
-        # A context may be no bigram of its own (two starts): then it has no probability as one.
-        rows = pairs.select(F.col("k").alias("key"), "p", F.coalesce("back", F.lit(1.0)).alias("back")).union(trigrams)
+        # A context may be no bigram (two starts), or no word (the start), of its own: then it has no probability as one.
+        weight = F.coalesce(F.col("cut") / F.col("all"), F.lit(1.0)).alias("back")
+        pairs = bigrams.select(F.col("b").alias("c"), "q").join(longer, "c", "full").select(F.col("c").alias("key"), F.col("q").alias("p"), weight)
+        words = unigrams.join(after.withColumnRenamed("v", "w"), "w", "full").select(F.xxhash64("w").alias("key"), F.col("one").alias("p"), weight)
+        rows = words.union(pairs).union(trigrams)
         self.table = stored(rows.select("key", F.col("p").cast("float").alias("p"), F.col("back").cast("float").alias("back")))
-        self.vocabulary, self.of, self.size, self.rows = vocabulary, of, size, self.table.count()
+        self.rows = self.table.count()
+        self._discounts = d1
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(FILTER_BITS, bool)
@@ -185,6 +188,32 @@ class Model:
             bits[r["page"] * PAGE :][:PAGE] = np.frombuffer(r["bits"], np.uint8)
         self.bits = bits
 
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a bounded model, at most MOST words: their hashes, sorted, their numbers, frequent ones first, and the probability of each number."""
+        table = self.one.toArrow()
+        words, n = table["w"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        number = np.full(len(words), 3)
+        some = words != STOP
+        number[np.flatnonzero(some)[np.lexsort((words[some], -n[some]))]] = FIRST + np.arange(some.sum())
+        p = np.full(FIRST + some.sum(), self.base)
+        p[0] = 0
+        d = np.array(self._discounts)[np.minimum(n, 3) - 1]
+        p[number] += np.maximum(n - d, 0) / max(n.sum(), 1)
+        order = np.flatnonzero(some)[np.argsort(words[some])]
+        return words[order], number[order], p
+
+    @property
+    def vocabulary(self) -> np.ndarray:
+        return self._numbered()[0]
+
+    @property
+    def of(self) -> np.ndarray:
+        return self._numbered()[1]
+
+    @property
+    def unigrams(self) -> np.ndarray:
+        return self._numbered()[2]
+
     def may_know(self, keys: np.ndarray) -> np.ndarray:
         return _known(self.bits, keys)
 
@@ -203,35 +232,38 @@ def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     number = max(1, -(-size // TEXTS))
-    shards = max(8, model.rows // ROWS)  # by the model, which is bounded, so a block asks as many however many blocks there are
-    copies = -(-number // ANSWERED)
-    sent = spark.sparkContext.broadcast((model.vocabulary, model.of, model.unigrams, model.back, model.bits))
+    shards = min(SHARDS, max(FEW, model.rows // ROWS))
+    copies = -(-number * FEW // (ANSWERED * shards))
+    sent = spark.sparkContext.broadcast((model.bits, model.base))
     kept = [key, *carry]
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
 
     def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = list(encoded(*utf8(batch.column(len(kept))), *sent.value[:2]))
-        planes = [pa.array([(x >> shift).astype(np.uint8).tobytes() for x in ids], pa.binary()) for shift in (0, 8, 16)]  # the high bytes compress well
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *planes], names=[*map(str, range(len(kept))), "low", "middle", "high"])
-
-    # Ids are about half of the words' bytes.
+        rows = list(encoded(*utf8(batch.column(len(kept)))))
+        words, local = np.unique(np.concatenate(rows), return_inverse=True)  # the batch's own vocabulary, and places in it
+        local = np.split(local.astype(np.uint32), np.cumsum([len(x) for x in rows])[:-1])
+        planes = [pa.array([(x >> np.uint32(shift)).astype(np.uint8).tobytes() for x in local], pa.binary()) for shift in (0, 8, 16, 24)]  # the high bytes compress well
+        known = pa.array([words.tobytes(), *[b""] * (batch.num_rows - 1)], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *planes, known], names=[*map(str, range(len(kept))), "b0", "b1", "b2", "b3", "words"])
+
+    # About half of the words' bytes are stored.
     blocks = packed(docs.select(*kept, F.coalesce(F.col(text), F.lit(""))), convert, -(-size // 2), -(-TEXTS // 2))
 
-    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        low, middle, high = (np.frombuffer(batch[c].buffers()[2] or b"", np.uint8) for c in ("low", "middle", "high"))
-        at = np.frombuffer(batch["low"].buffers()[1], np.int32)[: batch.num_rows + 1]
-        w = low.astype(np.int32) | middle.astype(np.int32) << 8 | high.astype(np.int32) << 16
+    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        planes = [np.frombuffer(batch[f"b{i}"].buffers()[2], np.uint8).astype(np.uint32) << np.uint32(8 * i) for i in range(4)]
+        at = np.frombuffer(batch["b0"].buffers()[1], np.int32)[: batch.num_rows + 1]
+        w = np.frombuffer(batch["words"][0].as_buffer(), np.int64)[planes[0] | planes[1] | planes[2] | planes[3]]
         return grams([w[a:b] for a, b in zip(at[:-1], at[1:])])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value[4]
+        bits = sent.value[0]
         for batch in batches:
             for block, body in zip(batch.column(0), batch.column(1)):
                 k, more, waiting = np.zeros(0, np.int64), [], 0
                 for part in opened([body]):
-                    for three, _ in tokens(part):
-                        three = np.unique(three)
-                        for keys in (three, np.unique(three & PAIR), np.unique(three >> WIDTH)):
+                    for u, v, w, _ in tokens(part):
+                        for keys in (hashed(u, v, w), hashed(v, w), hashed(u, v), hashed(np.append(np.unique(w), START))):
+                            keys = np.unique(keys)
                             more.append(keys[_known(bits, keys)])
                             waiting += len(more[-1])
                     if waiting > max(1 << 19, len(k)):  # merged as they come in
@@ -261,7 +293,7 @@ def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
         return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("keys", "p", "back")}})
 
     every = F.sequence(F.lit(0), F.lit(copies - 1))
-    rows = model.table.withColumn("shard", F.explode(F.transform(every, lambda c: (F.col("key") % PRIME % shards + shards * c).cast("int"))))
+    rows = model.table.withColumn("shard", F.explode(F.transform(every, lambda c: (F.pmod("key", F.lit(PRIME)) % shards + shards * c).cast("int"))))
     answers = asked.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(answer, "block long, keys binary, p binary, back binary")
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
@@ -269,17 +301,19 @@ def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 
         index = pd.Index(np.concatenate([np.zeros(0, np.int64), *[unsqueezed(x.as_buffer(), np.int64, True) for x in values["keys"]]]))
         p, back = (np.concatenate([*[unsqueezed(x.as_buffer(), np.float32) for x in values[c]], np.full(1, np.nan, np.float32)]) for c in ("p", "back"))
-        unigrams, weights = sent.value[2:4]
+        base = sent.value[1]
         out: list[list] = [[] for _ in range(len(kept) + 2)]
         for batch in opened(texts["body"]):
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for k, row in tokens(batch):
-                tri, bi, ctx = (index.get_indexer(x) for x in (k, k & PAIR, k >> WIDTH))
+            for u, v, w, row in tokens(batch):
+                tri, bi, ctx, last, middle = (index.get_indexer(hashed(*x)) for x in ((u, v, w), (v, w), (u, v), (w,), (v,)))
+                one, weight = p[last].astype(np.float64), back[middle].astype(np.float64)
+                unknown = np.isnan(one)
                 short = p[bi].astype(np.float64)
-                short = np.where(np.isnan(short), weights[k >> WIDTH & WORD] * unigrams[k & WORD], short)
+                short = np.where(np.isnan(short), np.where(np.isnan(weight), 1.0, weight) * np.where(unknown, base, one), short)
                 weight = back[ctx].astype(np.float64)
                 whole = np.where(tri >= 0, p[tri], np.where(np.isnan(weight), 1.0, weight) * short)
-                logs = np.log10(whole) - np.where(k & WORD == UNKNOWN, np.log10(OTHER_WORDS), 0.0)
+                logs = np.log10(whole) - np.where(unknown & (w != STOP), np.log10(OTHER_WORDS), 0.0)
                 n += np.bincount(row, minlength=len(n))
                 total += np.bincount(row, logs, len(n))
             for x, v in zip(out, (*batch.columns[: len(kept)], pa.array(n), pa.array(total))):
@@ -291,12 +325,11 @@ def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_probability") / F.col("n_tokens")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_tokens, log10_probability, perplexity, threshold and kept for docs (doc_id, text, lang); labels: doc_id, quality."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
-    sample = good.filter(part != 0).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_trusted)
-    model = Model(docs.join(F.broadcast(sample), "doc_id", "left_semi"))  # at most max_trusted ids
+    model = Model(docs.join(good.filter(part != 0), "doc_id", "left_semi"), whole=True)
     scored = stored(perplexities(docs, model, carry=("lang",)))
     seen = scored.join(good.filter(part == 0), "doc_id", "left_semi")
     limits = seen.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold"))

@@ -609,6 +609,25 @@ def test_kneser_ney_has_every_word_of_its_sample(spark, monkeypatch):
     assert len(kneser_ney.Model(docs).vocabulary) == 0 and kneser_ney.perplexities(docs, kneser_ney.Model(docs)).count() == 90
 
 
+def test_kneser_ney_is_trained_on_all_trusted_texts(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST", 50)  # bounds samples only
+    texts = [(i, " ".join([f"w{i}", *(f"v{i // 2}y{k}" for k in range(3))])) for i in range(6_000)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1) for i, _ in texts], "doc_id long, quality int")
+    held = {r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT)) == 0).select("doc_id").collect()}
+    got = {r["doc_id"]: r["log10_probability"] for r in kneser_ney.classify(docs, labels).collect()}
+    want = kneser_ney_by_hand([t for i, t in texts if i not in held], texts)
+    assert len(texts) - len(held) > 4_500 and all(got[i] == pytest.approx(want[i][1], rel=1e-5) for i, _ in texts)
+
+
+def test_kneser_ney_hashes_as_spark_does(spark):
+    rows = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, (50, 3))
+    df = spark.createDataFrame(rows.tolist(), "u long, v long, w long")
+    got = [tuple(r) for r in df.select(F.xxhash64("u"), F.xxhash64("u", "v"), F.xxhash64("u", "v", "w")).collect()]
+    u, v, w = (np.ascontiguousarray(rows[:, i]) for i in range(3))
+    assert got == list(zip(kneser_ney.hashed(u).tolist(), kneser_ney.hashed(u, v).tolist(), kneser_ney.hashed(u, v, w).tolist()))
+
+
 # ------------------------------------------------------------ 10
 
 
