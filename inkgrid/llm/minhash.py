@@ -10,8 +10,9 @@ The others are confirmed on the full sets.
 In a bucket not all pairs are confirmed.  Everything meets the bucket's pivot first: the
 member with most company over all its buckets, as the source of a family has.  What links
 to it joins its component.  Then members of different components are compared, in blocks
-of bounded size, by their signatures alone, and what is near enough is confirmed.  So
-every pair that could still join two components is looked at.
+of bounded size, by their signatures, and what is near enough is confirmed: in a large bucket
+by the block itself, to which its members' sets are sent, so that only links leave it and no
+row is made for a pair that isn't one.  So every pair that could still join two components is looked at.
 
 With the default bands a pair at the least similarity shares no bucket with a
 probability of (1 - s**rows)**bands = 5e-9.
@@ -55,6 +56,7 @@ class Settings:
     #: Members of a larger bucket that are compared at once; up to `few` are joined.
     block: int = 2048
     few: int = 48
+    shingles: int = 4_000_000  # of the members of a block, roughly
 
     @property
     def minima(self) -> int:
@@ -145,12 +147,11 @@ def estimate(a: Column, b: Column, settings: Settings) -> Column:
     return (1.0 - different / settings.minima - chance) / (1.0 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
-    """The pairs of classes (a, b) whose full sets have the least similarity.  docs: id and text; reps: c and id; pairs: stored."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
+    """c and s (the bytes of its sorted hashes) for the distinct classes wanted (c), and for some more.  docs: id and text; reps: c and id."""
     ids = reps.select("c", "id").join(wanted, "c", "left_semi").select("id").distinct()
     texts = docs.join(ids, "id", "left_semi").select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shingle, percent = settings.shingle, settings.percent
+    shingle = settings.shingle
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,25 +160,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settin
                 sets = {_class_of(s): s.tobytes() for s in shingle_sets(*utf8(part.column(0)), shingle)}
                 yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["c", "s"])
 
-    sets = texts.mapInArrow(to_sets, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))  # repeated rows are one
+    return texts.mapInArrow(to_sets, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))  # repeated rows are one
+
+
+def _linked(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
+    """The pairs of classes (a, b) whose full sets have the least similarity.  docs: id and text; reps: c and id; pairs: stored."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    sets, percent = full_sets(wanted, docs, reps, settings, text), settings.percent
     # The hub's set (a) comes last and is never shuffled along with the pairs.
     joined = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     joined = hub_join(joined, sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a", pairs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_linked(x, y, percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def _compared(settings: Settings):
-    """Pairs of a block (members of chunk i against chunk j) in different components whose signatures are near enough."""
+    """Links of a block (members of chunk i against chunk j) in different components: signatures are near enough, and full sets as well."""
     bits, minima, percent = settings.bits, settings.minima, settings.percent
     chance = 2.0**-bits
     most = minima * (1 - chance - (percent / 100 - settings.slack) * (1 - chance))  # minima that may differ
@@ -188,7 +197,7 @@ def _compared(settings: Settings):
         table = table.sort_by("c").combine_chunks()
         ids, component, n, mine = (table[c].to_numpy() for c in ("c", "component", "n", "mine"))
         sig, bands = (table[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sig", "bands"))
-        sig = sig.view(np.uint64)
+        sig, sets = sig.view(np.uint64), table["s"].combine_chunks()
         out: list[np.ndarray] = []
         columns = np.flatnonzero(mine == j)
         for r in np.flatnonzero(mine == i):
@@ -202,6 +211,7 @@ def _compared(settings: Settings):
             if len(c):  # of the buckets that a pair shares, the first answers
                 shared = bands[c] == bands[r]
                 c = c[bands[r][shared.argmax(axis=1)] == bucket]
+                c = c[np.array([_linked(sets[int(k)], sets[int(r)], percent) for k in c], bool)]
                 out.append(np.stack((np.minimum(ids[c], ids[r]), np.maximum(ids[c], ids[r])), axis=1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), ids.dtype)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -218,7 +228,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     reps = rows.join(classes, ["c", "id"]).dropDuplicates(["c", "id"])  # one row of a class takes its signature along
     reps = stored(reps.select("c", "id", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"), "bands"))
     look = reps.select("c", "n", "sig")
-    banded = reps.select("c", F.explode("bands").alias("bucket"))
+    banded = reps.select("c", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowd = stored(banded.join(shared, "bucket"))
     company = crowd.groupBy("c").agg(F.sum("size").alias("company"))
@@ -244,19 +254,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     whole = stored(components(links).withColumnRenamed("id", "c"))
 
     # What the pivots left apart: members of one bucket in different components.
-    inside = stored(crowd.join(whole, "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("component")))
-    apart = inside.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
-    cells = inside.join(apart.select("bucket", "size"), "bucket").join(reps.select("c", "n", "sig", "bands"), "c")
+    inside = stored(crowd.join(whole, "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("component")))
+    apart = inside.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("x < y")
+    cells = inside.join(apart.select("bucket", "size", "shingles"), "bucket").join(reps.select("c", "sig", "bands"), "c")
     small = cells.filter(F.col("size") <= settings.few)
     left, right = (small.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("c", "component", "n", "sig")]) for x in "ab")
     unlike = (F.col("c_a") < F.col("c_b")) & (F.col("component_a") != F.col("component_b"))
     close = near(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"))
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & unlike & close).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-    large = cells.filter(F.col("size") > settings.few).withColumn("blocks", F.ceil(F.col("size") / settings.block).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("size") / settings.block), F.ceil(F.col("shingles") / settings.shingles)).cast("int")
+    large = stored(cells.filter(F.col("size") > settings.few).withColumn("blocks", blocks))
+    large = large.join(full_sets(large.select("c").distinct(), texts, reps, settings), "c")
     large = large.withColumn("mine", F.pmod(F.hash("c"), "blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("bucket", F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "c", "component", "n", "sig", "bands")
-    pairs = pairs.union(large.groupBy("bucket", "i", "j").applyInArrow(_compared(settings), "a long, b long"))
-    found = stored(confirm(stored(pairs.distinct()), texts, reps, settings))
+    large = large.select("bucket", F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "c", "component", "n", "sig", "bands", "s")
+    linked = large.groupBy("bucket", "i", "j").applyInArrow(_compared(settings), "a long, b long")
+    found = stored(confirm(stored(pairs.distinct()), texts, reps, settings).union(linked))
     if not found.isEmpty():
         whole = stored(components(links.union(found)).withColumnRenamed("id", "c"))
     least_id = whole.join(classes, "c").groupBy("component").agg(F.min("id").alias("component_id"))

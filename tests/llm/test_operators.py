@@ -165,6 +165,25 @@ def test_near_duplicates_match_all_pairs(spark, rows, size, change):
     assert sorted(map(tuple, got)) == similar(data, size)
 
 
+def test_near_misses_of_a_family_make_no_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base, data = [f"w{k}" for k in range(400)], []
+    for i in range(100):  # any two at about 0.77
+        words = list(base)
+        for k in rng.sample(range(400), 13):
+            words[k] = f"z{i}y{k}"
+        data.append((i, " ".join(words)))
+    asked, confirm = [], minhash.confirm
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    got = minhash.near_duplicates(frame(spark, data), minhash.Settings(shingle=2, few=8)).collect()
+    assert sorted(map(tuple, got)) == similar(data, 2) and sum(asked) < 2_000  # of 4,950 pairs
+
+
 def test_near_duplicates_of_nothing_repeated_rows_and_shared_ids(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     got = minhash.near_duplicates(frame(spark, [(2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f")])).collect()
