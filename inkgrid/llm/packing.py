@@ -23,8 +23,9 @@ lengths are ranked by document and piece.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +38,7 @@ from .tables import stored, utf8
 
 CAPACITY = 4096
 END = 1
-#: Encoded words, and encoded parts of words, that a worker keeps; a table starts anew beyond that.
+#: Encoded words, and encoded parts of words, that a worker keeps; beyond that a table starts anew, and takes over what comes again.
 CACHED_WORDS, CACHED_PARTS = 100_000, 200_000
 #: Pieces for each bucket of ranks.
 BUCKET = 20_000
@@ -49,9 +50,26 @@ STEP, REST, ROUNDS, DRAWN = 0.3, 0.02, 4096, 64
 RATES, NEAR = (0.3, 2.0), 0.002
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+#: A few ids as little-endian unsigned 32-bit numbers.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _KNOWN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")  # these characters lower-case and split in ways that _PARTS states
 
 
+class Kept(dict):
+    """What make gives for a key, as long as the table before it or this one has it; at most `most` in each."""
+
+    def __init__(self, make: Callable[[str | bytes], bytes], most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        value = self.before.get(key) or self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Tokens:
     """A word-level vocabulary: words between ASCII white space are encoded one by one, each only once.
 
@@ -65,46 +83,33 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model  # the attribute makes a new object each time
         state = re.sub(r"\s", "", self.whole.to_str(pretty=False)[:4000])
         self.by_word = '"NFC"' in state and '"Lowercase"' in state and '"invert":true' in state and '"add_prefix_space":false' in state
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Kept(self.word, CACHED_WORDS), Kept(self._part, CACHED_PARTS)
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > CACHED_PARTS:
-                self.parts.clear()
-            shown = part if part.isascii() else "".join([self.alphabet[b] for b in part.encode()])
-            found = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
-            self.parts[part] = found
-        return found
+        shown = part if part.isascii() else "".join([self.alphabet[b] for b in part.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and (text.isascii() or max(text) <= "ÿ"):
-            return self._part(text.lower())
+        if text.isalpha() and (len(text) == len(word) or max(text) <= "ÿ"):
+            return self.parts[text.lower()]
         if "<|" not in text and _KNOWN.fullmatch(text):
-            return b"".join([self._part(p) for p in _PARTS.findall(text.lower())])
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.split(), self.words
-        new = set(words).difference(known)
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(w)
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

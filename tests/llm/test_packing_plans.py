@@ -40,3 +40,11 @@ def test_plan_is_whole_and_never_worse_than_best_fit(kind):
     total = sum(n for _, n in found)
     assert packing.least_sequences(h) <= total <= alone
     assert total <= 1.01 * packing.least_sequences(h)
+
+
+def test_words_that_come_again_are_encoded_once():
+    made = []
+    kept = packing.Kept(lambda k: made.append(k) or k.encode(), 10)
+    for i in range(100):
+        assert kept["often"] == b"often" and kept[f"w{i}"] == f"w{i}".encode()
+    assert made.count("often") == 1 and len(made) == 101 and len(kept) <= 10 and len(kept.before) <= 10
