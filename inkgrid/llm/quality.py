@@ -87,7 +87,8 @@ def _with_rest(a: Column) -> Column:
 def references(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", common: int = COMMON) -> DataFrame:
     """ref_lang, ref_classes, ref_words and ref_shares from all trusted texts of each language; labels: key and quality (1 is good)."""
     good = labels.groupBy(key).agg(F.min("quality").alias("q")).filter(F.col("q") == 1).select(key)
-    rows = docs.join(good, key, "left_semi").select(F.col(lang).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("ref_lang is not null")
+    # Never by sending the ids to all, as they grow with the input.
+    rows = docs.join(good.hint("merge"), key, "left_semi").select(F.col(lang).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("ref_lang is not null")
     stripped, counts, _ = _stripped(rows, "t")
     sums = [F.sum(c) / F.sum(F.length("t")) for c in counts]
     classes = stripped.groupBy("ref_lang").agg(F.array(*sums).alias("ref_classes"))
