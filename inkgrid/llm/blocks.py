@@ -32,7 +32,7 @@ def cut(batch: pa.RecordBatch, limit: int, rows: int = 1024) -> Iterator[pa.Reco
         yield batch
 
 
-def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch], size: int, limit: int = BLOCK) -> DataFrame:
+def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch], size: int, limit: int = BLOCK, least: int = LEAST) -> DataFrame:
     """block, body: what convert makes of rows, in blocks.  size: bytes of all rows, roughly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def packed(rows: DataFrame, convert: Callable[[pa.RecordBatch], pa.RecordBatch],
         if parts:
             yield block()
 
-    return stored(rows.coalesce(max(LEAST, -(-size // limit))).mapInArrow(run, "block long, body binary"))
+    return stored(rows.coalesce(max(least, -(-size // limit))).mapInArrow(run, "block long, body binary"))
 
 
 def opened(bodies: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:

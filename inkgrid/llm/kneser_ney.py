@@ -1,12 +1,13 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (words, order 3).
 
-The model is trained on all trusted texts but those that thresholds come from.  Its n-gram counts,
-continuation counts and discounts are Spark aggregations and joins, and its tables stay sharded, that of
-words included: a block of documents sends the distinct n-grams that the model may know (a Bloom filter
-of fixed size tells which, while the model is small) to the shards, these join them with their
-probabilities, and the block adds them up by document.  Sent to all are the filter (FILTER_BITS) and one number.
-
-Words are 64-bit hashes, and an n-gram's key is Spark's xxhash64 of its words, so their number has no bound.
+The model is trained on all trusted texts but those that thresholds come from.  Only counts are kept: a shard
+has whole sorted tables of trigrams, coded by their steps, and works out continuation counts and shares as it
+answers.  A block of documents sends its distinct trigrams, bigrams of hubs and words to the shards, gets shares
+and probabilities back in the same order, and adds them up by document.  Texts are counted, and scored, in slices, and
+what a slice shuffled and stored goes before the next, so disk holds the counts and the messages of one slice.
+Sent to all are the hubs (fewer than HUBS words, with two numbers each) and a few numbers.
+
+Words are 64-bit hashes, so their number has no bound.
 `Model` may also be fitted on a bounded sample: texts in the order of their hashes, as long as all
 their words are at most MOST.
 
@@ -22,6 +23,7 @@ block of its own; null ids are never trusted; an empty table gives an empty one;
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import opened, packed, squeezed, unsqueezed
-from .tables import chunks, hub_join, mixed, stored, utf8, words_of
+from .tables import chunks, forget, mixed, stored, stored_once, utf8, words_of
 
 #: Of the trusted documents, one in so many is never trained on, so that thresholds come from texts that are new to the model.
 HELD_OUT = 5
-FILTER_BITS = 1 << 25
-PAGE = 4096  # bytes of a bitmap
 START, STOP = 1, 2  # stand among the hashes of words
 FIRST = 4  # the first number of a word in a bounded model's arrays
 #: Bound of a bounded sample in distinct words.
@@ -47,9 +47,15 @@ QUANTILE, SLACK = 0.99, 1.25
 STEP = 1 << 19
 #: Bytes of text in a block, about twice the bytes that are stored.
 TEXTS = 32 << 20
-#: Of this prime's remainders the shards are made; rows of the model in a shard, roughly, the shards (so the messages of a
+#: Of this prime's remainders the shards are made; trigrams of the model in a shard, roughly, the shards (so the messages of a
 #: block are bounded), and blocks that one copy of a model of FEW shards answers; one of more shards answers more.
-PRIME, ROWS, SHARDS, FEW, ANSWERED = 1_000_003, 1 << 18, 4096, 8, 64
+PRIME, ROWS, SHARDS, FEW, ANSWERED = 1_000_003, 1 << 20, 4096, 8, 64
+#: Slices of the texts that are scored, or counted, one after the other, and bytes of text that one has at least.
+SLICES, TAUGHT, SLICE = 12, 4, 1 << 23
+#: Blocks of a slice, at least: few, since a word is sent once for each block and shard.
+BLOCKS = 8
+#: Tokens whose trigrams are counted together, and the share of trigrams beyond which a middle word is a hub, one in so many.
+GATHERED, HUBS = 1 << 22, 256
 
 
 def encoded(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -61,7 +67,7 @@ def encoded(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.append(words[i:j], np.int64(STOP))
 
 
-def grams(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(rows: list[np.ndarray], start: int = START) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The three words of all tokens, STEP at once, and the document of each."""
     size = np.array([len(x) for x in rows], np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
@@ -70,8 +76,8 @@ def grams(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     new[first[:-1] + 2] = True
     for a in range(2, len(w), STEP):
         b = min(a + STEP, len(w))
-        v = np.where(new[a:b], START, w[a - 1 : b - 1])
-        u = np.where(new[a:b] | new[a - 1 : b - 1], START, w[a - 2 : b - 2])
+        v = np.where(new[a:b], start, w[a - 1 : b - 1])
+        u = np.where(new[a:b] | new[a - 1 : b - 1], start, w[a - 2 : b - 2])
         yield u, v, w[a:b], np.searchsorted(first, np.arange(a - 2, b - 2), "right") - 1
 
 
@@ -112,81 +118,292 @@ def within(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("draw") < int(new["draw"][int(over[0])].as_py())) if len(over) else texts
 
 
-def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mixed(keys.astype(np.uint64))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(FILTER_BITS)).astype(np.int64)
+def distinct(rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The words of the rows, frequent ones first, and their distinct trigrams, as places in these, sorted by v, u and w: words, v, u, w, n, and which of them each token ends."""
+    words, at, n = np.unique(np.concatenate([*rows, np.array([START], np.int64)]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    at = rank[at]
+    places = np.split(at[:-1], np.cumsum([len(x) for x in rows])[:-1])
+    u, v, w = (np.concatenate(x) for x in zip(*[g[:3] for g in grams(places, at[-1])]))
+    return words[order], *summed(len(words), v, u, w)
+
+
+def steps(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def summed(kinds: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct rows of numbers less than kinds, sorted by v, u and w, with the sums of n (or how many they are), and which of them each row is."""
+    if kinds <= 1 << 21:
+        order = np.argsort(v << 42 | u << 21 | w, kind="stable")
+    else:
+        order = np.lexsort((w, u, v))
+    v, u, w = v[order], u[order], w[order]
+    new = steps(v, u, w)
+    back = np.empty(len(v), np.int64)
+    back[order] = np.cumsum(new) - 1
+    new = np.flatnonzero(new)
+    if n is None:
+        n = np.diff(np.append(new, len(v)))
+    else:
+        n = np.add.reduceat(n[order], new) if len(new) else n
+    return v[new], u[new], w[new], n, back
+
+
+_PARTS = struct.Struct("<5Q")
+
+
+def coded(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows sorted by v, u and w (places in words), by their steps, with the words they have."""
+    used = np.zeros(len(words), bool)
+    for x in (v, u, w):
+        used[x] = True
+    place = np.cumsum(used) - 1
+    v, u, w = place[v], place[u], place[w]
+    new_v, new_u = steps(v), steps(v, u)
+    numbers = np.diff(v, prepend=0), np.where(new_v, u, np.diff(u, prepend=0)), np.where(new_u, w, np.diff(w, prepend=0))
+    bodies = [squeezed(words[used]), *(squeezed(x.astype(np.uint32)) for x in (*numbers, n))]
+    return b"".join([_PARTS.pack(*map(len, bodies)), *bodies])
+
+
+def decoded(body: pa.Buffer) -> tuple[np.ndarray, ...]:
+    """words, v, u, w, n of what was coded."""
+    body = memoryview(body)
+    ends = np.cumsum([_PARTS.size, *_PARTS.unpack(body[: _PARTS.size])])
+    words, v, u, w, n = (unsqueezed(body[a:b], kind) for a, b, kind in zip(ends[:-1], ends[1:], (np.int64, *[np.uint32] * 4)))
+
+    def runs(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+        sums, first = np.cumsum(x, dtype=np.int64), np.flatnonzero(new)
+        return sums - np.repeat(sums[first] - x[first], np.diff(np.append(first, len(x))))
+
+    new_v = v != 0
+    new_v[:1] = True
+    new_u = new_v | (u != 0)
+    return words, np.cumsum(v, dtype=np.int64), runs(u, new_v), runs(w, new_u), n.astype(np.int64)
+
+
+def together(bodies: pa.ChunkedArray, pairs: bool = False) -> tuple[np.ndarray, ...]:
+    """The sums of several coded tables, of pairs v and w or of all three: words, v, u, w, n."""
+    tables = [decoded(x.as_buffer()) for x in bodies]
+    words, at, n = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    places = np.split(rank[at], np.cumsum([len(t[0]) for t in tables])[:-1])
+    v, u, w = (np.concatenate([p[t[i]] for p, t in zip(places, tables)]) for i in (1, 2, 3))
+    u = u * 0 if pairs else u
+    return words[order], *summed(len(words), v, u, w, np.concatenate([t[4] for t in tables]))[:4]
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys % PRIME % shards).astype(np.int64)
+
+
+def grouped(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in `to` and where it is, in order."""
+    order = np.argsort(to, kind="stable")
+    first = np.flatnonzero(steps(to[order]))
+    for a, b in zip(first, np.append(first[1:], len(to))):
+        yield int(to[order[a]]), order[a:b]
+
+
+def dealt(words: np.ndarray, v: np.ndarray, u: np.ndarray, hubs: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards of trigrams, and which go there, in order."""
+    to = shard_of(hashed(words), shards)[v]
+    hub = np.flatnonzero(np.isin(words, hubs)[v])
+    to[hub] = shard_of(hashed(words[u[hub]], words[v[hub]]), shards)
+    return grouped(to)
+
+
+class Questions:
+    """What a block of texts asks: its distinct trigrams, its bigrams of hubs and its words, each of one shard."""
+
+    def __init__(self, rows: list[np.ndarray], hubs: np.ndarray, shards: int):
+        self.words, self.v, self.u, self.w, _, self.back = distinct(rows)
+        words, v, w = self.words, self.v, self.w
+        self.hub = np.flatnonzero(np.isin(words, hubs)[v])
+        none = np.zeros(len(self.hub), np.int64)
+        self.bv, _, self.bw, _, self.pair = summed(len(words), v[self.hub], none, w[self.hub])
+        self.of = {(3, s): at for s, at in dealt(words, v, self.u, hubs, shards)}
+        self.of |= {(2, s): at for s, at in grouped(shard_of(hashed(words[self.bv], words[self.bw]), shards))}
+        order = np.argsort(words)
+        self.of |= {(1, s): order[at] for s, at in grouped(shard_of(hashed(words[order]), shards))}
+
+    def bodies(self) -> Iterator[bytes]:
+        for (kind, _), at in self.of.items():
+            none = np.zeros(len(at), np.int64)
+            if kind == 3:
+                yield coded(self.words, self.v[at], self.u[at], self.w[at], none)
+            elif kind == 2:
+                yield coded(self.words, self.bv[at], none, self.bw[at], none)
+            else:
+                yield squeezed(self.words[at], True)
+
+
+#: kind: 3 trigrams, 2 bigrams of hubs, 1 words (and their counts, in stats), 0 numbers only.
+KINDS = "shard int, kind int, body binary, stats array<long>"
+
+
+def kinds_table(rows: list[tuple[int, int, bytes, list[int]]]) -> pa.Table:
+    kinds = pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+    return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("shard", "kind", "body", "stats"))})
+
+
+def word_rows(words: np.ndarray, n: np.ndarray, shards: int) -> list[tuple[int, int, bytes, list[int]]]:
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    return [(s, 1, squeezed(words[at], True), n[at].tolist()) for s, at in grouped(shard_of(hashed(words), shards))]
+
+
+def spectrum(n: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
 
 
 class Model:
-    """The sharded table (key, p, back) of words, bigrams and trigrams; whole: of all texts given, else of those `within` MOST words."""
+    """Counts of trigrams, of the bigrams of hubs and of words, in shards; whole: of all texts given, else of those `within` MOST words.
+
+    A trigram is in the shard of its middle word, where all counts that its probability needs are, but for its
+    last word's own.  A middle word that more than one in HUBS trigrams has is a hub: its trigrams are dealt by their first
+    two words, and its bigrams by both of theirs.
+    """
 
-    def __init__(self, trusted: DataFrame, text: str = "text", whole: bool = False):
-        texts = trusted.select(F.coalesce(text, F.lit("")).alias("text"))
-        texts = texts if whole else within(texts)
+    def __init__(self, trusted: DataFrame | list[DataFrame], text: str = "text", whole: bool = False):
+        """trusted: texts, or slices of them, that are counted one after the other."""
+        slices = [x.select(F.coalesce(text, F.lit("")).alias("text")) for x in (trusted if isinstance(trusted, list) else [trusted])]
+        slices = slices if whole else [within(x) for x in slices]
 
         def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[np.ndarray] = []
+
+            def counted() -> pa.RecordBatch:
+                words, v, u, w, n, _ = distinct(rows)
+                rows.clear()
+                middle = np.bincount(v, n, len(words)).astype(np.int64)
+                top = np.flatnonzero(middle * HUBS > middle.sum())  # a hub of all texts is one of some part of them
+                tops = squeezed(words[top]), squeezed(middle[top])
+                return pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(v)]), *(pa.array([x], pa.binary()) for x in (*tops, coded(words, v, u, w, n)))], names=["all", "kinds", "top", "of", "body"])
+
+            held = 0
             for batch in batches:
-                for u, v, w, _ in grams(list(encoded(*utf8(batch.column(0))))):
-                    _, at, n = np.unique(hashed(u, v, w), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], v[at], w[at], n)], names=["u", "v", "w", "n"])
-
-        three = stored(texts.select("text").mapInArrow(count_grams, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n")))
-        # Continuation counts; what follows the start has no word before it, so its own count stands.
-        two = stored(three.groupBy("v", "w").agg(F.when(F.col("v") == START, F.sum("n")).otherwise(F.count("*")).alias("n")))
-        self.one = one = stored(two.groupBy("w").agg(F.count("*").alias("n")))
-
-        def discounts(counts: DataFrame) -> tuple[float, float, float]:
-            n = counts.agg(*[F.sum((F.col("n") == i).cast("long")) for i in range(1, 5)]).first()
-            n1, n2, n3, n4 = (float(x or 0) for x in n)
+                for row in encoded(*utf8(batch.column(0))):
+                    rows.append(row)
+                    held += len(row)
+                    if held >= GATHERED:
+                        yield counted()
+                        held = 0
+            if rows:
+                yield counted()
+
+        parts = [stored_once(x.mapInArrow(count_grams, "all long, kinds long, top binary, of binary, body binary")) for x in slices]
+        chunks_ = parts[0]
+        for x in parts[1:]:
+            chunks_ = chunks_.union(x)
+        tokens, kinds = chunks_.agg(F.sum("all"), F.sum("kinds")).first()
+        self.shards = shards = min(SHARDS, max(FEW, (kinds or 0) // ROWS))
+
+        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for top, of in zip(batch.column(0), batch.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(top.as_buffer(), np.int64)), pa.array(unsqueezed(of.as_buffer(), np.int64))], names=["v", "n"])
+
+        often = chunks_.select("top", "of").mapInArrow(tops, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+        self.hubs = hubs = np.array(sorted(r[0] for r in often.filter(F.col("n") * HUBS > (tokens or 0)).collect()), np.int64)  # fewer than HUBS
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column(0):
+                    words, v, u, w, n = decoded(body.as_buffer())
+                    rows = [(s, coded(words, v[at], u[at], w[at], n[at])) for s, at in dealt(words, v, u, hubs, shards)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "body"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            shard = table["shard"][0].as_py()
+            words, v, u, w, n = together(table["body"])
+            rows = [(shard, 3, coded(words, v, u, w, n), spectrum(n))]
+            # Continuation counts; what follows the start has no word before it, so its own count stands.
+            pair, back = np.unique(v * np.int64(len(words)) + w, return_inverse=True)
+            bv, bw = pair // max(len(words), 1), pair % max(len(words), 1)
+            bn = np.where(words[bv] == START, np.bincount(back, n, len(pair)), np.bincount(back, minlength=len(pair))).astype(np.int64)
+            own = ~np.isin(words, hubs)[bv]
+            rows.append((shard, 0, b"", spectrum(bn[own])))
+            kinds = np.bincount(bw[own], minlength=len(words))
+            some = np.flatnonzero(kinds)
+            rows += word_rows(words[some], kinds[some], shards)
+            hub = np.flatnonzero(~own)
+            to = shard_of(hashed(words[bv[hub]], words[bw[hub]]), shards)
+            for s, at in grouped(to):
+                rows.append((s, 2, coded(words, bv[hub][at], np.zeros(len(at), np.int64), bw[hub][at], bn[hub][at]), []))
+            return kinds_table(rows)
+
+        def merge_hubs(table: pa.Table) -> pa.Table:
+            words, v, _, w, n = together(table["body"], True)
+            rows = [(table["shard"][0].as_py(), 2, coded(words, v, np.zeros(len(v), np.int64), w, n), spectrum(n))]
+            for i in np.unique(v):
+                some = n[v == i]
+                rows.append((0, 0, words[i : i + 1].tobytes(), [int(x) for x in (some.sum(), (some == 1).sum(), (some == 2).sum(), (some > 2).sum())]))
+            kinds = np.bincount(w, minlength=len(words))
+            some = np.flatnonzero(kinds)
+            return kinds_table(rows + word_rows(words[some], kinds[some], shards))
+
+        def merge_words(table: pa.Table) -> pa.Table:
+            words = np.concatenate([unsqueezed(x.as_buffer(), np.int64, True) for x in table["body"]])
+            n = np.concatenate([np.array(x.as_py(), np.int64) for x in table["stats"]])
+            words, at = np.unique(words, return_inverse=True)
+            n = np.bincount(at, n, len(words)).astype(np.int64)
+            return kinds_table([(table["shard"][0].as_py(), 1, squeezed(words, True), n.tolist())])
+
+        three = stored_once(chunks_.select("body").mapInArrow(deal, "shard int, body binary").groupBy("shard").applyInArrow(merge, KINDS), "kind")
+        for x in parts:
+            forget(x)
+        two = stored_once(three.filter("kind = 2").select("shard", "body").groupBy("shard").applyInArrow(merge_hubs, KINDS), "kind")
+        one = three.unionByName(two).filter("kind = 1")
+        one = stored_once(one.select("shard", "body", "stats").groupBy("shard").applyInArrow(merge_words, KINDS))
+        self.parts = [three, two, one]
+        self.table = three.filter("kind = 3").unionByName(two.filter("kind = 2")).unionByName(one)
+
+        def discounts(*counts: DataFrame) -> tuple[float, float, float]:
+            n = np.zeros(4)
+            for x in counts:
+                n += [float(y or 0) for y in x.agg(*[F.sum(F.col("stats")[i]) for i in range(4)]).first()]
+            n1, n2, n3, n4 = n.tolist()
             if not n1 or not n2:
                 return 0.5, 0.75, 0.9
             y = n1 / (n1 + 2 * n2)
             d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
             return tuple(min(max(x, 0.05), cap) for x, cap in zip(d, (0.95, 1.95, 2.95)))
 
-        def discount(d: tuple[float, float, float]):
-            return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-
-        d3, d2, d1 = discounts(three), discounts(two), discounts(one)
-        kinds, total, cut = one.agg(F.count("*"), F.sum("n"), F.sum(discount(d1))).first()
+        numbers = [F.size("stats") - F.size(F.array_remove("stats", i)) for i in range(1, 5)]
+        of_words = one.select(F.array(*numbers).alias("stats"), F.size("stats").alias("kinds"), F.aggregate("stats", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
+        d3, d2, d1 = discounts(three.filter("kind = 3")), discounts(three.filter("kind = 0"), two.filter("kind = 2")), discounts(of_words)
+        kinds, total, n1, n2 = (x or 0 for x in of_words.agg(F.sum("kinds"), F.sum("all"), F.sum(F.col("stats")[0]), F.sum(F.col("stats")[1])).first())
+        cut = n1 * d1[0] + n2 * d1[1] + (kinds - n1 - n2) * d1[2]
         # What any word gets: a share of what is discounted.  Besides the words there are the end, the start and the unknown word.
         self.base = (cut / total if total else 1.0) / (max(kinds, 1) + 2)
-        unigrams = one.select("w", (F.greatest(F.col("n") - discount(d1), F.lit(0.0)) / (total or 1) + self.base).alias("one"))
-        after = two.groupBy("v").agg(F.sum("n").alias("all"), F.sum(discount(d2)).alias("cut"))
-        bigrams = hub_join(hub_join(two, after, "v", two), unigrams, "w", two)
-        bigrams = stored(bigrams.select(F.xxhash64("v", "w").alias("b"), (F.greatest(F.col("n") - discount(d2), F.lit(0.0)) / F.col("all") + F.col("cut") / F.col("all") * F.col("one")).alias("q")))
-        longer = stored(three.groupBy(F.xxhash64("u", "v").alias("c")).agg(F.sum("n").alias("all"), F.sum(discount(d3)).alias("cut")))
-        keyed = three.select(F.xxhash64("u", "v", "w").alias("key"), F.xxhash64("u", "v").alias("c"), F.xxhash64("v", "w").alias("b"), "n")
-        trigrams = hub_join(hub_join(keyed, longer, "c", keyed), bigrams, "b", keyed)
-        trigrams = trigrams.select(
-            "key",
-            (F.greatest(F.col("n") - discount(d3), F.lit(0.0)) / F.col("all") + F.col("cut") / F.col("all") * F.col("q")).alias("p"),
-            F.lit(1.0).alias("back"),
-        )
-        # A context may be no bigram (two starts), or no word (the start), of its own: then it has no probability as one.
-        weight = F.coalesce(F.col("cut") / F.col("all"), F.lit(1.0)).alias("back")
-        pairs = bigrams.select(F.col("b").alias("c"), "q").join(longer, "c", "full").select(F.col("c").alias("key"), F.col("q").alias("p"), weight)
-        words = unigrams.join(after.withColumnRenamed("v", "w"), "w", "full").select(F.xxhash64("w").alias("key"), F.col("one").alias("p"), weight)
-        rows = words.union(pairs).union(trigrams)
-        self.table = stored(rows.select("key", F.col("p").cast("float").alias("p"), F.col("back").cast("float").alias("back")))
-        self.rows = self.table.count()
-        self._discounts = d1
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(FILTER_BITS, bool)
+        self.total, self.discounts = total, (d1, d2, d3)
+        # All and cut of each hub.
+        sums = two.filter("kind = 0").groupBy("body").agg(*[F.sum(F.col("stats")[i]) for i in range(4)]).collect()
+        self.after = {int(np.frombuffer(r[0], np.int64)[0]): (float(r[1]), float(np.dot(r[2:], d2))) for r in sums}
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in _positions(batch.column(0).to_numpy()):
-                    bits[at] = True
-            pages = np.packbits(bits, bitorder="little").reshape(-1, PAGE)
-            some = np.flatnonzero(pages.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pages[i].tobytes() for i in some], pa.binary())], names=["page", "bits"])
-
-        pages = self.table.select("key").coalesce(8).mapInArrow(mark, "page int, bits binary")  # each task may send the whole filter
-        rows = pages.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).collect()  # FILTER_BITS in all
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in rows:
-            bits[r["page"] * PAGE :][:PAGE] = np.frombuffer(r["bits"], np.uint8)
-        self.bits = bits
+                for body, n in zip(batch.column(0), batch.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(body.as_buffer(), np.int64, True)), n.values], names=["w", "n"])
+
+        forget(three, "kind=3")
+        forget(two, "kind=2")
+        self.one = one.select("body", "stats").mapInArrow(listed, "w long, n long")
+
+    def forget(self) -> None:
+        for x in self.parts:
+            forget(x)
 
     def _numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a bounded model, at most MOST words: their hashes, sorted, their numbers, frequent ones first, and the probability of each number."""
@@ -197,7 +414,7 @@ class Model:
         number[np.flatnonzero(some)[np.lexsort((words[some], -n[some]))]] = FIRST + np.arange(some.sum())
         p = np.full(FIRST + some.sum(), self.base)
         p[0] = 0
-        d = np.array(self._discounts)[np.minimum(n, 3) - 1]
+        d = np.array(self.discounts[0])[np.minimum(n, 3) - 1]
         p[number] += np.maximum(n - d, 0) / max(n.sum(), 1)
         order = np.flatnonzero(some)[np.argsort(words[some])]
         return words[order], number[order], p
@@ -214,27 +431,29 @@ class Model:
     def unigrams(self) -> np.ndarray:
         return self._numbered()[2]
 
-    def may_know(self, keys: np.ndarray) -> np.ndarray:
-        return _known(self.bits, keys)
 
-
-def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry along, n_tokens (words and the end), log10_probability and perplexity of every row."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    slices = sliced(docs, size, SLICES, key, text)
+    parts = [_scored(x, size // len(slices), model, key, text, carry) for x in slices]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_probability") / F.col("n_tokens")))
 
 
-def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = _positions(keys)
-    return _bit(bits, a) & _bit(bits, b)
+def sliced(docs: DataFrame, size: int, most: int, *by: str) -> list[DataFrame]:
+    """docs, of size bytes of text, in `most` slices (fewer if these would be small), so that disk holds what is sent for one slice only."""
+    n = min(most, max(1, size // SLICE))
+    return [docs.filter(F.pmod(F.xxhash64(*by, F.lit(n)), F.lit(n)) == i) for i in range(n)] if n > 1 else [docs]
 
 
-def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns to carry along, n_tokens (words and the end), log10_probability and perplexity of every row."""
+def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     number = max(1, -(-size // TEXTS))
-    shards = min(SHARDS, max(FEW, model.rows // ROWS))
+    shards, hubs, after, base, total, (d1, d2, d3) = model.shards, model.hubs, model.after, model.base, model.total, model.discounts
     copies = -(-number * FEW // (ANSWERED * shards))
-    sent = spark.sparkContext.broadcast((model.bits, model.base))
     kept = [key, *carry]
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
 
@@ -247,90 +466,150 @@ def perplexities(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
         return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *planes, known], names=[*map(str, range(len(kept))), "b0", "b1", "b2", "b3", "words"])
 
     # About half of the words' bytes are stored.
-    blocks = packed(docs.select(*kept, F.coalesce(F.col(text), F.lit(""))), convert, -(-size // 2), -(-TEXTS // 2))
+    blocks = packed(docs.select(*kept, F.coalesce(F.col(text), F.lit(""))), convert, -(-size // 2), -(-TEXTS // 2), BLOCKS)
 
-    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
         planes = [np.frombuffer(batch[f"b{i}"].buffers()[2], np.uint8).astype(np.uint32) << np.uint32(8 * i) for i in range(4)]
         at = np.frombuffer(batch["b0"].buffers()[1], np.int32)[: batch.num_rows + 1]
         w = np.frombuffer(batch["words"][0].as_buffer(), np.int64)[planes[0] | planes[1] | planes[2] | planes[3]]
-        return grams([w[a:b] for a, b in zip(at[:-1], at[1:])])
+        return [w[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value[0]
         for batch in batches:
             for block, body in zip(batch.column(0), batch.column(1)):
-                k, more, waiting = np.zeros(0, np.int64), [], 0
-                for part in opened([body]):
-                    for u, v, w, _ in tokens(part):
-                        for keys in (hashed(u, v, w), hashed(v, w), hashed(u, v), hashed(np.append(np.unique(w), START))):
-                            keys = np.unique(keys)
-                            more.append(keys[_known(bits, keys)])
-                            waiting += len(more[-1])
-                    if waiting > max(1 << 19, len(k)):  # merged as they come in
-                        k, more, waiting = np.unique(np.concatenate([k, *more])), [], 0
-                k = np.unique(np.concatenate([k, *more]))
-                to = (k % PRIME % shards).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(shards + 1))
-                some = np.flatnonzero(np.diff(edges))
-                bodies = [squeezed(k[order[edges[i] : edges[i + 1]]], True) for i in some]
+                asked = Questions([row for part in opened([body]) for row in rows_of(part)], hubs, shards)
                 copy = int(mixed(np.array([block.as_py()], np.uint64))[0] % np.uint64(copies))
-                yield pa.RecordBatch.from_arrays([pa.array(some + shards * copy, pa.int32()), pa.array([block.as_py()] * len(some), pa.int64()), pa.array(bodies, pa.binary())], names=["shard", "block", "keys"])
+                kinds = [k for k, _ in asked.of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s + shards * copy for _, s in asked.of], pa.int32()), pa.array([block.as_py()] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(list(asked.bodies()), pa.binary())],
+                    names=["shard", "block", "kind", "body"],
+                )
+
+    asked = blocks.mapInArrow(ask, "shard int, block long, kind int, body binary")
 
-    asked = blocks.mapInArrow(ask, "shard int, block long, keys binary")
+    def discounted(n: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.array([0.0, *d])[np.minimum(n, 3)]
+        return np.maximum(n - cut, 0.0), cut
 
     def answer(questions: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("key")
-        key = rows["key"].to_numpy()
-        p, back = (rows[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("p", "back"))
-        out: dict[str, list] = {"block": [], "keys": [], "p": [], "back": []}
-        for block, keys in zip(questions["block"], questions["keys"]):
-            k = unsqueezed(keys.as_buffer(), np.int64, True)
-            at = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-            hit = key[at] == k if len(key) else np.zeros(len(k), bool)
-            for c, v in (("block", block.as_py()), ("keys", squeezed(k[hit], True)), ("p", squeezed(p[at[hit]].astype(np.float32))), ("back", squeezed(back[at[hit]].astype(np.float32)))):
-                out[c].append(v)
-        return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("keys", "p", "back")}})
-
-    every = F.sequence(F.lit(0), F.lit(copies - 1))
-    rows = model.table.withColumn("shard", F.explode(F.transform(every, lambda c: (F.pmod("key", F.lit(PRIME)) % shards + shards * c).cast("int"))))
-    answers = asked.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(answer, "block long, keys binary, p binary, back binary")
+        """For each question x and y: of a word its probability, of others what is theirs, and the share of the shorter context."""
+        held = {k.as_py(): (b, s) for k, b, s in zip(rows["kind"], rows["body"], rows["stats"])}
+        nothing = np.zeros(0, np.int64)
+        words, v, u, w, n = decoded(held[3][0].as_buffer()) if 3 in held else (nothing,) * 5
+        # All tables are sorted by places in words, which two words' bits keep apart.
+        word = Lookup(words)
+        new = steps(v, u)
+        first = np.flatnonzero(new)
+        contexts, threes = v[first] << 31 | u[first], (np.cumsum(new) - 1) << 31 | w
+        all_c, cut_c = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, discounted(n, d3)[1]))
+        own = ~np.isin(words, hubs)[v]
+        twos = np.sort(v[own] << 31 | w[own])
+        at = np.flatnonzero(steps(twos))
+        bn = np.diff(np.append(at, len(twos)))
+        twos = twos[at]
+        begins = words[twos >> 31] == START
+        bn[begins] = n[np.flatnonzero(own & (words == START)[v])]
+        at = np.flatnonzero(steps(twos >> 31))
+        middles = twos[at] >> 31
+        all_v, cut_v = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (bn, discounted(bn, d2)[1]))
+        hw, hv, _, hx, hn = decoded(held[2][0].as_buffer()) if 2 in held else (nothing,) * 5
+        hub_twos = Lookup(hashed(hw[hv], hw[hx]))
+        known = unsqueezed(held[1][0].as_buffer(), np.int64, True) if 1 in held else nothing
+        one, _ = discounted(np.array(held[1][1].as_py() if 1 in held else [], np.int64), d1)
+        singles = Lookup(known)
+
+        def shares(n: np.ndarray, d: tuple[float, float, float], at: np.ndarray, alls: np.ndarray, cuts: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """What a gram has of its own, and the share of its shorter context; at, c: its places, or -1."""
+            alls, cuts = np.append(alls, 1.0), np.append(cuts, 1.0)
+            top = np.where(at < 0, 0.0, discounted(n[at], d)[0]) if len(n) else np.zeros(len(at))
+            return top / alls[c], cuts[c] / alls[c]
+
+        out: dict[str, list] = {"block": [], "shard": [], "kind": [], "x": [], "y": []}
+        for block, shard, kind, body in zip(*(questions[c] for c in ("block", "shard", "kind", "body"))):
+            if kind.as_py() == 1:
+                at = singles(unsqueezed(body.as_buffer(), np.int64, True))
+                x, y = np.where(at < 0, np.nan, np.append(one, 0.0)[at] / (total or 1) + base), np.zeros(0)
+            else:
+                qw, qv, qu, qx, _ = decoded(body.as_buffer())
+                if kind.as_py() == 2:
+                    alls, cuts = (np.array([after.get(int(i), (1.0, 1.0))[k] for i in qw]) for k in (0, 1))
+                    x, y = shares(hn, d2, hub_twos(hashed(qw[qv], qw[qx])), alls, cuts, qv)
+                else:
+                    places = word(qw)
+                    a, b, c = (places[i] for i in (qu, qv, qx))  # -1 makes a key that no table has
+                    context = place(contexts, b << 31 | a)
+                    x, y = shares(n, d3, place(threes, context << 31 | c), all_c, cut_c, context)
+                    x2, y2 = shares(bn, d2, place(twos, b << 31 | c), all_v, cut_v, place(middles, b))
+                    hub = np.isin(qw, hubs)[qv]
+                    x, y = np.where(hub, x, x + y * x2), np.where(hub, y, y * y2)
+            for name, value in (("block", block.as_py()), ("shard", shard.as_py() % shards), ("kind", kind.as_py()), ("x", squeezed(x.astype(np.float32))), ("y", squeezed(y.astype(np.float32)) if len(y) else b"")):
+                out[name].append(value)
+        return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.int32()) for c in ("shard", "kind")}, **{c: pa.array(out[c], pa.binary()) for c in ("x", "y")}})
+
+    rows = model.table
+    if copies > 1:
+        rows = rows.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: (F.col("shard") + shards * c).cast("int"))))
+    answers = asked.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(answer, "block long, shard int, kind int, x binary, y binary")
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        import pandas as pd
-
-        index = pd.Index(np.concatenate([np.zeros(0, np.int64), *[unsqueezed(x.as_buffer(), np.int64, True) for x in values["keys"]]]))
-        p, back = (np.concatenate([*[unsqueezed(x.as_buffer(), np.float32) for x in values[c]], np.full(1, np.nan, np.float32)]) for c in ("p", "back"))
-        base = sent.value[1]
-        out: list[list] = [[] for _ in range(len(kept) + 2)]
-        for batch in opened(texts["body"]):
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for u, v, w, row in tokens(batch):
-                tri, bi, ctx, last, middle = (index.get_indexer(hashed(*x)) for x in ((u, v, w), (v, w), (u, v), (w,), (v,)))
-                one, weight = p[last].astype(np.float64), back[middle].astype(np.float64)
-                unknown = np.isnan(one)
-                short = p[bi].astype(np.float64)
-                short = np.where(np.isnan(short), np.where(np.isnan(weight), 1.0, weight) * np.where(unknown, base, one), short)
-                weight = back[ctx].astype(np.float64)
-                whole = np.where(tri >= 0, p[tri], np.where(np.isnan(weight), 1.0, weight) * short)
-                logs = np.log10(whole) - np.where(unknown & (w != STOP), np.log10(OTHER_WORDS), 0.0)
-                n += np.bincount(row, minlength=len(n))
-                total += np.bincount(row, logs, len(n))
-            for x, v in zip(out, (*batch.columns[: len(kept)], pa.array(n), pa.array(total))):
-                x.append(v)
-        return pa.table({str(i): pa.chunked_array(x) for i, x in enumerate(out)})
+        parts = list(opened(texts["body"]))
+        rows = [row for part in parts for row in rows_of(part)]
+        q = Questions(rows, hubs, shards)
+        found = {k: np.full((2, n), np.nan) for k, n in ((1, len(q.words)), (2, len(q.bv)), (3, len(q.v)))}
+        for kind, shard, x, y in zip(*(values[c] for c in ("kind", "shard", "x", "y"))):
+            at = q.of[kind.as_py(), shard.as_py()]
+            for of, z in zip(found[kind.as_py()], (x, y)):
+                if z.as_buffer().size:
+                    of[at] = unsqueezed(z.as_buffer(), np.float32)
+        one = found[1][0]
+        unknown = np.isnan(one)
+        short = np.where(unknown, base, one)[q.w]
+        x, y = found[2][:, q.pair]
+        short[q.hub] = x + y * short[q.hub]
+        logs = np.log10(found[3][0] + found[3][1] * short) - np.where((unknown & (q.words != STOP))[q.w], np.log10(OTHER_WORDS), 0.0)
+        size = np.array([len(row) for row in rows], np.int64)
+        total = np.bincount(np.repeat(np.arange(len(rows)), size), logs[q.back], len(rows))
+        columns = [pa.chunked_array([part.column(i) for part in parts]) for i in range(len(kept))]
+        return pa.table({str(i): x for i, x in enumerate([*columns, pa.array(size), pa.array(total)])})
 
     names = [*(f"`{i}` {kind}" for i, kind in enumerate(kinds)), f"`{len(kept)}` long", f"`{len(kept) + 1}` double"]
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, ", ".join(names)).toDF(*kept, "n_tokens", "log10_probability")
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_probability") / F.col("n_tokens")))
+    out = stored_once(out)
+    forget(blocks)
+    return out
+
+
+def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys are in a sorted table of distinct ones, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+class Lookup:
+    """Where keys are in a table of distinct ones, in any order, or -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.append(np.argsort(keys), -1)
+        self.keys = keys[self.order[:-1]]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.order[place(self.keys, keys)]
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_tokens, log10_probability, perplexity, threshold and kept for docs (doc_id, text, lang); labels: doc_id, quality."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
-    model = Model(docs.join(good.filter(part != 0), "doc_id", "left_semi"), whole=True)
-    scored = stored(perplexities(docs, model, carry=("lang",)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    taught = good.filter(part != 0)
+    slices = sliced(docs, size, TAUGHT, "doc_id")
+    # Few large parts: a word is sent once for each of them and each shard.
+    tasks = max(BLOCKS, -(-size // (len(slices) * TEXTS)))
+    model = Model([x.join(taught, "doc_id", "left_semi").coalesce(tasks) for x in slices], whole=True)
+    scored = perplexities(docs, model, carry=("lang",))
+    model.forget()
     seen = scored.join(good.filter(part == 0), "doc_id", "left_semi")
     limits = seen.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold"))
     overall = seen.agg((F.percentile_approx("perplexity", quantile, 10000) * slack).alias("t")).first()[0]

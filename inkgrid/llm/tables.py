@@ -22,13 +22,33 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: it is computed once, and lost executors cost no more than a read."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written to the shared folder (a folder for each value of `by`) and read back: it is computed once, and lost executors cost no more than a read."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*[by] if by else []).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(df: DataFrame, by: str | None = None) -> DataFrame:
+    """stored, and what was shuffled for it is removed from the executors' disks as soon as it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return stored(df, by)
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
+def forget(df: DataFrame, but: str | None = None) -> None:
+    """Removes what `stored` wrote for df, but for folders of that name."""
+    folders = {x.rsplit("/", 1)[0] for x in df.inputFiles()}
+    for folder in {x for x in folders if x.rsplit("/", 1)[1] != but}:
+        session = df.sparkSession
+        p = session._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, made longer until no column has it, in whatever case."""
     taken = {c.lower() for c in columns}

@@ -7,6 +7,7 @@ import dataclasses
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkgrid.sources.storage import shared_dir
 from inkgrid.llm import blocks, extraction, forest, graph, kneser_ney, minhash, packing, pieces, ppm, privacy, quality, substrings, tables
 from inkgrid.llm import queries as llm
 
@@ -639,6 +641,23 @@ def test_kneser_ney_is_trained_on_all_trusted_texts(spark, monkeypatch):
     assert len(texts) - len(held) > 4_500 and all(got[i] == pytest.approx(want[i][1], rel=1e-5) for i, _ in texts)
 
 
+def test_kneser_ney_in_slices_leaves_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SLICE", 1 << 12)
+    monkeypatch.setattr(kneser_ney, "ROWS", 1 << 9)
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 80)))) for i in range(300)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    held = {r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT)) == 0).select("doc_id").collect()}
+    folder = pathlib.Path(shared_dir(spark))
+    before = set(folder.rglob("*.parquet"))
+    got = {r["doc_id"]: r["log10_probability"] for r in kneser_ney.classify(docs, labels).collect()}
+    want = kneser_ney_by_hand([t for i, t in texts if i < 200 and i not in held], texts)
+    assert len(got) == 300 and all(got[i] == pytest.approx(want[i][1], rel=1e-5) for i, _ in texts)
+    left = [x for x in set(folder.rglob("*.parquet")) - before if x.parent.exists()]
+    assert left and all(set(spark.read.parquet(str(x)).columns) == {"doc_id", "lang", "n_tokens", "log10_probability"} for x in left)  # the scores only
+
+
 def test_kneser_ney_hashes_as_spark_does(spark):
     rows = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, (50, 3))
     df = spark.createDataFrame(rows.tolist(), "u long, v long, w long")
