@@ -39,7 +39,7 @@ from .tables import stored, utf8
 CAPACITY = 4096
 END = 1
 #: Encoded words, and encoded parts of words, that a worker keeps; beyond that a table starts anew, and takes over what comes again.
-CACHED_WORDS, CACHED_PARTS = 100_000, 200_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 300_000
 #: Pieces for each bucket of ranks.
 BUCKET = 20_000
 #: The linear program: the share of a length that a round covers, the share of tokens it leaves to
@@ -98,6 +98,11 @@ class Tokens:
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self.parts[word.lower().decode()]
+        head, last = word[:-1], word[-1:]
+        if head.isalpha() and b" " < last < b"\x7f":  # and one sign or digit, which is a part of its own
+            return self.parts[head.lower().decode()] + self.parts[last.decode()]
         text = word.decode()
         if text.isalpha() and (len(text) == len(word) or max(text) <= "ÿ"):
             return self.parts[text.lower()]

@@ -669,6 +669,20 @@ def test_kneser_ney_hashes_as_spark_does(spark):
 # ------------------------------------------------------------ 10
 
 
+def test_words_that_come_again_are_encoded_once():
+    t = packing.Tokens(packing.model_path("word_bpe_49k.json"))
+    made = []
+    t.words.make = lambda word: made.append(word) or word
+    text = b" ".join(b"w%d" % i for i in range(250_000))
+    assert t.ids(text) == t.ids(text) and len(made) == 250_000
+
+
+def test_words_with_one_sign_or_digit():
+    t = packing.Tokens(packing.model_path("word_bpe_49k.json"))
+    for text in ("Then, the. end! A1 b' c\" d| it's l'x X< na\u00efve, \u00e9. caf\u00e9s; ab\x7f ab\u0000", *(f"Word{chr(c)} x{chr(c)}" for c in range(33, 127))):
+        assert np.frombuffer(t.ids(text.encode()), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_match_the_library():
     from tokenizers import Tokenizer
 
