@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, held_out: Column) -> tuple[D
 
 def _training(bodies: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in opened(bodies):
-        yield utf8(batch.filter(pa.compute.invert(batch["held"]))["text"])
+        yield utf8(batch.filter(pc.invert(batch["held"]))["text"])
 
 
 def _collected(blocks: DataFrame, count, size: int) -> np.ndarray:
@@ -319,7 +320,7 @@ def scores(docs: DataFrame, held_out: Column, order: int = ORDER, key: str = "do
                 sums = {GRAM: Sums(), TOKEN: Sums()}
                 for rows in opened([body]):
                     for held in (False, True):
-                        data, offsets = utf8(rows.filter(rows["held"] if held else pa.compute.invert(rows["held"]))["text"])
+                        data, offsets = utf8(rows.filter(rows["held"] if held else pc.invert(rows["held"]))["text"])
                         for what, found in ((GRAM, _codes(*_symbols(data, offsets), order)), (TOKEN, _words(data, offsets))):
                             for keys, _, _ in found:
                                 k, c = np.unique(keys, return_counts=True)
@@ -371,7 +372,7 @@ def scores(docs: DataFrame, held_out: Column, order: int = ORDER, key: str = "do
 
         index, found = {}, {}
         for what in (GRAM, TOKEN):
-            mine = values.filter(pa.compute.equal(values["what"], what))
+            mine = values.filter(pc.equal(values["what"], what))
             index[what] = pd.Index(np.concatenate([np.zeros(0, np.int64), *[unsqueezed(x.as_buffer(), np.int64, True) for x in mine["keys"]]]))
             found[what] = np.concatenate([np.zeros(0), *[unsqueezed(x.as_buffer(), np.float64) for x in mine["found"]]])
         out: list[list] = [[], [], [], [], [], []]

@@ -10,6 +10,8 @@ import math
 import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -78,6 +80,30 @@ def test_ppm_probabilities_add_up_and_adaptive_mode(spark):
     assert ppm.scores(empty(spark), F.lit(False)).count() == 0
 
 
+def test_ppm_loads_what_it_uses(tmp_path):
+    """A new worker gets its rows as a stream, and nothing else in it has loaded pyarrow.compute (as pandas, and pa.array, would)."""
+    import pyarrow as pa
+    import zstandard
+
+    def stream(columns):
+        sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_pydict(columns)
+        with pa.ipc.new_stream(sink, batch.schema) as w:
+            w.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    body = zstandard.ZstdCompressor().compress(stream({"held": [True, False], "text": ["held", "learnt"]}))
+    (tmp_path / "rows").write_bytes(stream({"body": [body]}))
+    code = """
+import sys, pyarrow as pa
+from inkgrid.llm import ppm
+for batch in pa.ipc.open_stream(pa.OSFile(sys.argv[1])):
+    for data, offsets in ppm._training(batch.column(0)):
+        print(data.tobytes().decode()[offsets[0] : offsets[-1]])
+"""
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "rows")], capture_output=True, text=True)
+    assert done.stdout == "learnt\n", done.stderr
+
+
 def test_long_texts_are_coded_in_parts(monkeypatch):
     texts = ["one two  three", "", "a" * 40 + " b", " ", "x y z " * 9, "end"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
