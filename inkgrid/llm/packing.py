@@ -38,7 +38,7 @@ from .tables import stored, utf8
 
 CAPACITY = 4096
 END = 1
-#: Encoded words, and encoded parts of words, that a worker keeps; beyond that a table starts anew, and takes over what comes again.
+#: Encoded words, and encoded parts of words, that a task keeps; beyond that a table starts anew, and takes over what comes again.
 CACHED_WORDS, CACHED_PARTS = 300_000, 300_000
 #: Pieces for each bucket of ranks.
 BUCKET = 20_000
@@ -116,6 +116,12 @@ class Tokens:
             return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        """Empties the tables."""
+        for table in (self.words, self.parts):
+            table.clear()
+            table.before = {}
+
 
 @lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
@@ -130,27 +136,30 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens(model)
         stop = np.array([END], "<u4").tobytes()
-        for batch in batches:
-            data, at = utf8(batch.column(1))
-            data = memoryview(data)
-            rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                whole = t.ids(bytes(data[at[i] : at[i + 1]])) + stop
-                for k, first in enumerate(range(0, len(whole), 4 * capacity)):
-                    part = whole[first : first + 4 * capacity]
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(first // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
-                + [pa.array(x, pa.int64()) for x in (start, length, crc)]
-                + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
-                names=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
-            )
+        try:
+            for batch in batches:
+                data, at = utf8(batch.column(1))
+                data = memoryview(data)
+                rows, piece, start, length, crc, ids = [], [], [], [], [], []
+                for i in range(batch.num_rows):
+                    whole = t.ids(bytes(data[at[i] : at[i + 1]])) + stop
+                    for k, first in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[first : first + 4 * capacity]
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(first // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
+                    + [pa.array(x, pa.int64()) for x in (start, length, crc)]
+                    + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
+                    names=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
+                )
+        finally:
+            t.forget()  # idle workers outlive their tasks, and an executor has as many as tasks ever ran at once
 
     return source.mapInArrow(run, schema)
 

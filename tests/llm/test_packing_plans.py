@@ -48,3 +48,19 @@ def test_words_that_come_again_are_encoded_once():
     for i in range(100):
         assert kept["often"] == b"often" and kept[f"w{i}"] == f"w{i}".encode()
     assert made.count("often") == 1 and len(made) == 101 and len(kept) <= 10 and len(kept.before) <= 10
+
+
+def test_a_task_leaves_no_tables_behind(spark, monkeypatch):
+    """Workers outlive their tasks: what one task kept would stay in each of an executor's idle workers."""
+    import pyarrow as pa
+
+    tasks, path = [], packing.model_path("word_bpe_49k.json")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    packing.pieces(docs, path)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", "three 44 one"]})
+    for _ in range(2):
+        found = list(tasks[0](iter([batch])))
+        assert found[0].column(3).to_pylist() == [3, 5]
+        kept = packing.tokens(path)
+        assert not (kept.words or kept.words.before or kept.parts or kept.parts.before)
