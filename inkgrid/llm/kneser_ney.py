@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import opened, packed, squeezed, unsqueezed
-from .tables import chunks, forget, mixed, stored, stored_once, utf8, words_of
+from .tables import bucketed, chunks, forget, mixed, stored, stored_once, utf8, words_of
 
 #: Of the trusted documents, one in so many is never trained on, so that thresholds come from texts that are new to the model.
 HELD_OUT = 5
@@ -51,9 +51,11 @@ TEXTS = 32 << 20
 #: block are bounded), and blocks that one copy of a model of FEW shards answers; one of more shards answers more.
 PRIME, ROWS, SHARDS, FEW, ANSWERED = 1_000_003, 1 << 20, 4096, 8, 64
 #: Slices of the texts that are scored, or counted, one after the other, and bytes of text that one has at least.
-SLICES, TAUGHT, SLICE = 12, 4, 1 << 23
+SLICES, TAUGHT, SLICE = 8, 4, 1 << 23
+#: Buckets for each shard of the model's table, so that few hold two shards.
+DEALT = 4
 #: Blocks of a slice, at least: few, since a word is sent once for each block and shard.
-BLOCKS = 8
+BLOCKS = 12
 #: Tokens whose trigrams are counted together, and the share of trigrams beyond which a middle word is a hub, one in so many.
 GATHERED, HUBS = 1 << 22, 256
 
@@ -142,7 +144,7 @@ def steps(*columns: np.ndarray) -> np.ndarray:
 def summed(kinds: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Distinct rows of numbers less than kinds, sorted by v, u and w, with the sums of n (or how many they are), and which of them each row is."""
     if kinds <= 1 << 21:
-        order = np.argsort(v << 42 | u << 21 | w, kind="stable")
+        order = np.argsort(v << 42 | u << 21 | w)  # not the stable way, which is slower: equal rows are one
     else:
         order = np.lexsort((w, u, v))
     v, u, w = v[order], u[order], w[order]
@@ -207,8 +209,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def grouped(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each number in `to` and where it is, in order."""
-    order = np.argsort(to, kind="stable")
+    """Each number in `to` (of shards) and where it is, in order."""
+    order = np.argsort(to.astype(np.uint16), kind="stable")  # by digits, as no more than 16 bits are given
     first = np.flatnonzero(steps(to[order]))
     for a, b in zip(first, np.append(first[1:], len(to))):
         yield int(to[order[a]]), order[a:b]
@@ -366,8 +368,8 @@ class Model:
         two = stored_once(three.filter("kind = 2").select("shard", "body").groupBy("shard").applyInArrow(merge_hubs, KINDS), "kind")
         one = three.unionByName(two).filter("kind = 1")
         one = stored_once(one.select("shard", "body", "stats").groupBy("shard").applyInArrow(merge_words, KINDS))
-        self.parts = [three, two, one]
-        self.table = three.filter("kind = 3").unionByName(two.filter("kind = 2")).unionByName(one)
+        self.parts = [one]
+        self.table, self.name = bucketed(three.filter("kind = 3").unionByName(two.filter("kind = 2")).unionByName(one), "shard", DEALT * shards)
 
         def discounts(*counts: DataFrame) -> tuple[float, float, float]:
             n = np.zeros(4)
@@ -397,13 +399,14 @@ class Model:
                 for body, n in zip(batch.column(0), batch.column(1)):
                     yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(body.as_buffer(), np.int64, True)), n.values], names=["w", "n"])
 
-        forget(three, "kind=3")
-        forget(two, "kind=2")
+        forget(three)
+        forget(two)
         self.one = one.select("body", "stats").mapInArrow(listed, "w long, n long")
 
     def forget(self) -> None:
-        for x in self.parts:
+        for x in (*self.parts, self.table):
             forget(x)
+        self.table.sparkSession.sql(f"drop table {self.name}")
 
     def _numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a bounded model, at most MOST words: their hashes, sorted, their numbers, frequent ones first, and the probability of each number."""
@@ -491,6 +494,12 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         cut = np.array([0.0, *d])[np.minimum(n, 3)]
         return np.maximum(n - cut, 0.0), cut
 
+    def shares(n: np.ndarray, d: tuple[float, float, float], first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each gram has of its own, and of each context (its grams begin at first) the share of the shorter one; last, what unseen ones have."""
+        own, cut = discounted(n, d)
+        alls, cuts = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, cut))
+        return np.append(own / alls[of], 0.0), np.append(cuts / alls, 1.0)
+
     def answer(questions: pa.Table, rows: pa.Table) -> pa.Table:
         """For each question x and y: of a word its probability, of others what is theirs, and the share of the shorter context."""
         held = {k.as_py(): (b, s) for k, b, s in zip(rows["kind"], rows["body"], rows["stats"])}
@@ -499,9 +508,9 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         # All tables are sorted by places in words, which two words' bits keep apart.
         word = Lookup(words)
         new = steps(v, u)
-        first = np.flatnonzero(new)
-        contexts, threes = v[first] << 31 | u[first], (np.cumsum(new) - 1) << 31 | w
-        all_c, cut_c = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, discounted(n, d3)[1]))
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        contexts, threes = v[first] << 31 | u[first], of << 31 | w
+        share_c, rest_c = shares(n, d3, first, of)
         own = ~np.isin(words, hubs)[v]
         twos = np.sort(v[own] << 31 | w[own])
         at = np.flatnonzero(steps(twos))
@@ -509,21 +518,16 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         twos = twos[at]
         begins = words[twos >> 31] == START
         bn[begins] = n[np.flatnonzero(own & (words == START)[v])]
-        at = np.flatnonzero(steps(twos >> 31))
-        middles = twos[at] >> 31
-        all_v, cut_v = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (bn, discounted(bn, d2)[1]))
+        new = steps(twos >> 31)
+        first = np.flatnonzero(new)
+        middles = twos[first] >> 31
+        share_v, rest_v = shares(bn, d2, first, np.cumsum(new) - 1)
         hw, hv, _, hx, hn = decoded(held[2][0].as_buffer()) if 2 in held else (nothing,) * 5
-        hub_twos = Lookup(hashed(hw[hv], hw[hx]))
+        hub_twos, hub_own = Lookup(hashed(hw[hv], hw[hx])), np.append(discounted(hn, d2)[0], 0.0)
         known = unsqueezed(held[1][0].as_buffer(), np.int64, True) if 1 in held else nothing
         one, _ = discounted(np.array(held[1][1].as_py() if 1 in held else [], np.int64), d1)
         singles = Lookup(known)
 
-        def shares(n: np.ndarray, d: tuple[float, float, float], at: np.ndarray, alls: np.ndarray, cuts: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """What a gram has of its own, and the share of its shorter context; at, c: its places, or -1."""
-            alls, cuts = np.append(alls, 1.0), np.append(cuts, 1.0)
-            top = np.where(at < 0, 0.0, discounted(n[at], d)[0]) if len(n) else np.zeros(len(at))
-            return top / alls[c], cuts[c] / alls[c]
-
         out: dict[str, list] = {"block": [], "shard": [], "kind": [], "x": [], "y": []}
         for block, shard, kind, body in zip(*(questions[c] for c in ("block", "shard", "kind", "body"))):
             if kind.as_py() == 1:
@@ -532,16 +536,19 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
             else:
                 qw, qv, qu, qx, _ = decoded(body.as_buffer())
                 if kind.as_py() == 2:
-                    alls, cuts = (np.array([after.get(int(i), (1.0, 1.0))[k] for i in qw]) for k in (0, 1))
-                    x, y = shares(hn, d2, hub_twos(hashed(qw[qv], qw[qx])), alls, cuts, qv)
+                    some, back = np.unique(qv, return_inverse=True)
+                    alls, cuts = (np.array([after.get(int(i), (1.0, 1.0))[k] for i in qw[some]])[back] for k in (0, 1))
+                    x, y = hub_own[hub_twos(hashed(qw[qv], qw[qx]))] / alls, cuts / alls
                 else:
-                    places = word(qw)
-                    a, b, c = (places[i] for i in (qu, qv, qx))  # -1 makes a key that no table has
-                    context = place(contexts, b << 31 | a)
-                    x, y = shares(n, d3, place(threes, context << 31 | c), all_c, cut_c, context)
-                    x2, y2 = shares(bn, d2, place(twos, b << 31 | c), all_v, cut_v, place(middles, b))
-                    hub = np.isin(qw, hubs)[qv]
-                    x, y = np.where(hub, x, x + y * x2), np.where(hub, y, y * y2)
+                    places = word(qw)  # -1 makes a key that no table has
+                    c = places[qx]
+                    new_v, new_u = steps(qv), steps(qv, qu)  # each context is looked up once
+                    first = np.flatnonzero(new_u)
+                    context = place(contexts, places[qv[first]] << 31 | places[qu[first]])[np.cumsum(new_u) - 1]
+                    middle = place(middles, places[qv[np.flatnonzero(new_v)]])[np.cumsum(new_v) - 1]
+                    x3, x2 = (share[among(table, i, c)] for share, table, i in ((share_c, threes, context), (share_v, twos, np.append(middles, -1)[middle])))
+                    y3 = rest_c[context]
+                    x, y = x3 + y3 * x2, y3 * rest_v[middle]  # a hub's own bigrams aren't in this table: it adds nothing
             for name, value in (("block", block.as_py()), ("shard", shard.as_py() % shards), ("kind", kind.as_py()), ("x", squeezed(x.astype(np.float32))), ("y", squeezed(y.astype(np.float32)) if len(y) else b"")):
                 out[name].append(value)
         return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.int32()) for c in ("shard", "kind")}, **{c: pa.array(out[c], pa.binary()) for c in ("x", "y")}})
@@ -587,6 +594,14 @@ def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def among(table: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where grams of a context and a word are in a table, or -1; only those of known contexts and words are looked for."""
+    at = np.full(len(word), -1)
+    some = np.flatnonzero((context >= 0) & (word >= 0))
+    at[some] = place(table, context[some] << 31 | word[some])
+    return at
+
+
 class Lookup:
     """Where keys are in a table of distinct ones, in any order, or -1."""
 

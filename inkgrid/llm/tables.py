@@ -40,6 +40,13 @@ def stored_once(df: DataFrame, by: str | None = None) -> DataFrame:
         conf.set(name, before) if before is not None else conf.unset(name)
 
 
+def bucketed(df: DataFrame, by: str, n: int) -> tuple[DataFrame, str]:
+    """df, written to the shared folder in n buckets by a column, so that groups and joins by it move none of its rows, and the table's name."""
+    spark, name = df.sparkSession, f"t{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
 def forget(df: DataFrame, but: str | None = None) -> None:
     """Removes what `stored` wrote for df, but for folders of that name."""
     folders = {x.rsplit("/", 1)[0] for x in df.inputFiles()}

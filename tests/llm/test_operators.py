@@ -692,6 +692,24 @@ def test_kneser_ney_hashes_as_spark_does(spark):
     assert got == list(zip(kneser_ney.hashed(u).tolist(), kneser_ney.hashed(u, v).tolist(), kneser_ney.hashed(u, v, w).tolist()))
 
 
+def test_slices_do_not_move_the_model_again(spark):
+    """The model's table is read in the buckets it was stored in, gives the same answers, and is gone when it isn't needed."""
+    texts = spark.createDataFrame([(f"a b c{i % 7} d e{i}",) for i in range(200)], "text string")
+    model = kneser_ney.Model(texts, whole=True)
+    grouped = model.table.groupBy("shard").applyInArrow(lambda t: t.select(["shard"]), "shard int")
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert grouped.distinct().count() == model.shards
+    model.forget()
+    assert not spark.catalog.tableExists(model.name)
+
+
+def test_grams_are_looked_for_among_known_contexts():
+    table = np.array([0 << 31 | 3, 0 << 31 | 5, 2 << 31 | 0])
+    context, word = np.array([0, 0, -1, 2, 2, 0]), np.array([5, 4, 5, 0, -1, 3])
+    assert kneser_ney.among(table, context, word).tolist() == [1, -1, -1, 2, -1, 0]
+    assert kneser_ney.among(table[:0], context, word).tolist() == [-1] * 6
+
+
 # ------------------------------------------------------------ 10
 
 
