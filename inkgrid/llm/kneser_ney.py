@@ -7,7 +7,8 @@ and probabilities back in the same order, and adds them up by document.  Texts a
 what a slice shuffled and stored goes before the next, so disk holds the counts and the messages of one slice.
 Sent to all are the hubs (fewer than HUBS words, with two numbers each) and a few numbers.
 
-Words are 64-bit hashes, so their number has no bound.
+Words are 64-bit hashes, so their number has no bound.  Blocks and shards number theirs in the order of the hashes, so that
+questions come in the order of the tables they are looked for in.
 `Model` may also be fitted on a bounded sample: texts in the order of their hashes, as long as all
 their words are at most MOST.
 
@@ -24,7 +25,7 @@ block of its own; null ids are never trusted; an empty table gives an empty one;
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ MOST = (1 << 21) - FIRST
 #: A word outside the vocabulary is one of so many: else text of unknown words alone would look likely.
 OTHER_WORDS = 100_000
 QUANTILE, SLACK = 0.99, 1.25
-#: Tokens that are looked up at once inside a task.
-STEP = 1 << 19
+#: Bytes of text that are hashed at once, few enough for a processor's cache (one document at least).
+HASHED = 1 << 18
 #: Bytes of text in a block, about twice the bytes that are stored.
 TEXTS = 32 << 20
 #: Of this prime's remainders the shards are made; trigrams of the model in a shard, roughly, the shards (so the messages of a
@@ -52,6 +53,8 @@ TEXTS = 32 << 20
 PRIME, ROWS, SHARDS, FEW, ANSWERED = 1_000_003, 1 << 20, 4096, 8, 64
 #: Slices of the texts that are scored, or counted, one after the other, and bytes of text that one has at least.
 SLICES, TAUGHT, SLICE = 8, 4, 1 << 23
+#: The counts of so many halves, thirds, ... of the shards are shuffled one after the other, since this is what fills disks most.
+GOES = 2
 #: Buckets for each shard of the model's table, so that few hold two shards.
 DEALT = 4
 #: Blocks of a slice, at least: few, since a word is sent once for each block and shard.
@@ -60,27 +63,20 @@ BLOCKS = 12
 GATHERED, HUBS = 1 << 22, 256
 
 
-def encoded(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of the words of each row, and the end."""
-    for a, b in chunks(offsets):
+def encoded(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of some rows, with the end after each row's, and how many each row has."""
+    for a, b in chunks(offsets, HASHED):
         words, _, _, before = words_of(data, offsets[a : b + 1], lower=True)
-        words = words.view(np.int64)
-        for i, j in zip(before[:-1], before[1:]):
-            yield np.append(words[i:j], np.int64(STOP))
+        yield np.insert(words.view(np.int64), before[1:], STOP), np.diff(before) + 1
 
 
-def grams(rows: list[np.ndarray], start: int = START) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The three words of all tokens, STEP at once, and the document of each."""
-    size = np.array([len(x) for x in rows], np.int64)
-    first = np.concatenate(([0], np.cumsum(size)))
-    w = np.concatenate([np.zeros(2, np.int64), *rows])  # places are shifted by two
-    new = np.zeros(len(w), bool)
-    new[first[:-1] + 2] = True
-    for a in range(2, len(w), STEP):
-        b = min(a + STEP, len(w))
-        v = np.where(new[a:b], start, w[a - 1 : b - 1])
-        u = np.where(new[a:b] | new[a - 1 : b - 1], start, w[a - 2 : b - 2])
-        yield u, v, w[a:b], np.searchsorted(first, np.arange(a - 2, b - 2), "right") - 1
+def grams(w: np.ndarray, size: np.ndarray, start: int = START) -> tuple[np.ndarray, np.ndarray]:
+    """The second and the first word before each token of texts of these sizes."""
+    first = np.cumsum(size) - size
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    v[first] = u[first] = u[(first + 1)[size > 1]] = start
+    return u, v
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -120,16 +116,23 @@ def within(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("draw") < int(new["draw"][int(over[0])].as_py())) if len(over) else texts
 
 
-def distinct(rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """The words of the rows, frequent ones first, and their distinct trigrams, as places in these, sorted by v, u and w: words, v, u, w, n, and which of them each token ends."""
-    words, at, n = np.unique(np.concatenate([*rows, np.array([START], np.int64)]), return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    at = rank[at]
-    places = np.split(at[:-1], np.cumsum([len(x) for x in rows])[:-1])
-    u, v, w = (np.concatenate(x) for x in zip(*[g[:3] for g in grams(places, at[-1])]))
-    return words[order], *summed(len(words), v, u, w)
+def vocabulary(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of tokens, as they come up, and which of them each is."""
+    out = pa.array(tokens).dictionary_encode()
+    return out.dictionary.to_numpy(), out.indices.to_numpy()
+
+
+#: Words of some texts, which of them each token is, and how many tokens each text has.
+Texts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def distinct(texts: list[Texts], back: bool = False) -> tuple[np.ndarray, ...]:
+    """The words of the texts, sorted, and their distinct trigrams, as places in these, sorted by v, u and w: words, v, u, w, n, and (if asked for) which of them each token ends."""
+    words, at = np.unique(np.concatenate([*(t[0] for t in texts), np.array([START], np.int64)]), return_inverse=True)
+    places = np.split(at[:-1], np.cumsum([len(t[0]) for t in texts])[:-1])
+    w = np.concatenate([p[t[1]] for p, t in zip(places, texts)])
+    u, v = grams(w, np.concatenate([t[2] for t in texts]), at[-1])
+    return words, *summed(len(words), v, u, w, back=back)
 
 
 def steps(*columns: np.ndarray) -> np.ndarray:
@@ -141,37 +144,50 @@ def steps(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(kinds: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct rows of numbers less than kinds, sorted by v, u and w, with the sums of n (or how many they are), and which of them each row is."""
+def summed(kinds: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray | None = None, back: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct rows of numbers less than kinds, sorted by v, u and w, with the sums of n (or how many they are), and (if asked for) which of them each row is."""
+    order = None
     if kinds <= 1 << 21:
-        order = np.argsort(v << 42 | u << 21 | w)  # not the stable way, which is slower: equal rows are one
+        key = v << 42 | u << 21 | w
+        if n is None and not back:
+            key.sort()
+        else:
+            order = np.argsort(key)  # not the stable way, which is slower: equal rows are one
+            key = key[order]
+        new = steps(key)
+        key = key[new]
+        v, u, w = key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1
     else:
         order = np.lexsort((w, u, v))
-    v, u, w = v[order], u[order], w[order]
-    new = steps(v, u, w)
-    back = np.empty(len(v), np.int64)
-    back[order] = np.cumsum(new) - 1
-    new = np.flatnonzero(new)
+        v, u, w = v[order], u[order], w[order]
+        new = steps(v, u, w)
+        v, u, w = v[new], u[new], w[new]
+    first = np.flatnonzero(new)
     if n is None:
-        n = np.diff(np.append(new, len(v)))
+        n = np.diff(np.append(first, len(new)))
     else:
-        n = np.add.reduceat(n[order], new) if len(new) else n
-    return v[new], u[new], w[new], n, back
+        n = np.add.reduceat(n[order], first) if len(first) else n
+    if not back:
+        return v, u, w, n
+    which = np.empty(len(new), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return v, u, w, n, which
 
 
 _PARTS = struct.Struct("<5Q")
 
 
 def coded(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Rows sorted by v, u and w (places in words), by their steps, with the words they have."""
+    """Rows sorted by v, u and w (places in sorted words), v and u by their steps, with the words they have."""
     used = np.zeros(len(words), bool)
     for x in (v, u, w):
         used[x] = True
-    place = np.cumsum(used) - 1
+    used = np.flatnonzero(used)
+    place = np.empty(len(words), np.int64)
+    place[used] = np.arange(len(used))
     v, u, w = place[v], place[u], place[w]
-    new_v, new_u = steps(v), steps(v, u)
-    numbers = np.diff(v, prepend=0), np.where(new_v, u, np.diff(u, prepend=0)), np.where(new_u, w, np.diff(w, prepend=0))
-    bodies = [squeezed(words[used]), *(squeezed(x.astype(np.uint32)) for x in (*numbers, n))]
+    numbers = np.diff(v, prepend=0), np.where(steps(v), u, np.diff(u, prepend=0)), w, n
+    bodies = [squeezed(words[used], True), *(squeezed(x.astype(np.uint32)) for x in numbers)]
     return b"".join([_PARTS.pack(*map(len, bodies)), *bodies])
 
 
@@ -179,29 +195,24 @@ def decoded(body: pa.Buffer) -> tuple[np.ndarray, ...]:
     """words, v, u, w, n of what was coded."""
     body = memoryview(body)
     ends = np.cumsum([_PARTS.size, *_PARTS.unpack(body[: _PARTS.size])])
-    words, v, u, w, n = (unsqueezed(body[a:b], kind) for a, b, kind in zip(ends[:-1], ends[1:], (np.int64, *[np.uint32] * 4)))
-
-    def runs(x: np.ndarray, new: np.ndarray) -> np.ndarray:
-        sums, first = np.cumsum(x, dtype=np.int64), np.flatnonzero(new)
-        return sums - np.repeat(sums[first] - x[first], np.diff(np.append(first, len(x))))
-
-    new_v = v != 0
-    new_v[:1] = True
-    new_u = new_v | (u != 0)
-    return words, np.cumsum(v, dtype=np.int64), runs(u, new_v), runs(w, new_u), n.astype(np.int64)
+    words = unsqueezed(body[ends[0] : ends[1]], np.int64, True)
+    v, u, w, n = (unsqueezed(body[a:b], np.uint32) for a, b in zip(ends[1:-1], ends[2:]))
+    new = v != 0
+    new[:1] = True
+    first = np.flatnonzero(new)
+    sums = np.cumsum(u, dtype=np.int64)
+    sums -= np.repeat(sums[first] - u[first], np.diff(np.append(first, len(u))))
+    return words, np.cumsum(v, dtype=np.int64), sums, w.astype(np.int64), n.astype(np.int64)
 
 
 def together(bodies: pa.ChunkedArray, pairs: bool = False) -> tuple[np.ndarray, ...]:
     """The sums of several coded tables, of pairs v and w or of all three: words, v, u, w, n."""
     tables = [decoded(x.as_buffer()) for x in bodies]
-    words, at, n = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    places = np.split(rank[at], np.cumsum([len(t[0]) for t in tables])[:-1])
+    words, at = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
+    places = np.split(at, np.cumsum([len(t[0]) for t in tables])[:-1])
     v, u, w = (np.concatenate([p[t[i]] for p, t in zip(places, tables)]) for i in (1, 2, 3))
     u = u * 0 if pairs else u
-    return words[order], *summed(len(words), v, u, w, np.concatenate([t[4] for t in tables]))[:4]
+    return words, *summed(len(words), v, u, w, np.concatenate([t[4] for t in tables]))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -227,16 +238,15 @@ def dealt(words: np.ndarray, v: np.ndarray, u: np.ndarray, hubs: np.ndarray, sha
 class Questions:
     """What a block of texts asks: its distinct trigrams, its bigrams of hubs and its words, each of one shard."""
 
-    def __init__(self, rows: list[np.ndarray], hubs: np.ndarray, shards: int):
-        self.words, self.v, self.u, self.w, _, self.back = distinct(rows)
+    def __init__(self, texts: list[Texts], hubs: np.ndarray, shards: int, back: bool = False):
+        self.words, self.v, self.u, self.w, _, *self.back = distinct(texts, back)
         words, v, w = self.words, self.v, self.w
         self.hub = np.flatnonzero(np.isin(words, hubs)[v])
         none = np.zeros(len(self.hub), np.int64)
-        self.bv, _, self.bw, _, self.pair = summed(len(words), v[self.hub], none, w[self.hub])
+        self.bv, _, self.bw, _, self.pair = summed(len(words), v[self.hub], none, w[self.hub], back=True)
         self.of = {(3, s): at for s, at in dealt(words, v, self.u, hubs, shards)}
         self.of |= {(2, s): at for s, at in grouped(shard_of(hashed(words[self.bv], words[self.bw]), shards))}
-        order = np.argsort(words)
-        self.of |= {(1, s): order[at] for s, at in grouped(shard_of(hashed(words[order]), shards))}
+        self.of |= {(1, s): at for s, at in grouped(shard_of(hashed(words), shards))}
 
     def bodies(self) -> Iterator[bytes]:
         for (kind, _), at in self.of.items():
@@ -259,8 +269,6 @@ def kinds_table(rows: list[tuple[int, int, bytes, list[int]]]) -> pa.Table:
 
 
 def word_rows(words: np.ndarray, n: np.ndarray, shards: int) -> list[tuple[int, int, bytes, list[int]]]:
-    order = np.argsort(words)
-    words, n = words[order], n[order]
     return [(s, 1, squeezed(words[at], True), n[at].tolist()) for s, at in grouped(shard_of(hashed(words), shards))]
 
 
@@ -283,11 +291,11 @@ class Model:
         slices = slices if whole else [within(x) for x in slices]
 
         def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows: list[np.ndarray] = []
+            texts: list[Texts] = []
 
             def counted() -> pa.RecordBatch:
-                words, v, u, w, n, _ = distinct(rows)
-                rows.clear()
+                words, v, u, w, n = distinct(texts)
+                texts.clear()
                 middle = np.bincount(v, n, len(words)).astype(np.int64)
                 top = np.flatnonzero(middle * HUBS > middle.sum())  # a hub of all texts is one of some part of them
                 tops = squeezed(words[top]), squeezed(middle[top])
@@ -295,13 +303,13 @@ class Model:
 
             held = 0
             for batch in batches:
-                for row in encoded(*utf8(batch.column(0))):
-                    rows.append(row)
-                    held += len(row)
+                for tokens, size in encoded(*utf8(batch.column(0))):
+                    texts.append((*vocabulary(tokens), size))
+                    held += len(tokens)
                     if held >= GATHERED:
                         yield counted()
                         held = 0
-            if rows:
+            if texts:
                 yield counted()
 
         parts = [stored_once(x.mapInArrow(count_grams, "all long, kinds long, top binary, of binary, body binary")) for x in slices]
@@ -319,12 +327,15 @@ class Model:
         often = chunks_.select("top", "of").mapInArrow(tops, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
         self.hubs = hubs = np.array(sorted(r[0] for r in often.filter(F.col("n") * HUBS > (tokens or 0)).collect()), np.int64)  # fewer than HUBS
 
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for body in batch.column(0):
-                    words, v, u, w, n = decoded(body.as_buffer())
-                    rows = [(s, coded(words, v[at], u[at], w[at], n[at])) for s, at in dealt(words, v, u, hubs, shards)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "body"])
+        def dealing(go: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for body in batch.column(0):
+                        words, v, u, w, n = decoded(body.as_buffer())
+                        rows = [(s, coded(words, v[at], u[at], w[at], n[at])) for s, at in dealt(words, v, u, hubs, shards) if s % GOES == go]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "body"])
+
+            return deal
 
         def merge(table: pa.Table) -> pa.Table:
             shard = table["shard"][0].as_py()
@@ -362,7 +373,11 @@ class Model:
             n = np.bincount(at, n, len(words)).astype(np.int64)
             return kinds_table([(table["shard"][0].as_py(), 1, squeezed(words, True), n.tolist())])
 
-        three = stored_once(chunks_.select("body").mapInArrow(deal, "shard int, body binary").groupBy("shard").applyInArrow(merge, KINDS), "kind")
+        goes = [chunks_.select("body").mapInArrow(dealing(go), "shard int, body binary") for go in range(GOES)]
+        merged = [stored_once(go.groupBy("shard").applyInArrow(merge, KINDS), "kind") for go in goes]
+        three = merged[0]
+        for x in merged[1:]:
+            three = three.unionByName(x)
         for x in parts:
             forget(x)
         two = stored_once(three.filter("kind = 2").select("shard", "body").groupBy("shard").applyInArrow(merge_hubs, KINDS), "kind")
@@ -461,26 +476,25 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
 
     def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = list(encoded(*utf8(batch.column(len(kept)))))
-        words, local = np.unique(np.concatenate(rows), return_inverse=True)  # the batch's own vocabulary, and places in it
-        local = np.split(local.astype(np.uint32), np.cumsum([len(x) for x in rows])[:-1])
-        planes = [pa.array([(x >> np.uint32(shift)).astype(np.uint8).tobytes() for x in local], pa.binary()) for shift in (0, 8, 16, 24)]  # the high bytes compress well
+        tokens, size = (np.concatenate(x) for x in zip(*encoded(*utf8(batch.column(len(kept))))))
+        words, local = vocabulary(tokens)  # the batch's own, and places in it
+        ends = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32))
+        planes = [pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer((local >> shift).astype(np.uint8))]) for shift in (0, 8, 16, 24)]  # the high bytes compress well
         known = pa.array([words.tobytes(), *[b""] * (batch.num_rows - 1)], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *planes, known], names=[*map(str, range(len(kept))), "b0", "b1", "b2", "b3", "words"])
 
     # About half of the words' bytes are stored.
     blocks = packed(docs.select(*kept, F.coalesce(F.col(text), F.lit(""))), convert, -(-size // 2), -(-TEXTS // 2), BLOCKS)
 
-    def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    def texts_of(batch: pa.RecordBatch) -> Texts:
         planes = [np.frombuffer(batch[f"b{i}"].buffers()[2], np.uint8).astype(np.uint32) << np.uint32(8 * i) for i in range(4)]
-        at = np.frombuffer(batch["b0"].buffers()[1], np.int32)[: batch.num_rows + 1]
-        w = np.frombuffer(batch["words"][0].as_buffer(), np.int64)[planes[0] | planes[1] | planes[2] | planes[3]]
-        return [w[a:b] for a, b in zip(at[:-1], at[1:])]
+        ends = np.frombuffer(batch["b0"].buffers()[1], np.int32)[: batch.num_rows + 1]
+        return np.frombuffer(batch["words"][0].as_buffer(), np.int64), (planes[0] | planes[1] | planes[2] | planes[3])[: ends[-1]], np.diff(ends)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column(0), batch.column(1)):
-                asked = Questions([row for part in opened([body]) for row in rows_of(part)], hubs, shards)
+                asked = Questions([texts_of(part) for part in opened([body])], hubs, shards)
                 copy = int(mixed(np.array([block.as_py()], np.uint64))[0] % np.uint64(copies))
                 kinds = [k for k, _ in asked.of]
                 yield pa.RecordBatch.from_arrays(
@@ -505,8 +519,8 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         held = {k.as_py(): (b, s) for k, b, s in zip(rows["kind"], rows["body"], rows["stats"])}
         nothing = np.zeros(0, np.int64)
         words, v, u, w, n = decoded(held[3][0].as_buffer()) if 3 in held else (nothing,) * 5
-        # All tables are sorted by places in words, which two words' bits keep apart.
-        word = Lookup(words)
+        # All tables are sorted by places in words, which two words' bits keep apart; words are sorted too, as those of questions
+        # are, so that what is looked for one after the other is near.
         new = steps(v, u)
         first, of = np.flatnonzero(new), np.cumsum(new) - 1
         contexts, threes = v[first] << 31 | u[first], of << 31 | w
@@ -523,24 +537,24 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         middles = twos[first] >> 31
         share_v, rest_v = shares(bn, d2, first, np.cumsum(new) - 1)
         hw, hv, _, hx, hn = decoded(held[2][0].as_buffer()) if 2 in held else (nothing,) * 5
-        hub_twos, hub_own = Lookup(hashed(hw[hv], hw[hx])), np.append(discounted(hn, d2)[0], 0.0)
+        hub_twos, hub_own = hv << 31 | hx, np.append(discounted(hn, d2)[0], 0.0)
         known = unsqueezed(held[1][0].as_buffer(), np.int64, True) if 1 in held else nothing
         one, _ = discounted(np.array(held[1][1].as_py() if 1 in held else [], np.int64), d1)
-        singles = Lookup(known)
 
         out: dict[str, list] = {"block": [], "shard": [], "kind": [], "x": [], "y": []}
         for block, shard, kind, body in zip(*(questions[c] for c in ("block", "shard", "kind", "body"))):
             if kind.as_py() == 1:
-                at = singles(unsqueezed(body.as_buffer(), np.int64, True))
+                at = place(known, unsqueezed(body.as_buffer(), np.int64, True))
                 x, y = np.where(at < 0, np.nan, np.append(one, 0.0)[at] / (total or 1) + base), np.zeros(0)
             else:
                 qw, qv, qu, qx, _ = decoded(body.as_buffer())
                 if kind.as_py() == 2:
                     some, back = np.unique(qv, return_inverse=True)
                     alls, cuts = (np.array([after.get(int(i), (1.0, 1.0))[k] for i in qw[some]])[back] for k in (0, 1))
-                    x, y = hub_own[hub_twos(hashed(qw[qv], qw[qx]))] / alls, cuts / alls
+                    places = place(hw, qw)
+                    x, y = hub_own[among(hub_twos, places[qv], places[qx])] / alls, cuts / alls
                 else:
-                    places = word(qw)  # -1 makes a key that no table has
+                    places = place(words, qw)  # -1 makes a key that no table has
                     c = places[qx]
                     new_v, new_u = steps(qv), steps(qv, qu)  # each context is looked up once
                     first = np.flatnonzero(new_u)
@@ -560,8 +574,8 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
         parts = list(opened(texts["body"]))
-        rows = [row for part in parts for row in rows_of(part)]
-        q = Questions(rows, hubs, shards)
+        rows = [texts_of(part) for part in parts]
+        q = Questions(rows, hubs, shards, back=True)
         found = {k: np.full((2, n), np.nan) for k, n in ((1, len(q.words)), (2, len(q.bv)), (3, len(q.v)))}
         for kind, shard, x, y in zip(*(values[c] for c in ("kind", "shard", "x", "y"))):
             at = q.of[kind.as_py(), shard.as_py()]
@@ -574,8 +588,8 @@ def _scored(docs: DataFrame, size: int, model: Model, key: str, text: str, carry
         x, y = found[2][:, q.pair]
         short[q.hub] = x + y * short[q.hub]
         logs = np.log10(found[3][0] + found[3][1] * short) - np.where((unknown & (q.words != STOP))[q.w], np.log10(OTHER_WORDS), 0.0)
-        size = np.array([len(row) for row in rows], np.int64)
-        total = np.bincount(np.repeat(np.arange(len(rows)), size), logs[q.back], len(rows))
+        size = np.concatenate([r[2] for r in rows]).astype(np.int64)
+        total = np.bincount(np.repeat(np.arange(len(size)), size), logs[q.back[0]], len(size))
         columns = [pa.chunked_array([part.column(i) for part in parts]) for i in range(len(kept))]
         return pa.table({str(i): x for i, x in enumerate([*columns, pa.array(size), pa.array(total)])})
 
@@ -602,17 +616,6 @@ def among(table: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarra
     return at
 
 
-class Lookup:
-    """Where keys are in a table of distinct ones, in any order, or -1."""
-
-    def __init__(self, keys: np.ndarray):
-        self.order = np.append(np.argsort(keys), -1)
-        self.keys = keys[self.order[:-1]]
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return self.order[place(self.keys, keys)]
-
-
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_tokens, log10_probability, perplexity, threshold and kept for docs (doc_id, text, lang); labels: doc_id, quality."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")

@@ -15,6 +15,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -703,6 +704,58 @@ def test_slices_do_not_move_the_model_again(spark):
     assert not spark.catalog.tableExists(model.name)
 
 
+def test_questions_and_tables_are_in_the_order_of_word_hashes():
+    """So what is looked for one after the other is near, and hashes are sent by their steps."""
+    rng = np.random.default_rng(5)
+    rows = [np.append(rng.integers(3, 40, k) * -(1 << 57) + rng.integers(0, 3, k), kneser_ney.STOP) for k in (0, 1, 2, 3, 200, 0, 1)]
+    texts = [(*kneser_ney.vocabulary(np.concatenate(part)), np.array([len(r) for r in part])) for part in (rows[:4], rows[4:])]
+    each = [g for r in rows for g in zip([kneser_ney.START] * 2 + r.tolist(), [kneser_ney.START] + r.tolist(), r.tolist())]
+    words, v, u, w, n, back = kneser_ney.distinct(texts, back=True)
+    assert (np.diff(words) > 0).all() and list(zip(v, u, w)) == sorted(set(zip(v, u, w)))
+    assert [tuple(words[x[i]].item() for x in (u, v, w)) for i in back] == each
+    assert dict(zip(zip(*(words[x].tolist() for x in (u, v, w))), n.tolist())) == collections.Counter(each)
+    assert all((x == y).all() for x, y in zip(kneser_ney.distinct(texts)[1:], (v, u, w, n)))
+    body = pa.py_buffer(kneser_ney.coded(words, v, u, w, n))
+    used, *numbers = kneser_ney.decoded(body)
+    assert (np.diff(used) > 0).all() and all((used[x] == words[y]).all() for x, y in zip(numbers, (v, u, w))) and (numbers[3] == n).all()
+    asked = kneser_ney.Questions(texts, words[3:5], 4)
+    for (kind, _), at in asked.of.items():
+        keys = words[at] if kind == 1 else asked.bv[at] << 31 | asked.bw[at] if kind == 2 else asked.v[at] << 42 | asked.u[at] << 21 | asked.w[at]
+        assert (np.diff(keys) > 0).all()
+    both = kneser_ney.together(pa.chunked_array([[body.to_pybytes()] * 2]))
+    assert (both[0] == used).all() and (both[4] == 2 * n).all()
+
+
+def test_counts_are_shuffled_for_some_shards_at_a_time(spark, monkeypatch):
+    """However many goes the shards are dealt in, each has its trigrams once, and what is shuffled at once is for some of the shards."""
+    texts = spark.createDataFrame([(f"a b c{i % 7} d e{i} f{i % 31}",) for i in range(400)], "text string")
+    tables, shuffled = [], []
+    keep = kneser_ney.stored_once
+
+    def watched(df, by=None):
+        out = keep(df, by)
+        if by:
+            shuffled.append({r[0] for r in out.filter("kind = 3").select("shard").collect()})
+        return out
+
+    monkeypatch.setattr(kneser_ney, "stored_once", watched)
+    for goes in (1, 2, 3):
+        shuffled.clear()
+        monkeypatch.setattr(kneser_ney, "GOES", goes)
+        model = kneser_ney.Model(texts, whole=True)
+        tables.append(sorted((r["shard"], r["kind"], bytes(r["body"]), r["stats"]) for r in model.table.collect()))
+        model.forget()
+        some = [x for x in shuffled if x]
+        assert len(some) == goes and sum(map(len, some)) == len(set().union(*some)) == model.shards
+    assert tables[0] == tables[1] == tables[2]
+
+
+def test_numbers_of_four_bytes_come_back():
+    for x in (np.array([0, 1, 255, 256, 65_537, (1 << 32) - 1], np.uint32), np.array([0.1, np.nan, -np.inf, 3e38], np.float32), np.zeros(0, np.float32)):
+        got = blocks.unsqueezed(blocks.squeezed(x), x.dtype.type)
+        assert got.dtype == x.dtype and got.tobytes() == x.tobytes()
+
+
 def test_grams_are_looked_for_among_known_contexts():
     table = np.array([0 << 31 | 3, 0 << 31 | 5, 2 << 31 | 0])
     context, word = np.array([0, 0, -1, 2, 2, 0]), np.array([5, 4, 5, 0, -1, 3])
