@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.boxes import intersection_over_union
@@ -17,6 +19,7 @@ from ..functions.translit import plain
 from ..sources.storage import materialise
 from .graph import components
 from .grid import box_of, meetings
+from .pagewise import whole_pages
 from .stitch import whole_runs
 
 def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -146,9 +149,69 @@ def mean_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:
     return batches.agg(F.avg(loss).alias("mean_loss"))
 
 
-def collisions(boxes: DataFrame) -> DataFrame:
-    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid."""
-    slim = boxes.select("page_id", "box_id", "y1", "x1", "y2", "x2")
-    both = meetings(slim, None, ["page_id"]).filter("l.box_id < r.box_id").select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
-    out = boxes.filter("y1 < 0 or x1 < 0 or y2 > n_rows or x2 > n_cols").select("page_id", F.col("box_id").alias("a"), F.lit(None).cast(boxes.schema["box_id"].dataType).alias("b"))
-    return both.unionByName(out)
+def overlapping(page: np.ndarray, box: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of boxes (y1, x1, y2, x2) of one page that share area, each pair once, in chunks.
+
+    Boxes are put in order by one side; those that may meet a box begin before it ends.  The side that leaves fewer candidates is taken.
+    """
+    found = []
+    for a, b in ((0, 2), (1, 3)):
+        low, high = box[:, a], box[:, b]
+        order = np.lexsort((low, page))
+        places, of = np.unique(low, return_inverse=True)
+        until = np.searchsorted(places, high)  # the first place that the box doesn't reach
+        wide = len(places) + 1
+        ends = np.searchsorted(page[order] * wide + of[order], page[order] * wide + until[order])
+        found.append((order, np.maximum(ends - np.arange(len(order)) - 1, 0)))
+    order, n = min(found, key=lambda f: f[1].sum())
+    at = np.concatenate(([0], np.cumsum(n)))
+    first = 0
+    while first < len(order):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + chunk, "right")) - 1)
+        k = n[first:last]
+        i = np.repeat(np.arange(first, last), k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(at[first:last] - at[first], k)
+        i, j = order[i], order[j]
+        y1, x1, y2, x2 = box.T
+        met = (x1[i] < x2[j]) & (x1[j] < x2[i]) & (y1[i] < y2[j]) & (y1[j] < y2[i])
+        yield i[met], j[met]
+        first = last
+
+
+_WHOLE = {"byte", "short", "integer", "long"}
+
+
+def collisions(boxes: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """page_id, a and b for boxes (page_id, box_id, y1, x1, y2, x2, n_rows, n_cols) of a page that overlap; b is null for one that leaves its grid.
+
+    bounds (page_id, n): as whole_pages has it.
+    """
+    kind = {f.name: f.dataType for f in boxes.schema.fields}
+    slim = boxes.select("page_id", "box_id", "y1", "x1", "y2", "x2", F.coalesce(F.expr("y1 < 0 or x1 < 0 or y2 > n_rows or x2 > n_cols"), F.lit(False)).cast("byte").alias("out"))
+    schema = T.StructType([T.StructField("page_id", kind["page_id"]), T.StructField("a", kind["box_id"]), T.StructField("b", kind["box_id"])])
+
+    def spread(some: DataFrame) -> DataFrame:
+        both = meetings(some, None, ["page_id"]).filter("l.box_id < r.box_id").select("l.page_id", F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"))
+        return both.unionByName(some.filter("out = 1").select("page_id", F.col("box_id").alias("a"), F.lit(None).cast(kind["box_id"]).alias("b")))
+
+    if any(kind[c].typeName() not in _WHOLE for c in ("box_id", "y1", "x1", "y2", "x2")):
+        return spread(slim)
+
+    def work(ids: pa.Array, tables: list[pa.Table], edges: list[np.ndarray]) -> pa.Table:
+        t, page = tables[0], np.repeat(np.arange(len(ids)), np.diff(edges[0]))
+        name = t.column("box_id").combine_chunks()
+        box = np.stack([t.column(c).to_numpy().astype(float) for c in ("y1", "x1", "y2", "x2")], axis=1)
+        sure = ids.is_valid().to_numpy(zero_copy_only=False)[page] & name.is_valid().to_numpy(zero_copy_only=False) & ~np.isnan(box).any(axis=1)
+        rows, number = np.flatnonzero(sure), name.fill_null(0).to_numpy()
+        parts = []
+        for i, j in overlapping(page[rows], box[rows]):
+            i, j = rows[i], rows[j]
+            turned = number[i] > number[j]
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            some = number[i] < number[j]
+            parts.append(pa.table([ids.take(pa.array(page[i[some]])), name.take(pa.array(i[some])), name.take(pa.array(j[some]))], names=schema.names))
+        out = np.flatnonzero(t.column("out").to_numpy() == 1)
+        parts.append(pa.table([ids.take(pa.array(page[out])), name.take(pa.array(out)), pa.nulls(len(out), name.type)], names=schema.names))
+        return pa.concat_tables(parts)
+
+    return whole_pages([slim], work, schema, lambda large: spread(large[0]), bounds=bounds)
