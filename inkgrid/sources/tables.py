@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.pagewise import whole_pages
 from ..operators.scan import numbered, ranged
 from .images import FolderListing, write_files  # noqa: F401
 
@@ -47,20 +51,56 @@ def write_split(labels: DataFrame, path: str) -> None:
     labels.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def export_pages(pages: DataFrame, matches: DataFrame) -> DataFrame:
+def _last(pages: DataFrame) -> DataFrame:
+    """Of pages with one file name the last place: filename, page_id and sha256."""
+    return pages.groupBy("filename").agg(F.max_by(F.struct("page_id", "sha256"), "place").alias("p")).select("filename", "p.page_id", "p.sha256")
+
+
+_MATCH = ["seq", "y1", "x1", "y2", "x2", "confidence", "value"]
+
+
+def _ordered(ids: pa.Array, t: pa.Table, edges: np.ndarray) -> pa.Table:
+    """Matches by page, confidence and seq; null comes first."""
+    page = pa.array(np.repeat(np.arange(len(ids)), np.diff(edges)))
+    return t.take(pc.sort_indices(t.append_column("__page", page), [("__page", "ascending"), ("confidence", "ascending"), ("seq", "ascending")], null_placement="at_start"))
+
+
+def export_pages(pages: DataFrame, matches: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """filename and JSON of each page: pages (page_id, filename, sha256, place), matches (page_id, seq, y1.., confidence, value).
 
     Matches go by confidence, then seq, and have an id each.  Of pages with one file name the last place stays.
+    bounds (page_id, n): as whole_pages has it.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("confidence", "seq", "y1", "x1", "y2", "x2", "value", F.md5(F.concat_ws(":", F.col("page_id"), F.col("seq"))).alias("id"))))
-    grouped = matches.groupBy("page_id").agg(ordered.alias("m"))
-    rows = pages.join(grouped, "page_id", "left")
+    kind = {f.name: f.dataType for f in matches.schema.fields}
+    last = _last(pages)
+    fields = T.StructType([T.StructField(c, kind[c]) for c in _MATCH])
+    schema = T.StructType([last.schema["page_id"], last.schema["filename"], last.schema["sha256"], T.StructField("m", T.ArrayType(fields))])
+
+    def work(ids: pa.Array, tables: list[pa.Table], edges: list[np.ndarray]) -> pa.Table:
+        t = _ordered(ids, tables[1], edges[1])
+        page = np.repeat(np.arange(len(ids)), np.diff(edges[0]))
+        begins, n = edges[1][page], np.diff(edges[1])[page]
+        if not ids.null_count:
+            lost = np.zeros(len(page), bool)
+        else:  # no page has the id null
+            lost = ids.is_null().to_numpy(zero_copy_only=False)[page]
+        n = np.where(lost, 0, n)
+        rows = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        t = t.take(pa.array(rows)).combine_chunks()
+        each = pa.StructArray.from_arrays([t.column(c).combine_chunks() for c in _MATCH], names=_MATCH)
+        ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        return pa.table([ids.take(pa.array(page)), tables[0].column("filename"), tables[0].column("sha256"), pa.ListArray.from_arrays(ends, each)], names=schema.names)
+
+    def spread(large: list[DataFrame]) -> DataFrame:
+        grouped = large[1].groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("confidence", "seq", "y1", "x1", "y2", "x2", "value"))).alias("m"))
+        there = F.transform(F.coalesce("m", F.array().cast(grouped.schema["m"].dataType)), lambda x: F.struct(*[x[c].alias(c) for c in _MATCH]))
+        return large[0].join(grouped, "page_id", "left").select("page_id", "filename", "sha256", there.alias("m"))
+
+    whole = whole_pages([last.select("page_id", "filename", "sha256"), matches.select("page_id", *_MATCH)], work, schema, spread, bounds=bounds)
     listed = F.transform(
-        F.coalesce("m", F.array().cast(grouped.schema["m"].dataType)),
-        lambda x: F.struct(x["id"].alias("id"), F.array(x["y1"], x["x1"], x["y2"], x["x2"]).alias("bbox"), x["confidence"].alias("confidence"), x["value"].alias("value")),
+        "m", lambda x: F.struct(F.md5(F.concat_ws(":", F.col("page_id"), x["seq"])).alias("id"), F.array(x["y1"], x["x1"], x["y2"], x["x2"]).alias("bbox"), x["confidence"].alias("confidence"), x["value"].alias("value"))
     )
-    rows = rows.select("filename", "place", F.to_json(F.struct("filename", "sha256", listed.alias("matches"))).alias("json"))
-    return rows.groupBy("filename").agg(F.max_by("json", "place").alias("json"))
+    return whole.select("filename", F.to_json(F.struct("filename", "sha256", listed.alias("matches"))).alias("json"))
 
 
 def export_lines(pages: DataFrame, matches: DataFrame) -> DataFrame:
