@@ -103,25 +103,46 @@ def export_pages(pages: DataFrame, matches: DataFrame, bounds: DataFrame | None
     return whole.select("filename", F.to_json(F.struct("filename", "sha256", listed.alias("matches"))).alias("json"))
 
 
-def export_lines(pages: DataFrame, matches: DataFrame) -> DataFrame:
+def export_lines(pages: DataFrame, matches: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """filename, line (from 0) and json: each page's JSON file line by line, a match on each, as export_pages has them.
 
-    A page is never in one row or one task as a whole: matches get their places from ranges of (page, confidence, seq).
+    A large page is never in one row or one task as a whole: its matches get their places from ranges of (page, confidence, seq).
+    bounds (page_id, n): as whole_pages has it.
     """
-    last = pages.groupBy("filename").agg(F.max_by(F.struct("page_id", "sha256"), "place").alias("p")).select("filename", "p.page_id", "p.sha256")
-    order = ["confidence", "seq"]
-    placed = numbered(ranged(matches.join(last.select("page_id", "filename"), "page_id"), ["filename"], order), ["filename"], order, "__place")
+    kind = {f.name: f.dataType for f in matches.schema.fields}
+    last = _last(pages).select("page_id", "filename", "sha256")
+    schema = T.StructType([last.schema["page_id"], last.schema["filename"], last.schema["sha256"], T.StructField("line", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, kind[c]) for c in _MATCH]])
+
+    def work(ids: pa.Array, tables: list[pa.Table], edges: list[np.ndarray]) -> pa.Table:
+        """The matches of each file in order, with a line without a match before and after them."""
+        t = _ordered(ids, tables[1], edges[1])
+        page = np.repeat(np.arange(len(ids)), np.diff(edges[0]))
+        begins, n = edges[1][page], np.diff(edges[1])[page]
+        if ids.null_count:
+            n = np.where(ids.is_null().to_numpy(zero_copy_only=False)[page], 0, n)
+        file = np.repeat(np.arange(len(page)), n + 2)
+        line = np.arange(len(file)) - np.repeat(np.cumsum(n + 2) - (n + 2), n + 2)
+        match = (line > 0) & (line <= n[file])
+        rows = t.take(pa.array(np.where(match, begins[file] + line - 1, 0), mask=~match))
+        head = tables[0].take(pa.array(file))
+        return pa.table([ids.take(pa.array(page[file])), head.column("filename"), head.column("sha256"), line, n[file], *[rows.column(c) for c in _MATCH]], names=schema.names)
+
+    def spread(large: list[DataFrame]) -> DataFrame:
+        own, order = large[0], ["confidence", "seq"]
+        placed = numbered(ranged(large[1].join(own, "page_id"), ["filename"], order), ["filename"], order, "__place")
+        counted = placed.groupBy("filename").agg(F.count("*").alias("n"))
+        body = placed.join(counted, "filename").select("page_id", "filename", "sha256", (F.col("__place") + 1).alias("line"), "n", *_MATCH)
+        n = F.coalesce("n", F.lit(0).cast("long"))
+        ends = own.join(counted, "filename", "left").select("page_id", "filename", "sha256", F.explode(F.array(F.lit(0).cast("long"), n + 1)).alias("line"), n.alias("n"), *[F.lit(None).cast(kind[c]).alias(c) for c in _MATCH])
+        return body.unionByName(ends)
+
+    whole = whole_pages([last, matches.select("page_id", *_MATCH)], work, schema, spread, bounds=bounds)
     one = F.struct(F.md5(F.concat_ws(":", "page_id", "seq")).alias("id"), F.array("y1", "x1", "y2", "x2").alias("bbox"), "confidence", "value")
-    counted = placed.groupBy("filename").agg(F.count("*").alias("__n"))
-    rows = placed.join(counted, "filename")
-    comma = F.when(F.col("__place") + 1 < F.col("__n"), ",").otherwise("")
-    body = rows.select("filename", (F.col("__place") + 1).alias("line"), F.concat(F.to_json(one), comma).alias("json"))
+    comma = F.when(F.col("line") < F.col("n"), ",").otherwise("")
     head = F.to_json(F.struct("filename", "sha256"))
-    ends = last.join(counted, "filename", "left").select("filename", F.explode(F.array(
-        F.struct(F.lit(0).cast("long").alias("line"), F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"matches":[')).alias("json")),
-        F.struct((F.coalesce("__n", F.lit(0).cast("long")) + 1).alias("line"), F.lit("]}").alias("json")),
-    )).alias("e")).select("filename", "e.*")
-    return body.unionByName(ends)
+    first = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"matches":['))
+    json = F.when(F.col("line") == 0, first).when(F.col("line") > F.col("n"), "]}").otherwise(F.concat(F.to_json(one), comma))
+    return whole.select("filename", "line", json.alias("json"))
 
 
 def write_exports(lines: DataFrame, path: str) -> None:

@@ -61,3 +61,34 @@ def test_lines_of_a_page_move_little(spark, tmp_path):
     assert len(body) < 8 * n
     got = columns.rows([body], [rows.schema.field(c).type for c, _ in columns.fields])
     assert all(a.equals(rows.column(c).combine_chunks()) for a, (c, _) in zip(got, columns.fields))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16])
+def test_collisions_and_exports_are_the_same_for_large_and_small_pages(spark, monkeypatch, most):
+    """Against loops; with most 0 every page is spread."""
+    from inkgrid.operators import score
+    from inkgrid.sources import tables as src
+
+    monkeypatch.setattr(pagewise, "MOST", most)
+    rows = [r for r in irregular() if r[0] is None or r[0] != 78]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    grid = df.select("page_id", F.col("seq").alias("box_id"), "y1", "x1", "y2", "x2", F.lit(300).alias("n_rows"), F.lit(300).alias("n_cols"))
+    want = {(r[0], r[1], None) for r in rows if r[4] > 300 or r[5] > 300}
+    for k in {r[0] for r in rows} - {None}:
+        mine = [r for r in rows if r[0] == k]
+        want |= {(k, a[1], b[1]) for a in mine for b in mine if a[1] < b[1] and a[3] < b[5] and b[3] < a[5] and a[2] < b[4] and b[2] < a[4]}
+    got = [tuple(r) for r in score.collisions(grid).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+    pages = spark.createDataFrame([(k, f"f{k // 2}", f"s{k}", k) for k in range(90)], "page_id int, filename string, sha256 string, place int")
+    import json
+
+    files = {r["filename"]: json.loads(r["json"]) for r in src.export_pages(pages, df).collect()}
+    assert len(files) == 45
+    for k in range(1, 90, 2):
+        mine = sorted((r[6], r[1], r[7]) for r in rows if r[0] == k)
+        assert [(m["confidence"], m["value"]) for m in files[f"f{k // 2}"]["matches"]] == [(c, v) for c, _, v in mine]
+    lines: dict = {}
+    for r in src.export_lines(pages, df).collect():
+        lines.setdefault(r["filename"], {})[r["line"]] = r["json"]
+    assert {f: json.loads("".join(x[i] for i in range(len(x)))) for f, x in lines.items()} == files
